@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import p1_split, p7_encode
+from scriptorium.llm import p1_split, p2_encoding, p7_encode
 from scriptorium.sources.tables import table
 
 
@@ -22,12 +22,24 @@ def p1_entry_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p1_split.piece_sizes(table(spark, folder, "document_pages"), table(spark, folder, "extraction_meta"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_encoding.found(table(spark, folder, "extracted_documents"))
+
+
+def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_encoding.garbled(table(spark, folder, "extracted_documents"))
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_encoding.rates(table(spark, folder, "extracted_documents"), table(spark, folder, "extraction_meta"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p7_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p7_ids)
 }
 
 ORACLE_SQL: dict[str, str] = {
