@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import p1_split, p2_encoding, p7_encode
+from scriptorium.llm import p1_split, p2_encoding, p7_encode, p9_cut
 from scriptorium.sources.tables import table
 
 
@@ -38,8 +38,20 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode(table(spark, folder, "documents"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_cut.found(table(spark, folder, "documents"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_cut.rates(table(spark, folder, "documents"))
+
+
+def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_cut.limits(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p7_ids)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p7_ids, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE_SQL: dict[str, str] = {
