@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import bounded_sample
 from scriptorium.session import spread
 
 #: Texts the classifier is trained on, at most; everything else covers all texts.
@@ -150,6 +151,10 @@ class Model:
         for w in kept:
             bare[w.strip(_MARKS)] += words[w]
         self.known |= {w for w, n in bare.items() if n >= 3}
+        often = Counter()
+        for w in kept:
+            often.update(dict.fromkeys(w, words[w]))
+        self.usual = {c for c, n in often.items() if n >= 5} | set(map(chr, range(32, 127)))
         self.known |= {v for w in self.known for v in (w.lower(), w.upper(), w.capitalize())}
 
     @staticmethod
@@ -258,7 +263,11 @@ class Repairer:
             size = sum(len(r) + 1 for _, r in right)
             if after > before + EVIDENCE / 2 and (after / size > model.least * 1.35 or LOST in "".join(speaking)):
                 # a single letter is a word by chance, unless several characters became one
-                sure = sum((r in model.known or r.strip(_MARKS) in model.known) and (sum(map(str.isalpha, r)) > 1 or len(r) < len(w)) for w, r in right if LOST not in r)
+                sure = sum(
+                    (r in model.known or r.strip(_MARKS) in model.known) and (sum(map(str.isalpha, r)) > 1 or len(r) < len(w)) or chain[0][0] == "utf-8" and len(r) < len(w) and model.usual.issuperset(r)
+                    for w, r in right
+                    if LOST not in r
+                )
                 if sure * (2 if len(speaking) < 4 else 6) >= len(speaking):
                     return chain, True
         return None
@@ -312,7 +321,7 @@ def name(chain: tuple) -> str:
 def train(texts: DataFrame, column: str = "text", key: str = "entry_id", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` texts, chosen by a hash of their key (the documented
     bound of the training sample: that many texts' distinct words come to the driver)."""
-    some = texts.select(key, column).filter(F.length(column) > 0).orderBy(F.xxhash64(key), key).limit(sample)
+    some = bounded_sample(texts.select(key, column), key, sample)
     words = some.select(F.explode(F.split(F.substring(column, 1, 20000), r"[ \n\t\r]+")).alias("w")).filter(F.col("w").rlike(r"[^\x00-\x7f]"))
     return Model(Counter({r.w: r.n for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()}))
 
