@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import p1_split, p2_encoding, p4_forms, p7_encode, p9_cut
+from scriptorium.llm import p1_split, p2_encoding, p4_forms, p6_alike, p7_encode, p9_cut
 from scriptorium.sources.tables import table
 
 
@@ -46,6 +46,14 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return p4_forms.classes(table(spark, folder, "document_pages"), table(spark, folder, "extracted_documents"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_alike.found(table(spark, folder, "extracted_documents"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_alike.groups(table(spark, folder, "extracted_documents"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode(table(spark, folder, "documents"))
 
@@ -63,7 +71,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p4_found, p4_texts, p4_classes, p7_ids, p9_found, p9_rates, p9_limits)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p4_found, p4_texts, p4_classes, p6_found, p6_groups, p7_ids, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE_SQL: dict[str, str] = {
