@@ -161,8 +161,16 @@ def prepare(documents: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "entry_id long, same long, n int, mark binary, runs binary")
 
 
+def _allowed(bits: int, limit: float) -> int:
+    """Most bits in which fingerprints of sets alike to ``limit`` differ, but for a chance of
+    some millionths: one bit differs with probability (1 - limit) / 2."""
+    p = (1 - limit) / 2
+    return int(np.ceil(bits * p + 4.6 * np.sqrt(bits * p * (1 - p))))
+
+
 def _keys(classes: DataFrame) -> DataFrame:
-    """(key, id): each class under each key of each segment, once."""
+    """(key, id, sketch): each class under each key of each segment, once; the sketch is 64
+    bits taken evenly from all segments."""
 
     def run(batches):
         for batch in batches:
@@ -170,6 +178,10 @@ def _keys(classes: DataFrame) -> DataFrame:
                 some = batch.slice(at, 2048)
                 marks = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint32).reshape(-1, 2 * SEGMENTS).astype(np.int64)
                 ids, keys = [], []
+                sketch = np.zeros(len(marks), np.uint64)
+                for k in range(64):
+                    sketch |= ((marks[:, k % SEGMENTS] >> (k // SEGMENTS * 7)) & 1).astype(np.uint64) << np.uint64(k)
+                sketch = sketch.view(np.int64)
                 for s in range(SEGMENTS):
                     code = np.sort(codewords(marks[:, s]), axis=1)
                     first = np.ones(code.shape, bool)
@@ -178,9 +190,27 @@ def _keys(classes: DataFrame) -> DataFrame:
                     ids.append(row)
                     keys.append((s << 44) | (marks[row, SEGMENTS + s] << 12) | code[first])
                 rows = np.concatenate(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), some.column(0).take(pa.array(rows))], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), some.column(0).take(pa.array(rows)), pa.array(sketch[rows])], names=["key", "id", "sketch"])
+
+    return classes.mapInArrow(run, "key long, id long, sketch long")
+
+
+def _near(pairs: DataFrame, limit: float) -> DataFrame:
+    """Pairs (a, b) whose whole fingerprints differ in no more bits, and whose sizes differ no
+    more, than sets alike to ``limit`` can."""
+    most = _allowed(SEGMENTS * BITS, limit)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                some = batch.slice(at, 8192)
+                x, y = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint32).reshape(-1, 2 * SEGMENTS)[:, :SEGMENTS] for c in ("ma", "mb"))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                na, nb = some.column("na").to_numpy(), some.column("nb").to_numpy()
+                keep = pa.array(np.flatnonzero((apart <= most) & (np.minimum(na, nb) >= limit * np.maximum(na, nb) - 1e-9)))
+                yield pa.RecordBatch.from_arrays([some.column("a").take(keep), some.column("b").take(keep)], names=["a", "b"])
 
-    return classes.mapInArrow(run, "key long, id long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, limit: float) -> DataFrame:
@@ -212,13 +242,12 @@ def alike(documents: DataFrame, limit: float = LIMIT) -> tuple[DataFrame, DataFr
     classes = rows.join(copies, "entry_id", "left_anti")
     keys = _keys(classes.select("entry_id", "mark"))
     x, y = keys.alias("x"), keys.alias("y")
-    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    met = durable(met, "p6-met")
-    sets = classes.select("entry_id", "n", "runs")
-    with_a = met.join(sets.select(F.col("entry_id").alias("a"), F.col("n").alias("na"), F.col("runs").alias("ra")), "a")
-    both = with_a.join(sets.select(F.col("entry_id").alias("b"), F.col("n").alias("nb"), F.col("runs").alias("rb")), "b")
-    # sets of so different size can't be alike
-    both = both.filter(F.least("na", "nb") >= limit * F.greatest("na", "nb"))
+    close = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= _allowed(64, limit)
+    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    own = lambda side, *columns: classes.select(F.col("entry_id").alias(side), *[F.col(c).alias(c[0] + side) for c in columns])
+    marked = met.join(own("a", "n", "mark"), "a").join(own("b", "n", "mark"), "b")
+    near = durable(_near(marked.select("a", "b", "na", "nb", "ma", "mb"), limit), "p6-near")
+    both = near.join(own("a", "runs"), "a").join(own("b", "runs"), "b")
     return durable(_verified(both.select("a", "b", "ra", "rb"), limit), "p6-links"), members
 
 
