@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import p1_split, p2_encoding, p4_forms, p6_alike, p7_encode, p9_cut
+from scriptorium.llm import p1_split, p2_encoding, p3_scan, p4_forms, p6_alike, p7_encode, p9_cut
 from scriptorium.sources.tables import table
 
 
@@ -34,6 +34,18 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return p2_encoding.rates(table(spark, folder, "extracted_documents"), table(spark, folder, "extraction_meta"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_scan.found(table(spark, folder, "document_pages"))
+
+
+def p3_noise(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_scan.noise(table(spark, folder, "document_pages"))
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_scan.paragraphs(table(spark, folder, "document_pages"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_forms.found(table(spark, folder, "document_pages"), table(spark, folder, "extracted_documents"))
 
@@ -71,7 +83,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p4_found, p4_texts, p4_classes, p6_found, p6_groups, p7_ids, p9_found, p9_rates, p9_limits)
+    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p6_found, p6_groups, p7_ids, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE_SQL: dict[str, str] = {
