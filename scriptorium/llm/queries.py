@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import p1_split, p2_encoding, p3_scan, p4_forms, p6_alike, p7_encode, p9_cut
+from scriptorium.llm import p1_split, p2_encoding, p3_scan, p4_forms, p6_alike, p7_encode, p8_mix, p9_cut
 from scriptorium.sources.tables import table
 
 
@@ -70,6 +70,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return p7_encode.encode(table(spark, folder, "documents"))
 
 
+def p8_mix_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_mix.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_mix.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_cut.found(table(spark, folder, "documents"))
 
@@ -83,7 +91,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p6_found, p6_groups, p7_ids, p9_found, p9_rates, p9_limits)
+    f.__name__.replace("_rows", ""): f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p6_found, p6_groups, p7_ids, p8_mix_rows, p8_shares, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE_SQL: dict[str, str] = {
