@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import p1_split, p2_encoding, p3_scan, p4_forms, p6_alike, p7_encode, p8_mix, p9_cut
+from scriptorium.llm import p1_split, p2_encoding, p3_scan, p4_forms, p5_areas, p6_alike, p7_encode, p8_mix, p9_cut
 from scriptorium.sources.tables import table
 
 
@@ -58,6 +58,18 @@ def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
     return p4_forms.classes(table(spark, folder, "document_pages"), table(spark, folder, "extracted_documents"))
 
 
+def _p5_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("extracted_documents", "subject_labels", "subject_areas", "directions")]
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_areas.assigned(*_p5_tables(spark, folder))
+
+
+def p5_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_areas.composition(*_p5_tables(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_alike.found(table(spark, folder, "extracted_documents"))
 
@@ -91,7 +103,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__.replace("_rows", ""): f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p6_found, p6_groups, p7_ids, p8_mix_rows, p8_shares, p9_found, p9_rates, p9_limits)
+    f.__name__.replace("_rows", ""): f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p5_found, p5_composition, p6_found, p6_groups, p7_ids, p8_mix_rows, p8_shares, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE_SQL: dict[str, str] = {
