@@ -1,4 +1,650 @@
-"""All queries of the library's own operators, with their SQL."""
+"""All queries of the library's own operators over whole tables, each with its SQL where SQL
+can say the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from scriptorium.functions import catalog as C
+from scriptorium.functions import jobs as J
+from scriptorium.functions import paths as P
+from scriptorium.functions import quality as Q
+from scriptorium.functions import text as T
+from scriptorium.operators import ask as A
+from scriptorium.operators import catalog as K
+from scriptorium.operators import context as X
+from scriptorium.operators import jobs as Jobs
+from scriptorium.operators import library as L
+from scriptorium.operators import search as S
+from scriptorium.sources.tables import distinct_pages, latest_meta, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+QUESTION = "Проверка заземляющего устройства"
+NO_TERMS = "какие да"
+BY_NAME = "акт"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = " ".join(sql.split()) if "'\n" not in sql else sql
+        return f
+
+    return add
+
+
+# --- tables -----------------------------------------------------------------------------
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "extracted_documents")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return L.current_files(table(spark, d, "library_files"))
+
+
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    """The extraction that holds, by (slug, path) as well."""
+    meta = latest_meta(table(spark, d, "extraction_meta"), "extractor", "confidence", "chars", "source_pages", "indexed_pages", "index_status", "index_note")
+    return _docs(spark, d).select("entry_id", "slug", "path").join(meta, "entry_id")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return distinct_pages(table(spark, d, "document_pages"))
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The events table read as the log of indexing jobs, one job a user."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in (("signup", "queued"), ("click", "started"), ("view", "file_done"), ("error", "file_failed"), ("purchase", "finished")) for x in p]), F.col("event_type"))
+    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", kind.alias("kind"))
+
+
+# --- SQL fragments ----------------------------------------------------------------------
+
+_SPACES = r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_FILES = """(SELECT slug, path, f.name AS name, f.size AS size, f.kind AS kind, f.content_type AS content_type, f.has_text AS has_text, f.modified_at AS modified_at
+  FROM (SELECT slug, path, max(struct_pack(modified_at := coalesce(modified_at, TIMESTAMP '0001-01-01'), name := coalesce(name, ''), kind := coalesce(kind, ''), size := coalesce(size, -1), content_type := coalesce(content_type, ''),
+  has_text := coalesce(has_text, false))) AS f FROM library_files GROUP BY slug, path))"""
+_META = """(SELECT entry_id, extractor, confidence, chars, source_pages, indexed_pages, index_status, index_note FROM
+  (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY extracted_at DESC NULLS LAST, extractor DESC NULLS LAST, confidence DESC NULLS LAST, chars DESC NULLS LAST,
+  source_pages DESC NULLS LAST, indexed_pages DESC NULLS LAST, index_status DESC NULLS LAST, index_note DESC NULLS LAST) AS rn FROM extraction_meta) WHERE rn = 1)"""
+_PAGES = "(SELECT DISTINCT page_id, entry_id, slug, page, text FROM document_pages)"
+
+
+def _norm(c: str) -> str:
+    return f"replace(lower({c}), 'ё', 'е')"
+
+
+def _count(c: str, asked: list[str]) -> str:
+    return " + ".join(f"CAST((length({c}) - length(replace({c}, '{t}', ''))) / {len(t)} AS INTEGER)" for t in asked) or "0"
+
+
+def _any(c: str, asked: list[str]) -> str:
+    return " OR ".join(f"contains({c}, '{t}')" for t in asked) or "true"
+
+
+def _trim(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_SPACES}+', ''), '{_SPACES}+$', '')"
+
+
+def _name(c: str = "path") -> str:
+    return f"list_extract(string_split({c}, '/'), -1)"
+
+
+def _text_hits(question: str, where: str = "", source: str = "extracted_documents") -> str:
+    asked = T.query_terms(question)
+    return f"""SELECT slug, path, {_name()} AS name, CAST(2 + {_count(_norm('text'), asked)} AS DOUBLE) AS score FROM {source}
+      WHERE text IS NOT NULL AND ({_any(_norm(_name() + " || ' ' || text"), asked)}) {where}"""
+
+
+def _name_hits(question: str) -> str:
+    return f"""SELECT slug, path, {_name()} AS name, 1.0::DOUBLE AS score FROM {_FILES} WHERE contains(lower({_name()}), '{question.lower()}')
+      AND regexp_matches(lower({_name()}), '^.+\\.(pdf|doc|docx|jpeg|jpg|png|md|txt)$')"""
+
+
+def _hits(question: str, limit: int = 12) -> str:
+    return f"SELECT * FROM ({_text_hits(question)} UNION ALL {_name_hits(question)}) ORDER BY score DESC, name COLLATE ru, path, slug LIMIT {limit}"
+
+
+_PLAIN = ["slug", "path", "name", "score"]
+
+# --- search -----------------------------------------------------------------------------
+
+
+@query(_hits(QUESTION))
+def search_topk(spark, d):
+    return S.search(_docs(spark, d), _files(spark, d), QUESTION).select(*_PLAIN)
+
+
+@query(f"SELECT * FROM ({_hits(QUESTION)}) WHERE path = 'gost' OR starts_with(path, 'gost/')")
+def search_scope_after_limit(spark, d):
+    return S.in_scope(S.search(_docs(spark, d), _files(spark, d), QUESTION), "gost").select(*_PLAIN)
+
+
+@query(f"SELECT slug, path, name, score FROM ({_text_hits(BY_NAME)} UNION ALL {_name_hits(BY_NAME)})")
+def search_union_names(spark, d):
+    """Every hit of a query by text and by name, both kept."""
+    return S.search(_docs(spark, d), _files(spark, d), BY_NAME, limit=None).select(*_PLAIN)
+
+
+@query(_hits(NO_TERMS, 40))
+def search_no_terms(spark, d):
+    return S.search(_docs(spark, d), _files(spark, d), NO_TERMS, 40).select(*_PLAIN)
+
+
+@query(
+    f"""SELECT h.slug, h.path, h.name, CASE WHEN m.index_status = 'partial' THEN h.score * 0.85 ELSE h.score END AS score FROM
+    ({_text_hits(QUESTION, "AND regexp_matches(path, '\\.pdf$')", f"(SELECT slug, path, entry_id, nullif(left({_trim('text')}, 120000), '') AS text FROM extracted_documents)")}) h
+    JOIN extracted_documents e USING (slug, path) LEFT JOIN {_META} m USING (entry_id)"""
+)
+def search_routed_partial_penalty(spark, d):
+    docs = _docs(spark, d)
+    routes = docs.filter(F.col("path").endswith(".pdf")).select("slug", "path")
+    return S.routed_search(docs, routes, _meta(spark, d), QUESTION, limit=None).select(*_PLAIN)
+
+
+_TERMS = T.query_terms(QUESTION)
+
+
+@query(
+    f"""SELECT slug, path, coalesce(nullif(trim(regexp_replace(substr(text, greatest(p, 1), 220), '{_SPACES}+', ' ', 'g')), ''), 'Файл: ' || name) AS snippet FROM (
+    SELECT slug, path, {_name()} AS name, text, coalesce(least({", ".join(f"nullif(instr({_norm('text')}, '{t}'), 0)" for t in _TERMS)}), 0) AS p
+    FROM extracted_documents WHERE text IS NOT NULL AND ({_any(_norm(_name() + " || ' ' || text"), _TERMS)}))"""
+)
+def snippet_first_hit(spark, d):
+    return S.text_hits(_docs(spark, d), QUESTION).select("slug", "path", "snippet")
+
+
+@query()
+def multi_query_search(spark, d):
+    """Each direction's title as a query over all texts."""
+    return S.many(_docs(spark, d), table(spark, d, "directions").select(F.col("title").alias("query")))
+
+
+@query(
+    f"""SELECT h.slug, h.path, h.name, h.score FROM ({_hits(QUESTION, 200)}) h WHERE regexp_matches(lower({_name('h.path')}), 'gost|гост|(^|[^A-Za-z0-9_])sp[\\s_-]') AND NOT
+    regexp_matches(lower({_name('h.path')}), 'классиф|classif|okof|окоф|окpd|^fz|фз|закон|kodex|кодекс')"""
+)
+def filter_doc_types_semi(spark, d):
+    files = _files(spark, d)
+    return S.of_types(S.search(_docs(spark, d), files, QUESTION, 200), K.infer(files), ["standard"]).select(*_PLAIN)
+
+
+@query(f"SELECT * FROM ({_hits(QUESTION, 200)}) WHERE starts_with(path, 'gost/') OR contains(path, '/gost/') OR starts_with(path, 'паспорта/') OR contains(path, '/паспорта/')")
+def filter_folders(spark, d):
+    return S.in_folders(S.search(_docs(spark, d), _files(spark, d), QUESTION, 200), ["gost", "паспорта"]).select(*_PLAIN)
+
+
+@query(
+    f"""SELECT h.slug, h.path, h.score, length(left({_trim('e.text')}, 2000)) AS chars, m.extractor, m.confidence FROM ({_hits(QUESTION, 200)}) h
+    JOIN extracted_documents e USING (slug, path) LEFT JOIN {_META} m USING (entry_id)"""
+)
+def hits_enrich_left_join(spark, d):
+    hits = S.enriched(S.search(_docs(spark, d), _files(spark, d), QUESTION, 200), _docs(spark, d), _meta(spark, d))
+    return hits.select("slug", "path", "score", F.length("text").alias("chars"), "extractor", "confidence")
+
+
+@query(f"SELECT slug, path, {_name()} AS name, 1.0::DOUBLE AS score FROM {_FILES} WHERE starts_with(path, 'gost/') AND regexp_matches(lower({_name()}), '^.+\\.(pdf|doc|docx|jpeg|jpg|png|md|txt)$')")
+def scope_fallback_union(spark, d):
+    """A query without hits: all files of the scope stand in."""
+    files = _files(spark, d)
+    return S.with_fallback(S.in_scope(S.search(_docs(spark, d), files, "zzzzqqqq"), "gost"), L.indexable_files(files, "gost")).select(*_PLAIN)
+
+
+# --- catalog ----------------------------------------------------------------------------
+
+_NAME = f"lower({_name()})"
+_TYPE = f"""CASE WHEN regexp_matches({_NAME}, 'классиф|classif|okof|окоф|окpd') THEN 'classifier' WHEN regexp_matches({_NAME}, '^fz|фз|закон|kodex|кодекс') THEN 'law'
+  WHEN regexp_matches({_NAME}, 'gost|гост|(^|[^A-Za-z0-9_])sp[\\s_-]|[A-Za-z0-9_]сп[\\s_-]') THEN 'standard' WHEN regexp_matches({_NAME}, 'tkp|ткp|typov') THEN 'tkp'
+  WHEN regexp_matches({_NAME}, 'prikaz|приказ|postanov|постанов|pravil|правил|reglament|регламент') THEN 'regulation' WHEN regexp_matches({_NAME}, 'инструк|instruction') THEN 'instruction' ELSE 'other' END"""
+_PRIORITY = "CASE doc_type WHEN 'classifier' THEN 5 WHEN 'law' THEN 10 WHEN 'standard' THEN 8 WHEN 'tkp' THEN 7 WHEN 'regulation' THEN 9 WHEN 'instruction' THEN 6 ELSE 1 END"
+_ID = f"left(regexp_replace(regexp_replace(lower(regexp_replace({_name()}, '\\.[^.]+$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80)"
+_INDEXABLE = f"regexp_matches({_NAME}, '^.+\\.(pdf|doc|docx|jpeg|jpg|png|md|txt)$')"
+_CATALOG = f"(SELECT slug, path, {_ID} AS doc_id, regexp_replace({_name()}, '\\.[^.]+$', '') AS title, {_TYPE} AS doc_type FROM {_FILES} WHERE {_INDEXABLE})"
+
+
+@query(f"SELECT slug, path, doc_id, title, doc_type, {_PRIORITY} AS priority FROM {_CATALOG}")
+def catalog_infer(spark, d):
+    return K.infer(_files(spark, d)).select("slug", "path", "doc_id", "title", "doc_type", "priority")
+
+
+@query()
+def catalog_aliases_topics(spark, d):
+    return K.infer(_files(spark, d)).select("slug", "path", "aliases", "topics", "references")
+
+
+@query(
+    f"""SELECT c.slug, c.path, coalesce(nullif({_trim("s.title")}, ''), c.title) AS title, coalesce(s.doc_type, c.doc_type) AS doc_type, {_PRIORITY.replace('doc_type', 'c.doc_type')} AS priority FROM {_CATALOG} c LEFT JOIN
+    (SELECT e.slug, e.path, d.title, d.doc_type FROM extracted_documents e JOIN documents d ON d.doc_id = e.entry_id) s USING (slug, path)"""
+)
+def catalog_merge(spark, d):
+    """Catalog entries with the titles and types that documents of the same number state."""
+    stated = table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), "title", "doc_type")
+    none = {f: F.lit(None).cast(t) for f, t in (("doc_id", "string"), ("topics", "array<string>"), ("aliases", "array<string>"), ("references", "array<string>"), ("sections_hint", "map<string,string>"), ("priority", "int"))}
+    stored = _docs(spark, d).select("entry_id", "slug", "path").join(stated, "entry_id").withColumns(none)
+    return K.merge(K.infer(_files(spark, d)), stored).select("slug", "path", "title", "doc_type", "priority")
+
+
+@query(f"SELECT * FROM (SELECT slug, path, title, {_PRIORITY} AS priority FROM {_CATALOG} WHERE starts_with(path, 'gost/')) ORDER BY priority DESC, title COLLATE ru, path, slug LIMIT 50")
+def catalog_scope_sorted(spark, d):
+    """The first fifty entries of a scope, in order."""
+    return K.in_order(K.infer(_files(spark, d), "gost")).limit(50).select("slug", "path", "title", "priority")
+
+
+@query(f"SELECT DISTINCT c.slug, c.path FROM {_CATALOG} c JOIN documents t ON t.title IS NOT NULL AND (c.path = replace(t.title, '\\', '/') OR lower({_name('c.path')}) = lower(t.title || '.pdf'))")
+def routing_theta_join(spark, d):
+    """Entries named by any document's title, with the ending of a PDF."""
+    wanted = table(spark, d, "documents").select(F.concat("title", F.lit(".pdf")).alias("wanted"))
+    return K.routed(K.infer(_files(spark, d)), wanted)
+
+
+# --- contexts ---------------------------------------------------------------------------
+
+ASKED = T.boosted_terms(QUESTION, [])
+
+
+def _long(spark, d):
+    return _pages(spark, d)
+
+
+@query()
+def pages_narrow_budget(spark, d):
+    return X.narrow(_long(spark, d), ASKED, 2000)
+
+
+@query()
+def pages_wide_firstfit(spark, d):
+    return X.wide(_long(spark, d), ASKED, 3000)
+
+
+@query()
+def pages_spread_sample(spark, d):
+    return X.spread_out(_long(spark, d), 4000)
+
+
+@query()
+def windows_islands(spark, d):
+    return X.windows(_docs(spark, d), ASKED)
+
+
+@query()
+def windows_context(spark, d):
+    return X.windowed(_docs(spark, d), ASKED, 4000)
+
+
+@query()
+def documents_context(spark, d):
+    return X.build(_docs(spark, d), _pages(spark, d), QUESTION, 4000)
+
+
+@query()
+def context_items(spark, d):
+    return X.for_query(_docs(spark, d), _files(spark, d), _pages(spark, d), _meta(spark, d), QUESTION, most=4000, limit=4, prefer_wide=False)
+
+
+@query(f"SELECT entry_id, CAST(sum({_count(_norm('text'), ASKED)}) AS BIGINT) AS occurrences, count(*) AS pages FROM {_PAGES} WHERE text IS NOT NULL GROUP BY entry_id")
+def page_occurrences(spark, d):
+    own = _pages(spark, d).filter(F.col("text").isNotNull())
+    return own.groupBy("entry_id").agg(F.sum(T.occurrences(T.normalized(F.col("text")), ASKED)).alias("occurrences"), F.count("*").alias("pages"))
+
+
+# --- quality and index ------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT entry_id, coalesce(len(regexp_extract_all(text, '[А-Яа-яЁё]')), 0) AS cyrillic, coalesce(len(regexp_extract_all(text, '[А-Яа-яЁё]{{4,}}')), 0) AS words, coalesce(length(text), 0) AS chars FROM extracted_documents"""
+)
+def cyrillic_counts(spark, d):
+    return _docs(spark, d).select("entry_id", T.cyrillic_letters(F.col("text")).alias("cyrillic"), T.cyrillic_words(F.col("text")).alias("words"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+
+
+@query()
+def toc_heavy(spark, d):
+    """Which texts are tables of contents, by their pages."""
+    own = _docs(spark, d).join(_meta(spark, d).select("entry_id", F.coalesce("source_pages", F.lit(0)).alias("n")), "entry_id", "left")
+    return own.select("entry_id", F.coalesce(Q.contents_heavy(F.col("text"), F.coalesce("n", F.lit(0))), F.lit(False)).alias("contents"))
+
+
+@query()
+def usable_text_layer(spark, d):
+    own = _docs(spark, d).join(_meta(spark, d).select("entry_id", "source_pages"), "entry_id", "left").withColumn("n", F.coalesce("source_pages", F.lit(0)))
+    t, n = F.col("text"), F.col("n")
+    return own.select("entry_id", Q.usable_layer(t, n).alias("usable"), Q.wants_recognition(t, n).alias("recognise"), Q.wants_fallback(t, n).alias("poor"))
+
+
+@query()
+def text_quality_score(spark, d):
+    own = _docs(spark, d).join(_meta(spark, d).select("entry_id", "source_pages"), "entry_id", "left")
+    return own.select("entry_id", F.round(Q.extraction_score(F.col("text"), F.coalesce("source_pages", F.lit(0))), 6).alias("score"))
+
+
+@query()
+def text_layer_argmax(spark, d):
+    """Of an entry's text and its pages' texts joined, the better layer; the first on a tie."""
+    joined = _pages(spark, d).groupBy("entry_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
+    both = _docs(spark, d).select("entry_id", F.lit(0).alias("layer"), "text").unionByName(joined.select("entry_id", F.lit(1).alias("layer"), "text"))
+    best = both.groupBy("entry_id").agg(F.max(F.struct(F.coalesce(Q.layer_score(F.col("text"), F.lit(0)), F.lit(-1)).alias("score"), (-F.col("layer")).alias("o"))).alias("b"))
+    return best.select("entry_id", (-F.col("b.o")).alias("layer"), "b.score")
+
+
+@query()
+def photo_text_quality(spark, d):
+    own = _pages(spark, d)
+    return own.select("page_id", F.round(Q.photo_score(F.col("text")), 6).alias("score"), Q.photo_usable(F.col("text")).alias("usable"), Q.attachment_usable(F.col("text"), F.lit(False)).alias("as_document"))
+
+
+@query()
+def index_status(spark, d):
+    n = _pages(spark, d).filter(F.length("text") > 0).groupBy("entry_id").agg(F.count("*").alias("n"))
+    own = _docs(spark, d).select("entry_id", "text").join(_meta(spark, d).select("entry_id", "extractor", "source_pages"), "entry_id", "left").join(n, "entry_id", "left")
+    info = Q.index_status(F.col("text"), F.coalesce("extractor", F.lit("")), F.col("n"), F.coalesce("source_pages", F.lit(0)))
+    return own.select("entry_id", info.alias("i")).select("entry_id", "i.*")
+
+
+_OCR = "coalesce(m.extractor, '') = 'tesseract-ocr'"
+_IDX = "coalesce(n.n, m.indexed_pages, 0)"
+
+
+@query(
+    f"""SELECT m.entry_id, CASE WHEN m.index_status IN ('ready', 'partial') THEN m.index_status WHEN NOT ends_with(lower(e.path), '.pdf') THEN 'ready'
+    WHEN NOT {_OCR} AND m.index_status IS NULL AND coalesce(m.chars, 0) >= 120 AND (coalesce(m.source_pages, 0) <= 1 OR coalesce(m.chars, 0) / greatest(coalesce(m.source_pages, 0), 1) >= 300) THEN 'ready'
+    WHEN NOT {_OCR} THEN 'partial' WHEN coalesce(m.source_pages, 0) > 0 AND {_IDX} > 0 AND {_IDX} < m.source_pages THEN 'partial'
+    WHEN n.n IS NULL AND m.indexed_pages IS NULL THEN 'partial' ELSE 'ready' END AS text_index_status
+    FROM {_META} m JOIN extracted_documents e USING (entry_id) LEFT JOIN (SELECT entry_id, count(*) AS n FROM {_PAGES} GROUP BY entry_id) n USING (entry_id)"""
+)
+def index_display(spark, d):
+    n = _pages(spark, d).groupBy("entry_id").agg(F.count("*").cast("int").alias("n"))
+    own = _meta(spark, d).join(n, "entry_id", "left")
+    shown = Q.index_display(F.lit(True), F.col("index_status"), F.col("index_note"), F.lower("path").endswith(".pdf"), F.col("extractor"), F.col("chars"), F.col("source_pages"), F.col("indexed_pages"), F.col("n"))
+    return own.select("entry_id", shown["text_index_status"].alias("text_index_status"))
+
+
+@query(
+    f"""SELECT slug, count(*) AS processed, count_if(chars > 0) AS updated, count_if(text IS NULL) AS failed FROM
+    (SELECT slug, text, coalesce(length(text), 0) AS chars FROM extracted_documents) GROUP BY slug"""
+)
+def reindex_counts(spark, d):
+    results = _docs(spark, d).select("slug", F.col("text").isNotNull().alias("ok"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    return L.reindex_counts(results, "slug")
+
+
+@query(f"SELECT entry_id, extractor, confidence, chars FROM {_META}")
+def latest_extraction(spark, d):
+    return _meta(spark, d).select("entry_id", "extractor", "confidence", "chars")
+
+
+@query(f"SELECT slug, path, name, nullif(size, -1) AS size, modified_at FROM {_FILES}")
+def current_file_states(spark, d):
+    return _files(spark, d).select("slug", "path", "name", "size", "modified_at")
+
+
+@query(
+    f"""SELECT f.slug, f.path, e.entry_id IS NOT NULL AND m.entry_id IS NOT NULL AS has_text, CASE WHEN e.entry_id IS NULL OR m.entry_id IS NULL THEN 'none' ELSE coalesce(m.index_status, 'ready') END AS text_index_status
+    FROM {_FILES} f LEFT JOIN extracted_documents e USING (slug, path) LEFT JOIN {_META} m USING (entry_id)"""
+)
+def file_status_join(spark, d):
+    return L.with_status(_files(spark, d), _meta(spark, d)).select("slug", "path", "has_text", "text_index_status")
+
+
+# --- texts and names --------------------------------------------------------------------
+
+_KEPT = "[^A-Za-zА-Яа-яЁё0-9.,:;!?\\-–—«»\"''()/\\\\%+№§°\\n\\r\\t ]"
+
+
+@query(f"SELECT page_id, regexp_replace(text, '{_KEPT}', '', 'g') AS text FROM {_PAGES}")
+def sanitize_text(spark, d):
+    return _pages(spark, d).select("page_id", T.sanitized(F.col("text")).alias("text"))
+
+
+@query(f"SELECT entry_id, nullif(left(trim(regexp_replace(regexp_replace(text, '{_KEPT}', '', 'g'), '[\\t\\n\\r ]+', ' ', 'g')), 120000), '') AS text FROM extracted_documents")
+def normalize_text(spark, d):
+    return _docs(spark, d).select("entry_id", T.extracted_text(F.col("text")).alias("text"))
+
+
+@query()
+def photo_text(spark, d):
+    return _pages(spark, d).select("page_id", T.photo_text(F.col("text")).alias("text"))
+
+
+@query()
+def doc_runs_extract(spark, d):
+    """Readable runs of the texts' bytes, as in a legacy document."""
+    return _docs(spark, d).select("entry_id", T.latin_runs(F.col("text").cast("binary")).alias("runs"))
+
+
+@query("SELECT slug, " + "coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(translate(" + "replace(" * 9 + f"lower({_trim('title')})" + "".join(f", '{a}', '{b}')" for a, b in P.SEVERAL.items()) + f", '{P.SINGLE[0]} _.', '{P.SINGLE[1]}---'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 48), ''), 'napravlenie') AS made FROM directions WHERE title IS NOT NULL")
+def slugify_titles(spark, d):
+    return table(spark, d, "directions").filter("title is not null").select("slug", P.slug_of(F.col("title")).alias("made"))
+
+
+@query()
+def unique_slug(spark, d):
+    """A free slug for each direction's title among all slugs, a fixed small table."""
+    own = table(spark, d, "directions")
+    taken = own.agg(F.collect_set("slug").alias("taken")).withColumn("one", F.lit(1))
+    return own.withColumn("one", F.lit(1)).join(F.broadcast(taken), "one").select("slug", P.unique_slug(F.coalesce("title", F.lit("")), F.col("taken")).alias("free"))
+
+
+@query()
+def terms_of_titles(spark, d):
+    """Search terms and section numbers of each document's title."""
+    own = table(spark, d, "documents").filter("title is not null")
+    return own.select("doc_id", T.terms(F.col("title")).alias("terms"), T.section_terms_column(F.col("title")).alias("sections"))
+
+
+@query(f"SELECT path, slug, regexp_matches(path, '^[^/\\\\]') AND len(list_filter(string_split_regex(path, '[/\\\\]'), lambda p: p <> '' AND (p IN ('.', '..') OR NOT regexp_matches(p, '^[a-zA-Z0-9._,\\-Ѐ-ӿ №()]+$')))) = 0 AS valid FROM {_FILES}")
+def valid_paths(spark, d):
+    return _files(spark, d).select("path", "slug", P.valid_path(F.col("path")).alias("valid"))
+
+
+@query()
+def safe_names(spark, d):
+    return _files(spark, d).select("slug", "path", P.safe_name(F.col("name")).alias("safe"), P.segment(F.col("name")).alias("segment"))
+
+
+@query(
+    f"""SELECT slug, path, CASE WHEN ends_with({_NAME}, '.pdf') THEN 'application/pdf' WHEN ends_with({_NAME}, '.doc') THEN 'application/msword'
+    WHEN ends_with({_NAME}, '.docx') THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN ends_with({_NAME}, '.jpeg') OR ends_with({_NAME}, '.jpg') THEN 'image/jpeg'
+    WHEN ends_with({_NAME}, '.png') THEN 'image/png' WHEN ends_with({_NAME}, '.md') THEN 'text/markdown; charset=utf-8' WHEN ends_with({_NAME}, '.txt') THEN 'text/plain; charset=utf-8' ELSE 'application/octet-stream' END AS content_type,
+    CASE WHEN ends_with({_NAME}, '.pdf') THEN 'PDF' WHEN ends_with({_NAME}, '.docx') OR ends_with({_NAME}, '.doc') THEN 'Word' WHEN ends_with({_NAME}, '.txt') OR ends_with({_NAME}, '.md') THEN 'Текст'
+    WHEN regexp_matches({_NAME}, '\\.(jpe?g|png)$') THEN 'OCR фото' ELSE 'Индексация' END AS label,
+    CASE WHEN nullif(size, -1) < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{{:.1f}} KB', size / 1024.0) ELSE format('{{:.1f}} MB', size / 1048576.0) END AS shown FROM {_FILES} WHERE size >= 0"""
+)
+def file_labels(spark, d):
+    own = _files(spark, d).filter("size is not null")
+    return own.select("slug", "path", P.content_type(F.col("path")).alias("content_type"), J.action_label(F.col("path")).alias("label"), J.byte_size(F.col("size")).alias("shown"))
+
+
+@query()
+def formatted_texts(spark, d):
+    own = table(spark, d, "documents")
+    t = F.col("text")
+    return own.select("doc_id", T.clipped(t).alias("clip"), T.truncated(T.escape_html(t)).alias("message"), T.highlighted(T.clipped(t), F.lit("порядок")).alias("marked"))
+
+
+@query()
+def routes(spark, d):
+    own = _files(spark, d).select("slug", "path", J.route(F.col("slug"), P.parent(F.col("path"))).alias("address"))
+    return own.select("slug", "path", "address", J.parsed_route(F.col("address")).alias("parsed")).select("slug", "path", "address", "parsed.view", F.col("parsed.path").alias("folder"))
+
+
+# --- directions, folders, changes -------------------------------------------------------
+
+
+@query(f"SELECT slug, coalesce(nullif({_trim('title')}, ''), slug) AS title, coalesce(created_at, TIMESTAMP '1970-01-01') AS created_at FROM directions WHERE regexp_matches(slug, '^[a-z0-9][a-z0-9-]*$')")
+def directions_list(spark, d):
+    return L.directions(table(spark, d, "directions"))
+
+
+@query(
+    f"""SELECT slug, folder AS path, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS parent, len(string_split(folder, '/')) AS depth, {_name('folder')} AS name, count(*) AS files
+    FROM (SELECT slug, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS folder FROM {_FILES}) GROUP BY slug, folder"""
+)
+def folder_tree(spark, d):
+    return L.folders(_files(spark, d))
+
+
+@query(
+    f"""SELECT DISTINCT slug, CASE WHEN contains(substr(path, 6), '/') THEN 'folder' ELSE 'file' END AS kind, 'gost/' || split_part(substr(path, 6), '/', 1) AS path, split_part(substr(path, 6), '/', 1) AS name
+    FROM {_FILES} WHERE starts_with(path, 'gost/')"""
+)
+def directory_listing(spark, d):
+    return L.listing(_files(spark, d), "gost")
+
+
+@query()
+def folder_view(spark, d):
+    return L.folder_view(table(spark, d, "directions"), _files(spark, d), "")
+
+
+@query(f"SELECT slug, CASE WHEN path = 'gost' THEN 'standards' WHEN starts_with(path, 'gost/') THEN 'standards' || substr(path, 5) ELSE path END AS path FROM {_FILES}")
+def rename_folder(spark, d):
+    """A folder renamed in every direction."""
+    return _files(spark, d).select("slug", P.renamed(F.col("path"), "gost", "standards").alias("path"))
+
+
+@query(f"SELECT slug, path FROM {_FILES} WHERE NOT (slug = 'electro' AND (path = 'gost' OR starts_with(path, 'gost/')))")
+def delete_folder(spark, d):
+    return L.delete_folder(_files(spark, d), "electro", "gost", recursive=True).select("slug", "path")
+
+
+@query(f"SELECT entry_id, e.slug, e.path, length(left({_trim('e.text')}, 120000)) AS chars, m.extractor FROM extracted_documents e LEFT JOIN {_META} m USING (entry_id) WHERE length({_trim('e.text')}) > 0")
+def corpus_export(spark, d):
+    meta = _meta(spark, d).select("entry_id", "extractor")
+    return L.corpus(_docs(spark, d), meta).select("entry_id", "slug", "path", F.length("text").alias("chars"), "extractor")
+
+
+@query("SELECT slug, 'Раздел ' || slug AS title, created_at FROM directions WHERE slug IN ('electro', 'osmos') UNION ALL SELECT slug, title, created_at FROM directions WHERE slug NOT IN ('electro', 'osmos')")
+def upsert_directions(spark, d):
+    own = table(spark, d, "directions")
+    changes = own.filter(F.col("slug").isin("electro", "osmos")).withColumn("title", F.concat(F.lit("Раздел "), F.col("slug")))
+    return L.upsert(own, changes, ["slug"])
+
+
+@query(
+    "SELECT slug, CASE WHEN r < 12 THEN [32, 168, 210, 278, 12, 145, 95, 48, 320, 185, 220, 55][r + 1] ELSE (r * 137) % 360 END AS hue FROM (SELECT slug, CAST(row_number() OVER (ORDER BY slug COLLATE ru) - 1 AS INTEGER) AS r FROM (SELECT DISTINCT slug FROM directions))"
+)
+def direction_hues(spark, d):
+    """Hues by rank among all slugs, a fixed small table."""
+    rank = F.dense_rank().over(W.orderBy(F.collate("slug", "ru"))) - 1
+    return table(spark, d, "directions").select("slug").distinct().select("slug", J.hue_of_rank(rank).alias("hue"))
+
+
+# --- conversations ----------------------------------------------------------------------
+
+_TALK = "(SELECT coalesce(source, '') AS conv_id, doc_id AS turn, CASE WHEN doc_id % 3 = 0 THEN 'assistant' WHEN doc_id % 7 = 0 THEN 'system' ELSE 'user' END AS role, text AS content FROM documents)"
+
+
+def _talk(spark, d):
+    """Documents read as messages: a source is a conversation, documents are its turns."""
+    role = F.when(F.col("doc_id") % 3 == 0, "assistant").when(F.col("doc_id") % 7 == 0, "system").otherwise("user")
+    return table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("conv_id"), F.col("doc_id").alias("turn"), role.alias("role"), F.col("text").alias("content"))
+
+
+@query(
+    f"""SELECT conv_id, turn, role, left(content, 4000) AS content FROM (SELECT conv_id, turn, role, {_trim('content')} AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {_TALK}
+    WHERE role IN ('user', 'assistant') AND length({_trim('content')}) > 0) WHERE rn <= 8"""
+)
+def history_last8(spark, d):
+    return A.history(_talk(spark, d))
+
+
+@query(f"SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {_TALK}) WHERE rn <= 40")
+def chat_last40(spark, d):
+    return A.last(_talk(spark, d), 40).select("conv_id", "turn", "role")
+
+
+@query(f"SELECT conv_id, turn FROM (SELECT conv_id, turn, max(CASE WHEN role = 'assistant' AND turn % 5 = 0 THEN turn END) OVER (PARTITION BY conv_id) AS upto FROM {_TALK}) WHERE turn <= upto")
+def history_prefix_pending(spark, d):
+    own = _talk(spark, d).withColumn("pending", (F.col("role") == "assistant") & (F.col("turn") % 5 == 0))
+    return A.pending(own).select("conv_id", "turn")
+
+
+@query()
+def expand_requests(spark, d):
+    """What each message would do, the first words of each text being the message."""
+    own = _talk(spark, d).withColumns({"content": F.array_join(F.slice(F.split(F.col("content"), " "), 1, 2), " "), "mode": F.lit("idle"), "has_pending": F.lit(True), "slug": F.lit("electro")})
+    return A.routed(own).select("conv_id", "turn", "action", A.asks_to_expand(F.col("content")).alias("expand"))
+
+
+@query()
+def ask_messages(spark, d):
+    items = QUERIES["context_items"](spark, d)
+    return A.messages(A.context_text(items), "Отвечай по документам.", QUESTION)
+
+
+# --- jobs -------------------------------------------------------------------------------
+
+_LOG = "(SELECT user_id AS job_id, ts AS at, event_id, event_type AS k, (ts, event_id) AS t FROM events)"
+_FOLD = f"""(WITH q AS (SELECT job_id, min(t) AS q FROM {_LOG} WHERE k = 'signup' GROUP BY job_id), s AS (SELECT job_id, min(t) AS s FROM {_LOG} JOIN q USING (job_id) WHERE k = 'click' AND t > q GROUP BY job_id),
+  e AS (SELECT job_id, min(t) AS e FROM {_LOG} JOIN s USING (job_id) WHERE k = 'purchase' AND t > s GROUP BY job_id),
+  c AS (SELECT job_id, count_if(k = 'view') AS processed, count_if(k = 'error') AS failed FROM {_LOG} JOIN s USING (job_id) LEFT JOIN e USING (job_id) WHERE k IN ('view', 'error') AND t > s AND (e IS NULL OR t < e) GROUP BY job_id)
+  SELECT job_id, CASE WHEN e IS NOT NULL THEN 'done' WHEN s IS NOT NULL THEN 'running' ELSE 'queued' END AS status, q[1] AS queued_at, s[1] AS started_at, e[1] AS ended_at, coalesce(processed, 0) AS processed, coalesce(failed, 0) AS failed
+  FROM q LEFT JOIN s USING (job_id) LEFT JOIN e USING (job_id) LEFT JOIN c USING (job_id))"""
+
+
+@query(f"SELECT * FROM {_FOLD}")
+def job_state_fold(spark, d):
+    return Jobs.fold(_jobs(spark, d))
+
+
+@query(f"SELECT job_id, status, started_at FROM {_FOLD} ORDER BY started_at DESC NULLS LAST, job_id DESC LIMIT 40")
+def jobs_prune_40(spark, d):
+    return Jobs.pruned(Jobs.fold(_jobs(spark, d))).select("job_id", "status", "started_at")
+
+
+_QUEUE = "(SELECT slug, path AS job_id, modified_at AS queued_at, CASE WHEN has_text THEN 'running' ELSE 'queued' END AS status FROM " + _FILES + ")"
+
+
+@query(
+    f"""SELECT slug, job_id, queue_position FROM (SELECT slug, job_id, status, CAST(sum(CASE WHEN status = 'running' THEN 1 ELSE 0 END) OVER (PARTITION BY slug)
+    + sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY queued_at, job_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS queue_position FROM {_QUEUE}) WHERE status = 'queued'"""
+)
+def queue_positions(spark, d):
+    """Files with text read as running jobs of their direction, the others as its queue."""
+    own = _files(spark, d).select("slug", F.col("path").alias("job_id"), F.coalesce("modified_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("queued_at"), F.when(F.coalesce("has_text", F.lit(False)), "running").otherwise("queued").alias("status"))
+    return Jobs.queue(own, "slug").select("slug", "job_id", "queue_position")
+
+
+_NOW = 1_740_000_000_000
+
+
+def _progress(spark, d):
+    own = _files(spark, d).filter("modified_at is not null and size is not null")
+    ms = F.unix_millis(F.col("modified_at").cast("timestamp"))
+    return own.select(
+        "slug", F.col("path").alias("job_id"), F.lit("running").alias("status"), F.lit("indexing").alias("phase"), (F.col("size") % 7).cast("int").alias("processed"), F.lit(8).alias("total"), F.col("name").alias("current_file"),
+        F.lit(None).cast("int").alias("ocr_page"), F.lit(None).cast("int").alias("ocr_page_total"), ms.alias("started_ms"), (F.lit(_NOW) - F.col("size") % 900_000).alias("file_started_ms"),
+    )
+
+
+@query(
+    f"""WITH j AS (SELECT slug, path AS job_id, size % 7 AS processed, epoch_ms(modified_at) AS started, size % 900000 AS elapsed, CASE WHEN ends_with({_NAME}, '.pdf') THEN 900000.0 ELSE 30000.0 END AS est FROM {_FILES} WHERE size >= 0 AND modified_at > TIMESTAMP '0001-01-02'),
+    w AS (SELECT *, CASE WHEN elapsed <= 0 THEN 0.03::DOUBLE WHEN elapsed < est THEN 0.03::DOUBLE + elapsed / est * 0.89::DOUBLE ELSE least(0.99::DOUBLE, 0.92::DOUBLE + least(1.0::DOUBLE, (elapsed - est) / (est * 4)) * 0.07::DOUBLE) END AS w FROM j)
+    SELECT slug, job_id, CAST(least(99, greatest(1, floor(100.0::DOUBLE * (processed + w) / 8 + 0.5))) AS INTEGER) AS percent, CAST(greatest(0, floor(({_NOW} - started) / 1000.0::DOUBLE + 0.5)) AS BIGINT) AS elapsed_seconds FROM w"""
+)
+def job_percent_eta(spark, d):
+    """Files read as jobs of eight files, at a fixed time."""
+    return Jobs.snapshot(_progress(spark, d), F.lit(_NOW)).select("slug", "job_id", "percent", "elapsed_seconds")
+
+
+@query(f"SELECT slug, CAST(sum(CASE WHEN contains(path, '/') THEN 1 ELSE 0 END) AS BIGINT) AS nested, count_if(path = 'gost' OR starts_with(path, 'gost@batch') OR starts_with(path, 'gost/') OR starts_with('gost', path || '/')) AS concerned FROM {_FILES} GROUP BY slug")
+def jobs_of_scope(spark, d):
+    """Files read as jobs' scopes: how many concern a folder."""
+    own = _files(spark, d)
+    return own.groupBy("slug").agg(F.sum(F.when(F.col("path").contains("/"), 1).otherwise(0)).alias("nested"), F.count_if(J.matches_scope(F.col("path"), F.lit("gost"))).alias("concerned"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_rollup(spark, d):
+    """Events per day and kind (an extension; the library's own log has no windows)."""
+    return Jobs.rollup(table(spark, d, "events"), "ts", "1 day", "event_type").withColumn("value", F.round("value", 4))
