@@ -185,6 +185,8 @@ class Model:
         return ll[:, 1:].max(axis=1) - ll[:, 0]
 
     def _better(self, word: str) -> bool:
+        if len(word) == 1:
+            return False  # a sign alone is no evidence
         ll = self.likelihoods([word])[0]
         back = invert(word, self.chains[int(ll[1:].argmax())])
         return back is not None and float(self.right([back])[0]) > ll[0]
@@ -272,6 +274,9 @@ class Repairer:
                     return chain, True
         return None
 
+    def _known(self, word: str) -> bool:
+        return word in self.model.known or word.strip(_MARKS) in self.model.known
+
     def restore(self, text: str, rounds: int = 6) -> tuple[str, list[str], bool]:
         """(restored text, chains found, whether every stretch was restored)."""
         found, whole = [], True
@@ -288,7 +293,8 @@ class Repairer:
                     continue
                 for a, b in spots[x:y]:
                     back = invert(text[a:b], chain)
-                    if back is not None:
+                    # a right word at the edge of a stretch stays
+                    if back is not None and (not self._known(text[a:b]) or self._known(back)):
                         parts += [text[at:a], back]
                         at = b
             text = "".join([*parts, text[at:]])
