@@ -116,6 +116,21 @@ _ASCII = ((np.arange(128)[:, None] * 256 + np.arange(128)).ravel().astype(np.uin
 _CYRILLIC = re.compile("[\u0400-\u052f]")
 
 
+_UTF = [c for c in chains() if c[0][0] == "utf-8"]
+
+
+def decodable(word: str) -> tuple | None:
+    """The chain from UTF-8 by which all of ``word`` decodes strictly into fewer characters.
+    Rightly decoded words are no valid UTF-8 in another encoding, but by rare chance."""
+    if LOST in word:
+        return None
+    for chain in _UTF:
+        back = invert(word, chain)
+        if back is not None and len(back) < len(word) and not any("\x80" <= c <= "\x9f" for c in back):
+            return chain
+    return None
+
+
 _MARKS = ".,;:!?()[]«»\"'"
 
 
@@ -125,7 +140,7 @@ class Model:
 
     def __init__(self, words: Counter, smooth: float = 0.05):
         self.chains = chains()
-        kept = sorted(w for w in words if not w.isascii() and LOST not in w) or ["ё"]
+        kept = sorted(w for w in words if not w.isascii() and LOST not in w and not decodable(w)) or ["ё"]
         for final in (False, True):
             weight = np.sqrt(np.array([words[w] or 1 for w in kept], np.float64))
             table = np.empty((BINS, len(self.chains) + 2), np.float32)
@@ -216,7 +231,13 @@ class Repairer:
             # a word alone says little: no word is worth more than a few stretches
             known = self.model.known
             score = np.clip(self.model.scores(speaking), -12.0, 40.0).tolist()
-            seen.update((w, -12.0 if w in known or w.strip(_MARKS) in known else s) for w, s in zip(speaking, score))
+            usual = self.model.usual
+            for w, s in zip(speaking, score):
+                if w in known or w.strip(_MARKS) in known:
+                    s = -12.0
+                elif s < EVIDENCE + 1 and (chain := decodable(w)) and usual.issuperset(invert(w, chain)):
+                    s = EVIDENCE + 1
+                seen[w] = s
         return [seen[w] for w in words]
 
     def find(self, text: str) -> list[tuple[int, int, tuple, bool]]:
@@ -254,8 +275,9 @@ class Repairer:
             return model.chains[-1], False
         ll = model.likelihoods(speaking)
         total = ll.sum(axis=0)
-        for k in np.argsort(-total[1:])[:4].tolist():
-            chain = model.chains[k]
+        strict = Counter(c for w in speaking if (c := decodable(w)))
+        likely = [model.chains[k] for k in np.argsort(-total[1:])[:4].tolist()]
+        for chain in dict.fromkeys([likely[0], *(c for c, n in strict.most_common(2) if n * 2 > len(speaking)), *likely]):
             back = [invert(w, chain) for w in speaking]
             right = [(w, r) for w, r in zip(speaking, back) if r is not None and r != w]
             if len(right) * 2 <= len(speaking):
