@@ -191,17 +191,19 @@ def for_query(documents: DataFrame, files: DataFrame, pages: DataFrame, meta: Da
             hits = S.routed_search(documents, routes, meta, query, 12)
     hits = hits if hits is not None else S.search(documents, files, query, 12)
     hits = S.named(S.of_types(S.in_folders(hits, list(folders)), own, list(types)), list(wanted))
-    in_scope = 0
+    in_scope, stands_in = 0, False
     if scope:
         hits = S.in_scope(hits, scope)
         inside = indexable_files(files, scope)
-        in_scope = inside.limit(4).count()
+        in_scope, stands_in = inside.limit(4).count(), hits.isEmpty()
         hits = S.with_fallback(hits, inside)
-    few = len(hits.limit(3).collect())
+    few = hits.limit(3).count()
     use_wide = width(prefer_wide, in_scope, few)
     most, limit = (max(most, 80_000), min(limit, 2)) if use_wide else (most, limit)
-    ranked = hits.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.collate("name", "ru"), "path", "slug"))) if not scope or few else hits.withColumn("rank", F.row_number().over(W.orderBy(F.collate("path", "ru"))))
-    ranked = ranked.filter(F.col("rank") <= limit)
+    # files that stand in for missing hits come in the order of their paths
+    order = [F.desc("score"), F.collate("name", "ru"), "path", "slug"] if not stands_in else [F.collate("path", "ru"), "slug"]
+    ranked = hits.orderBy(*order).limit(limit)
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))  # a few rows
     chosen = documents.join(ranked.select("slug", "path", "rank"), ["slug", "path"])
     text = chosen.withColumn("text", F.substring(T.trim(F.col("text")), 1, 120_000))
     built = build(text, pages.join(text.select(*KEYS).distinct(), KEYS, "left_semi"), query, most, list(boost), use_wide)
