@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +24,25 @@ def local_session(cores: int | str = "*", app: str = "scriptorium", partitions:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return reachable(spark)
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever the driver found it.
+
+    On one machine its folder is put on their path; on a cluster the package is sent along
+    once per session.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        known = context.environment.get("PYTHONPATH", "")
+        if home not in known.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
+    elif not getattr(spark, "_scriptorium_sent", False):
+        bundle = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "scriptorium"), "zip", home, "scriptorium")
+        context.addPyFile(bundle)
+        spark._scriptorium_sent = True
     return spark
 
 
