@@ -377,14 +377,14 @@ def reindex_counts(spark, d):
     return L.reindex_counts(results, "slug")
 
 
-@query(f"SELECT entry_id, extractor, confidence, chars FROM {_META}")
+@query(f"SELECT entry_id, extractor, confidence, CAST(chars AS DOUBLE) AS chars FROM {_META}")
 def latest_extraction(spark, d):
-    return _meta(spark, d).select("entry_id", "extractor", "confidence", "chars")
+    return _meta(spark, d).select("entry_id", "extractor", "confidence", F.col("chars").cast("double").alias("chars"))
 
 
-@query(f"SELECT slug, path, name, nullif(size, -1) AS size, modified_at FROM {_FILES}")
+@query(f"SELECT slug, path, name, CAST(nullif(size, -1) AS DOUBLE) AS size, modified_at FROM {_FILES}")
 def current_file_states(spark, d):
-    return _files(spark, d).select("slug", "path", "name", "size", "modified_at")
+    return _files(spark, d).select("slug", "path", "name", F.col("size").cast("double").alias("size"), "modified_at")
 
 
 @query(
