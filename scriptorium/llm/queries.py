@@ -108,4 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "p1_found": "SELECT DISTINCT page_id FROM document_pages WHERE length(text) > 2000",
+    "p6_found": r"""WITH w AS (SELECT entry_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM extracted_documents WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT entry_id, g FROM (SELECT entry_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w)),
+        n AS (SELECT entry_id, count(*) AS n FROM s GROUP BY entry_id),
+        j AS (SELECT a.entry_id AS entry_a, b.entry_id AS entry_b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.entry_id < b.entry_id GROUP BY ALL)
+        SELECT entry_a, entry_b FROM j JOIN n a ON a.entry_id = entry_a JOIN n b ON b.entry_id = entry_b WHERE c >= 0.7 * (a.n + b.n - c)""",
 }
