@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: White space as the library's readers understand it, non-breaking and zero-width no-break space included.
 SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 
+#: The same as single characters.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # Words that don't count in a query.
 STOP_WORDS = (
     "какие какой какая какое сколько данной этой установке установка установки посмотри "
@@ -39,7 +42,7 @@ def let(c: Column, f) -> Column:
 
 def trim(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import catalog as C
 from scriptorium.functions import paths as P
 from scriptorium.functions import text as T
+from scriptorium.session import spread
 
 HITS = "slug string, path string, name string, snippet string, score double"
 PENALTY = 0.85
@@ -21,10 +22,13 @@ def _ranked(hits: DataFrame, limit: int | None) -> DataFrame:
 def text_hits(documents: DataFrame, query: str) -> DataFrame:
     """Hits among texts. The file name can make a document match, but only its text scores."""
     asked = T.query_terms(query)
-    own = documents.filter(F.col("text").isNotNull()).withColumn("name", P.base_name(F.col("path"))).filter(T.matches(F.col("text"), F.col("name"), asked))
-    own = own.withColumn("normal", T.normalized(F.col("text")))
-    score = (2 + T.occurrences(F.col("normal"), asked)).cast("double")
-    return own.select("slug", "path", "name", T.snippet(F.col("text"), T.first_hit(F.col("normal"), asked), F.col("name")).alias("snippet"), score.alias("score"))
+    own = spread(documents.filter(F.col("text").isNotNull()).select("slug", "path", "text")).withColumn("name", P.base_name(F.col("path")))
+    # each text is normalised once; the generator keeps the filter from being computed a second time below it
+    facts = T.let(T.normalized(F.col("text")), lambda t: F.struct(T.occurrences(t, asked).alias("n"), T.first_hit(t, asked).alias("at")))
+    own = own.withColumn("facts", F.explode(F.array(facts)))
+    # no term holds a space, so a match lies in the text or in the name
+    hit = (F.col("facts.n") > 0) | T.matches(F.lit(""), F.col("name"), asked)
+    return own.filter(hit).select("slug", "path", "name", T.snippet(F.col("text"), F.col("facts.at"), F.col("name")).alias("snippet"), (2 + F.col("facts.n")).cast("double").alias("score"))
 
 
 def name_hits(files: DataFrame, query: str) -> DataFrame:
@@ -57,7 +61,7 @@ def routed_search(documents: DataFrame, routes: DataFrame, meta: DataFrame, quer
     if not query.strip():
         return documents.sparkSession.createDataFrame([], HITS)
     own = documents.join(routes.select("slug", "path").distinct(), ["slug", "path"], "left_semi")
-    own = own.withColumn("text", F.nullif(F.substring(T.trim(F.col("text")), 1, 120_000), F.lit("")))
+    own = own.withColumn("text", T.let(F.substring(T.trim(F.col("text")), 1, 120_000), lambda t: F.when(t != "", t)))
     hits = text_hits(own, query).join(meta.select("slug", "path", "index_status"), ["slug", "path"], "left")
     score = F.when(F.col("index_status") == "partial", F.col("score") * PENALTY).otherwise(F.col("score"))
     return _ranked(hits.select("slug", "path", "name", "snippet", score.alias("score")), limit)
@@ -89,7 +93,7 @@ def named(hits: DataFrame, wanted: list[str]) -> DataFrame:
 
 def enriched(hits: DataFrame, documents: DataFrame, meta: DataFrame, chars: int = 2000) -> DataFrame:
     """Hits with the beginning of their text (the snippet where there is none) and extraction."""
-    text = documents.select("slug", "path", F.nullif(F.substring(T.trim(F.col("text")), 1, chars), F.lit("")).alias("text"))
+    text = documents.select("slug", "path", T.let(F.substring(T.trim(F.col("text")), 1, chars), lambda t: F.when(t != "", t)).alias("text"))
     return hits.join(text, ["slug", "path"], "left").withColumn("text", F.coalesce("text", "snippet")).join(meta, ["slug", "path"], "left")
 
 

@@ -84,4 +84,4 @@ def spread(df: DataFrame) -> DataFrame:
     so nothing is shuffled at scale.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores // 2, 32) else df
