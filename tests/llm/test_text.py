@@ -127,6 +127,18 @@ def test_scan_of_empty_tables(scanned):
     assert p3.found(df.limit(0)).count() == 0 and p3.paragraphs(df.filter("text is null")).count() == 1
 
 
+def test_running_lines_misread_anywhere(spark):
+    heads = {
+        1: ["Приказ № 2447", "Приказ № 2447", "Прик.з № 2447", "Прика1 № 2447"],  # beside lines that repeat
+        2: ["Памятка № 344", "Памя.ка № 344"],  # each stands once
+        3: ["Журнал № 17", "Журнал № 17", "Отчёт № 52", "Отчёт № 52", "Жур.ал № 17", "Отч.т № 52"],  # like the less frequent line too
+        4: ["Раздел первый", "Схема соединений", "Перечень кабелей"],
+    }
+    rows = [(10 * e + k, e, "s", k + 1, "\n".join(["9    " + head, *SENTENCES[k : k + 3]]), "", 0) for e, own in heads.items() for k, head in enumerate(own)]
+    got = {r.page_id for r in p3.noise(spark.createDataFrame(rows, PAGE)).filter("running").collect()}
+    assert got == {r[0] for r in rows if r[1] != 4}
+
+
 def test_skip_gram_brings_words_of_like_contexts_together():
     import numpy as np
 
