@@ -18,10 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import bounded_sample
-from scriptorium.session import spread
+from scriptorium.session import durable, spread
 
 #: Texts the classifier is trained on, at most; everything else covers all texts.
 SAMPLE = 2400
+#: A word is known if it makes up so large a part of all words that aren't ASCII (and stands
+#: 3 times); so many are kept, the most frequent first.
+FREQUENT = 4e-7
+WORDS = 400_000
+#: How many times more frequent than its garbled form a word is.
+RATIO = 10
 BINS = 1 << 16
 #: Least evidence, in nats, that a stretch is garbled.
 EVIDENCE = 14.0
@@ -166,12 +172,35 @@ class Model:
         for w in kept:
             bare[w.strip(_MARKS)] += words[w]
         self.known |= {w for w, n in bare.items() if n >= 3}
-        often = Counter()
+        self.often: Counter = Counter()
         for w in kept:
-            often.update(dict.fromkeys(w, words[w]))
-        self.usual = {c for c, n in often.items() if n >= 5} | set(map(chr, range(32, 127)))
+            self.often.update(dict.fromkeys(w, words[w]))
+        self.usual = {c for c, n in self.often.items() if n >= 5} | set(map(chr, range(32, 127)))
         self.known |= {v for w in self.known for v in (w.lower(), w.upper(), w.capitalize())}
 
+    def learn(self, counts: dict[str, int]) -> None:
+        """Take words, counted over all texts, for known, but those that are garbled or look
+        like a much more frequent word that was."""
+        folded: Counter = Counter()
+        for w, n in counts.items():
+            folded[w.lower()] += n
+
+        def garbled(w):
+            if decodable(w + "»") or decodable("«" + w):
+                return True  # the mark taken off was part of a letter
+            backs = [*(invert(w, c) for c in self.chains), "".join(c for c in w if c in self.usual)]
+            return any(b and b != w and folded[b.strip(_MARKS).lower()] >= RATIO * counts[w] for b in backs)
+
+        new = [w for w in counts if w not in self.known and not w.isascii() and LOST not in w and not decodable(w)]
+        kept = []
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            kept += [w for w, s in zip(some, self.scores(some).tolist()) if not (s > 2 and self._better(w)) and not garbled(w)]
+        self.known.update(v for w in kept for v in (w, w.lower(), w.upper(), w.capitalize()))
+        for w in kept:
+            self.often.update(dict.fromkeys(w, counts[w]))
+        self.usual |= {c for c, n in self.often.items() if n >= 5}
+
     @staticmethod
     def _column(words, weight, smooth) -> np.ndarray:
         if not words:
@@ -346,12 +375,21 @@ def name(chain: tuple) -> str:
     return " ".join(f"{w}>{r}" for w, r in chain)
 
 
+def _words_in(texts: DataFrame, column: str) -> DataFrame:
+    return texts.select(F.explode(F.split(column, r"[ \n\t\r]+")).alias("w")).filter(F.col("w").rlike(r"[^\x00-\x7f]"))
+
+
 def train(texts: DataFrame, column: str = "text", key: str = "entry_id", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` texts, chosen by a hash of their key (the documented
-    bound of the training sample: that many texts' distinct words come to the driver)."""
+    bound of the training sample: that many texts' distinct words come to the driver), that
+    knows the words of all texts: those above a share of all words, at most ``WORDS``."""
     some = bounded_sample(texts.select(key, column), key, sample)
-    words = some.select(F.explode(F.split(F.substring(column, 1, 20000), r"[ \n\t\r]+")).alias("w")).filter(F.col("w").rlike(r"[^\x00-\x7f]"))
-    return Model(Counter({r.w: r.n for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()}))
+    model = Model(Counter({r.w: r.n for r in _words_in(some, column).groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()}))
+    bare = _words_in(spread(texts.select(column)), column).select(F.btrim("w", F.lit(_MARKS)).alias("w"))
+    counts = durable(bare.groupBy("w").agg(F.count("*").alias("n")), "p2-words")
+    least = max(3, int((counts.agg(F.sum("n")).first()[0] or 0) * FREQUENT))
+    model.learn({r.w: r.n for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(WORDS).collect()})
+    return model
 
 
 def shared(spark: SparkSession, model: Model):

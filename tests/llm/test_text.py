@@ -64,6 +64,18 @@ def test_rates_and_empty_tables(spark, entries):
     assert p2.found(df.limit(0)).count() == 0 and p2.found(df.filter("text is null")).count() == 0
 
 
+def test_words_of_all_texts_are_known(spark):
+    rows = [(k, "x" * 20_000 + " замыкание" if k == 0 else SENTENCES[k % 6]) for k in range(40)] + [(100 + k, "Перечень: «шпунтованный» настил.") for k in range(4)]
+    bad = p2.garble("замыкания", (("cp1251", "cp1252"),))
+    rows += [(200 + k, f"Показатель {bad} фиксируется.") for k in range(3)]
+    df = spark.createDataFrame(rows, "entry_id long, text string")
+    own = {r.entry_id for r in p2.bounded_sample(df, "entry_id", 6).collect()}
+    model = p2.train(df, sample=6)
+    assert not own >= set(range(100, 104)) and "шпунтованный" in model.known and "настил" in model.known
+    assert bad not in model.known
+    assert p2.train(df.filter("entry_id = 0")).often["к"] == 1  # the end of a long text
+
+
 @pytest.mark.parametrize("chain", [c for c in p2.chains() if c[-1][1] != "utf-8"])
 def test_chains_can_be_inverted(chain):
     word = "größe" if chain[0][0] == "cp1252" else "замыкания"
