@@ -32,20 +32,30 @@ LIMITS = 4096  # (source, kind, length) triples kept, the most frequent first
 #: What may stand after a cut: white space, marks of omission with a few words, a broken character.
 _AFTER = re.compile(r"(?:\s|�|…|\[…\]|\[\.\.\.\]|\.\.\.)+(?:[^\W\d_]+(?: [^\W\d_]+){0,2}\s*)?$")
 _MARK = re.compile(r"…|\.\.\.|\[\.\.\.\]")
-_SPACE_AFTER = re.compile(r"[\s�]+$")
+_MARKS = ("[…]", "[...]", "…", "...")
 _END = re.compile(r"[.!?…](?=[\s»”\"')\]]|$)")
 _PAIRS = {"«": "»", "“": "”", "„": "“", "(": ")", "[": "]"}
 
 
+def _solid(text: str, n: int) -> int:
+    """Where text[:n] ends without white space and broken characters, however many."""
+    while n and (text[n - 1] == "�" or text[n - 1].isspace()):
+        n -= 1
+    return n
+
+
 def stripped(text: str) -> tuple[str, str]:
     """``text`` without what may stand after a cut, and the kind of what stood there."""
-    m = _AFTER.search(text, max(0, len(text) - 64))
-    if m and _MARK.search(m.group()):
-        return text[: m.start()], "mark"
-    m = _SPACE_AFTER.search(text, max(0, len(text) - 64))
-    if m:
-        return text[: m.start()], "broken" if "�" in m.group() else "space"
-    return text, "none"
+    n = _solid(text, len(text))
+    broken = "�" in text[n:]
+    m = _AFTER.search(text, max(0, n - 64), n)
+    # a broken character stands at the cut, not after words of an omission
+    if m and _MARK.search(m.group()) and not (broken and m.group()[-1].isalpha()):
+        n = m.start()
+        while (k := _solid(text, n)) < n or text.endswith(_MARKS, 0, n):
+            n = k if k < n else n - next(len(x) for x in _MARKS if text.endswith(x, 0, n))
+        return text[:n], "mark"
+    return text[:n], "broken" if broken else "space" if n < len(text) else "none"
 
 
 def _shape(s: str) -> str:

@@ -298,6 +298,14 @@ def test_cut_texts(cut):
     assert ("limit", "c", 400) in {(r.source, r.kind, r.length) for r in p9.limits(df).collect()}
 
 
+@pytest.mark.parametrize(
+    "after, kind",
+    [("", "none"), (" ", "space"), (" " * 200, "space"), ("\n" * 500 + "\t", "space"), ("�" * 100, "broken"), (" �" * 90, "broken"), ("…" + " " * 100, "mark"), (" " * 100 + "[…] далее", "mark"), ("…" * 100, "mark")],
+)
+def test_what_stands_after_a_cut_is_taken_off(after, kind):
+    assert p9.stripped("Проверка кабельной ли" + after) == ("Проверка кабельной ли", kind)
+
+
 def test_held_out_accuracy():
     import numpy as np
 
