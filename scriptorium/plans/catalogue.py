@@ -571,8 +571,8 @@ def history_prefix_pending(spark, d):
 
 @query()
 def expand_requests(spark, d):
-    """What each message would do, the first words of each text being the message."""
-    own = _talk(spark, d).withColumns({"content": F.array_join(F.slice(F.split(F.col("content"), " "), 1, 2), " "), "mode": F.lit("idle"), "has_pending": F.lit(True), "slug": F.lit("electro")})
+    """What each message would do, each text being the message."""
+    own = _talk(spark, d).withColumns({"mode": F.lit("idle"), "has_pending": F.lit(True), "slug": F.lit("electro")})
     return A.routed(own).select("conv_id", "turn", "action", A.asks_to_expand(F.col("content")).alias("expand"))
 
 

@@ -260,6 +260,15 @@ def test_expand(spark, text, yes):
     assert spark.createDataFrame([(text,)], "t string").select(A.asks_to_expand(F.col("t")).alias("v")).first().v is yes
 
 
+def test_requests_are_read_whole(spark, tmp_path):
+    from scriptorium.plans.catalogue import QUERIES
+
+    texts = {1: "Покажи полный перечень оборудования", 2: "  Перечень оборудования", 3: "Покажи полный ответ", 4: "да, но сначала уточни", 5: None, 6: "Да"}
+    spark.createDataFrame([(k, "c", t) for k, t in texts.items()], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.turn: (r.action, r.expand) for r in QUERIES["expand_requests"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("ask", False), 2: ("ask", False), 3: ("expand", True), 4: ("ask", False), 5: ("ignore", False), 6: ("expand", True)}
+
+
 def test_conversations(spark):
     rows = [("c", k, "assistant" if k in (3, 7) else "user", "x", k in (3, 7)) for k in range(10)] + [("d", 1, "user", "y", False)]
     df = spark.createDataFrame(rows, "conv_id string, turn int, role string, content string, pending boolean")
