@@ -151,6 +151,12 @@ def test_running_lines_misread_anywhere(spark):
     assert got == {r[0] for r in rows if r[1] != 4}
 
 
+def test_two_letters_with_a_digit_may_be_a_very_frequent_word():
+    reader = p3.Reader({"по": 40_000, "бы": 40_000, "пт": 40, "состояние": 9_000, "т0": 900, "то": 50_000}, 3, {})
+    assert reader.best("п0", []) == "по" and reader.best("6ы", []) == "бы" and reader.misread("Инструкция п0 передаче графика")
+    assert not reader.link("п7") and not reader.link("П0") and not reader.link("т0") and not reader.link("ж0")
+
+
 def test_skip_gram_brings_words_of_like_contexts_together():
     import numpy as np
 
