@@ -77,12 +77,12 @@ def encoded(spark, rows, **options):
 ODD = ["слово ", "a1", "  ", "\n", " <|endoftext|>", "ü", "😀", "x" * 9, "it's ", "工業", "\r\n\t", "́"]
 
 
-@pytest.mark.parametrize("chunk, reach", [(64, 32), (50, 49), (1 << 20, 1 << 12)])
-def test_chunks_encode_as_the_whole(spark, chunk, reach):
+@pytest.mark.parametrize("chunk, reach, spread_over", [(64, 32, 1 << 20), (50, 49, 120), (32, 8, 64), (1 << 20, 1 << 12, 1 << 20)])
+def test_chunks_encode_as_the_whole(spark, chunk, reach, spread_over):
     text = lambda n: "".join(rnd.choice(ODD) for _ in range(n))
-    rows = [(1, None), (2, ""), (3, "hi"), (4, text(200)), (4, text(300)), (5, "a" * 300 + text(50)), (6, text(30)), (7, " " * 500), (8, text(100) + "b" * 100 + text(60)), (9, "1" * 200), (6, "hi"), (6, "hi")]
+    rows = [(1, None), (2, ""), (3, "hi"), (4, text(200)), (4, text(300)), (5, "a" * 300 + text(50)), (6, text(30)), (7, " " * 500), (8, text(100) + "b" * 100 + text(60)), (9, "1" * 200), (6, "hi"), (6, "hi"), (10, text(40) + "工" * 700 + text(40)), (11, "a\x1cb \x1d " * 90), (12, "it's we're " * 60)]
     whole = p7.tokenizer()
-    assert encoded(spark, rows, chunk=chunk, reach=reach) == sorted((i, whole.encode_ordinary(t or "")) for i, t in rows)
+    assert encoded(spark, rows, chunk=chunk, reach=reach, spread_over=spread_over) == sorted((i, whole.encode_ordinary(t or "")) for i, t in rows)
 
 
 def test_another_library_gives_the_same_ids(spark):
@@ -103,6 +103,13 @@ def test_decoding_and_counts(spark):
     assert p7.encode(df.limit(0)).count() == 0
 
 
+def test_pieces_stay_near_the_size_of_a_chunk():
+    text = "".join(rnd.choice(ODD) for _ in range(3000)) + "b" * 900 + "".join(rnd.choice(ODD) for _ in range(3000))
+    at = [*p7.begins(text, 128, 32, p7._pattern()), len(text)]
+    assert at == sorted(set(at)) and set(at[1:-1]) <= set(p7.boundaries(text, p7._pattern()).tolist())
+    assert max(b - a for a, b in zip(at, at[1:])) < 900 + 4 * 128 and len(at) > len(text) // 300
+
+
 def test_stitch_needs_a_common_boundary():
     pattern = p7._pattern()
     assert p7.stitch("a" * 100, 50, pattern) is None
