@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from scriptorium.session import spread
@@ -110,7 +111,7 @@ def _ids(texts: list, core, chunk: int, reach: int, pattern) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends[np.cumsum([0, *sizes])], pa.int32()), pa.array(flat))
 
 
-def _encoded(df: DataFrame, keys: str, name: str, folder: str, chunk: int, reach: int) -> DataFrame:
+def _encoded(df: DataFrame, name: str, folder: str, chunk: int, reach: int) -> DataFrame:
     """Column ``text`` of ``df`` as ``ids``; the columns before it stay. A few hundred rows at a time."""
     kept = df.columns[:-1]
     width = len(kept)
@@ -122,11 +123,12 @@ def _encoded(df: DataFrame, keys: str, name: str, folder: str, chunk: int, reach
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*some.columns[:width], _ids(some.column(width).to_pylist(), core, chunk, reach, pattern)], names=[*kept, "ids"])
 
-    return df.mapInArrow(run, f"{keys}, ids array<int>")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def encode(documents: DataFrame, name: str = NAME, folder: str = FOLDER, chunk: int = CHUNK, reach: int = REACH, spread_over: int = SPREAD) -> DataFrame:
-    """(doc_id, ids): the token ids of each text, without special tokens.
+def encode(documents: DataFrame, name: str = NAME, folder: str = FOLDER, chunk: int = CHUNK, reach: int = REACH, spread_over: int = SPREAD, keys: tuple = ("doc_id",)) -> DataFrame:
+    """(doc_id, ids): the token ids of each text, without special tokens; ``keys`` names the
+    columns to keep in place of doc_id.
 
     One row for each row of ``documents``, repeated rows included. Null and empty texts
     give an empty list; strings that look like special tokens are ordinary text. Chunks of a
@@ -134,12 +136,12 @@ def encode(documents: DataFrame, name: str = NAME, folder: str = FOLDER, chunk:
     that size are stitched to one another, so that several tasks share it. A piece is longer
     than two chunks only where one pre-token is. Further columns are ignored.
     """
-    own = documents.select("doc_id", "text")
-    usual = _encoded(spread(own.filter(F.coalesce(F.length("text"), F.lit(0)) <= spread_over)), "doc_id long", name, folder, chunk, reach)
+    own = documents.select(*keys, "text")
+    usual = _encoded(spread(own.filter(F.coalesce(F.length("text"), F.lit(0)) <= spread_over)), name, folder, chunk, reach)
     # a row's own number keeps repeated doc_ids apart
     rows = own.filter(F.length("text") > spread_over).withColumn("row", F.monotonically_increasing_id())
     start = F.sequence(F.lit(0), F.length("text") - 1, F.lit(spread_over))
-    parts = rows.select("doc_id", "row", F.length("text").alias("n"), F.posexplode(F.transform(start, lambda a: F.substring("text", a + 1, F.lit(spread_over + reach)))).alias("k", "text"))
+    parts = rows.select(*keys, "row", F.length("text").alias("n"), F.posexplode(F.transform(start, lambda a: F.substring("text", a + 1, F.lit(spread_over + reach)))).alias("k", "text"))
     parts = parts.repartition("row", "k")
 
     def find(batches):
@@ -150,7 +152,7 @@ def encode(documents: DataFrame, name: str = NAME, folder: str = FOLDER, chunk:
             own = [sure(t[:spread_over]) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.int32()), pa.array(own, pa.int32())], names=[*batch.schema.names, "cut", "sure"])
 
-    cut = parts.mapInArrow(find, "doc_id long, row long, n int, k int, text string, cut int, sure int")
+    cut = parts.mapInArrow(find, T.StructType([*parts.schema.fields, T.StructField("cut", T.IntegerType()), T.StructField("sure", T.IntegerType())]))
     before = W.partitionBy("row").orderBy("k")
     held = (F.col("k") == 0) | F.col("sure").isNotNull()
     at = F.when(F.col("k") == 0, 0).otherwise(F.coalesce(F.when(F.lag(held).over(before), F.lag("cut").over(before) - spread_over), F.col("sure")))
@@ -159,11 +161,11 @@ def encode(documents: DataFrame, name: str = NAME, folder: str = FOLDER, chunk:
     # what stands before a part's first piece ends the piece before it
     head = F.struct((F.col("piece") - F.col("at").isNotNull().cast("int")).alias("piece"), F.lit(0).alias("half"), F.expr("substring(text, 1, coalesce(at, length(text)))").alias("part"))
     tail = F.struct("piece", F.lit(1).alias("half"), F.expr("substring(text, at + 1, length(text))").alias("part"))
-    halves = cut.select("doc_id", "row", "k", F.explode(F.array(head, tail)).alias("x")).filter("length(x.part) > 0")
-    pieces = halves.groupBy("doc_id", "row", "x.piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x.half", "x.part"))), lambda x: x["part"]), "").alias("text"))
-    long = _encoded(pieces, "doc_id long, row long, piece long", name, folder, chunk, reach)
-    long = long.groupBy("doc_id", "row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return usual.unionByName(long.select("doc_id", "ids"))
+    halves = cut.select(*keys, "row", "k", F.explode(F.array(head, tail)).alias("x")).filter("length(x.part) > 0")
+    pieces = halves.groupBy(*keys, "row", "x.piece").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x.half", "x.part"))), lambda x: x["part"]), "").alias("text"))
+    long = _encoded(pieces, name, folder, chunk, reach)
+    long = long.groupBy(*keys, "row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return usual.unionByName(long.select(*keys, "ids"))
 
 
 def token_counts(documents: DataFrame, name: str = NAME, folder: str = FOLDER) -> DataFrame:

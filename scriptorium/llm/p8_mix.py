@@ -1,12 +1,12 @@
 """Problem 8: mix sources to target weights, in tokens of a public tokenizer.
 
-The texts of a source, in a fixed order, are one long run of tokens, cut into blocks of a
-fixed length. A mix is a number of slots; each output shard draws how many of its slots
-each source fills (multinomial counts, conditional on the mix's totals, so that shares
-come out exactly and no cap is passed). The slots of a source, numbered through all shards,
-go through a pseudorandom permutation of its block numbers, a new one for each repeat, and
-are joined to the blocks by number. Blocks are spans of records until someone asks for
-their tokens, so no token is moved to make a mix.
+The texts of a source, in a fixed order, are one long run of tokens, packed into blocks of a
+fixed length. A mix is a number of slots; each output shard draws from a multinomial how
+many of its slots each source fills. So that shares come out exactly and no cap is passed,
+the few slots that a source was drawn too often, at pseudorandom places, go to the sources
+drawn too rarely. The slots of a source, numbered through all shards, go through a
+pseudorandom permutation of its block numbers, a new one for each repeat, and are joined to
+the blocks by number. ``mixed`` gives blocks as spans of records, ``packed`` their tokens.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from scriptorium.llm.p7_encode import CHUNK, FOLDER, NAME, encode, tokenizer
-from scriptorium.session import durable, spread
+from scriptorium.llm.p7_encode import FOLDER, NAME, encode
+from scriptorium.session import durable
 
 BLOCK = 512  # tokens of a block
-SHARDS = 1024  # output shards of a mix, at most
-SLOTS = 256  # slots of a shard, at least
+SLOTS = 256  # slots of a shard, at least; a shard has fewer than twice as many
+GROUP = 128  # shards that are drawn together by one task
 
 
 def permuted(j: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -47,21 +47,11 @@ def permuted(j: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def sizes(documents: DataFrame, sources: list, name: str = NAME, folder: str = FOLDER) -> DataFrame:
-    """(doc_id, source, n, tie): tokens of each record of ``sources`` that has any."""
-    own = documents.filter(F.col("source").isin(sources) & (F.length("text") > 0)).select("doc_id", "source", "text")
-    short = spread(own.filter(F.length("text") <= CHUNK))
-
-    def run(batches):
-        core = tokenizer(name, folder)._core_bpe
-        for batch in batches:
-            n = [len(core.encode_ordinary(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(3)], names=["doc_id", "source", "n", "tie"])
-
-    short = short.withColumn("tie", F.xxhash64("text")).mapInArrow(run, "doc_id long, source string, n long, tie long")
-    long = own.filter(F.length("text") > CHUNK).select("source", F.xxhash64("text").alias("tie"), "doc_id", "text")
-    counted = encode(long.select("doc_id", "text")).select("doc_id", F.size("ids").cast("long").alias("n")).dropDuplicates()
-    return short.unionByName(long.drop("text").join(counted, "doc_id").select("doc_id", "source", "n", "tie"))
+def tokens(documents: DataFrame, sources: list, name: str = NAME, folder: str = FOLDER) -> DataFrame:
+    """(row, doc_id, source, tie, n, ids): each record of ``sources`` that has text, with its tokens."""
+    own = documents.filter(F.col("source").isin(sources) & (F.length("text") > 0)).select("doc_id", "source", F.xxhash64("text").alias("tie"), "text")
+    coded = encode(own, name, folder, keys=("doc_id", "source", "tie"))
+    return coded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "tie", F.size("ids").cast("long").alias("n"), "ids")
 
 
 def placed(sized: DataFrame) -> DataFrame:
@@ -75,21 +65,25 @@ def placed(sized: DataFrame) -> DataFrame:
     total = own.groupBy("source", "range").agg(F.sum("n").alias("of"))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     total = total.select("source", "range", F.coalesce(F.sum("of").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("source", "range").orderBy("h", "doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "range").orderBy("h", "doc_id", "tie", "row").rowsBetween(W.unboundedPreceding, -1)
     own = own.withColumn("own", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return own.join(total, ["source", "range"]).select("doc_id", "source", "n", (F.col("base") + F.col("own")).alias("at"))
+    return own.join(total, ["source", "range"]).select("row", "doc_id", "source", "n", (F.col("base") + F.col("own")).alias("at"))
 
 
-def blocks(at: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(source, block, tokens, spans): spans are (doc_id, from, to) in the records' tokens.
-    A block holds at most ``size`` records; a source's last block may be short."""
+def _parts(at: DataFrame, size: int, *kept) -> DataFrame:
+    """(source, block, x): what of each record lies in each block."""
     first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size)
     part = at.select("*", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.lit(0), F.col("block") * size - F.col("at"))
     end = F.least(F.col("n"), (F.col("block") + 1) * size - F.col("at"))
-    part = part.select("source", "block", F.struct(F.greatest("at", F.col("block") * size).alias("at"), "doc_id", begin.alias("from"), end.alias("to")).alias("x"))
+    return part.select("source", "block", F.struct(F.greatest("at", F.col("block") * size).alias("at"), "doc_id", begin.alias("from"), end.alias("to"), *kept).alias("x"))
+
+
+def blocks(at: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(source, block, tokens, spans): spans are (doc_id, from, to) in the records' tokens.
+    A block holds at most ``size`` records; a source's last block may be short."""
     spans = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["doc_id"].alias("doc_id"), x["from"].alias("from"), x["to"].alias("to")))
-    return part.groupBy("source", "block").agg(F.sum(F.col("x.to") - F.col("x.from")).alias("tokens"), spans.alias("spans"))
+    return _parts(at, size).groupBy("source", "block").agg(F.sum(F.col("x.to") - F.col("x.from")).alias("tokens"), spans.alias("spans"))
 
 
 def plan(targets: list, held: dict[str, int], size: int = BLOCK) -> list[dict]:
@@ -114,53 +108,136 @@ def plan(targets: list, held: dict[str, int], size: int = BLOCK) -> list[dict]:
     return out
 
 
-def draws(rows: list[dict], seed: int = 11) -> list[tuple]:
-    """(mix, shard, source, first, count, blocks): which slots of a source a shard gets."""
+def _mixes(rows: list[dict]) -> list[dict]:
+    """What a task must know of each mix with slots: its sources, slots, blocks and shards."""
     out = []
     for mix in dict.fromkeys(r["mix_name"] for r in rows):
         own = [r for r in rows if r["mix_name"] == mix and r["slots"]]
         total = sum(r["slots"] for r in own)
-        if not total:
-            continue
-        shards = max(1, min(SHARDS, total // SLOTS))
-        rnd = np.random.default_rng([seed, zlib.crc32(mix.encode())])
-        left, next_ = np.array([r["slots"] for r in own]), [0] * len(own)
-        for shard in range(shards):
-            n = total // shards + (shard < total % shards)
-            count = rnd.multivariate_hypergeometric(left, n, method="marginals") if shard < shards - 1 else left
-            left = left - count
-            for k, c in enumerate(count.tolist()):
-                if c:
-                    out.append((mix, shard, own[k]["source"], next_[k], c, own[k]["blocks"]))
-                    next_[k] += c
+        if total:
+            slots = np.array([r["slots"] for r in own], np.int64)
+            out.append({"mix": mix, "sources": [r["source"] for r in own], "slots": slots, "blocks": np.array([r["blocks"] for r in own], np.int64), "total": total, "shards": max(1, total // SLOTS)})
     return out
 
 
-def _slots(spark, drawn: list[tuple]) -> DataFrame:
-    schema = "mix_name string, shard int, source string, first long, count long, blocks long"
-    rows = spark.createDataFrame(drawn, schema) if drawn else spark.createDataFrame([], schema)
-    each = rows.repartition(max(1, spark.sparkContext.defaultParallelism)).select("mix_name", "shard", "source", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("j"))
+def _groups(spark, mixes: list[dict]) -> DataFrame:
+    """(mix, group): every group of shards, numbered within its mix."""
+    sizes = [-(-m["shards"] // GROUP) for m in mixes]
+    ends = np.cumsum(sizes).tolist()
+    number = spark.range(0, sum(sizes), 1, max(1, min(sum(sizes), spark.sparkContext.defaultParallelism * 4)))
+    mix = F.lit(0)
+    for e in ends[:-1]:
+        mix = mix + (F.col("id") >= e).cast("int")
+    first = F.element_at(F.array(*map(F.lit, [0, *ends[:-1]])), mix + 1)
+    return number.select(mix.alias("mix"), (F.col("id") - first).cast("long").alias("group"))
 
-    def run(batches):
-        for batch in batches:
-            j, n = batch.column(4).to_numpy(), batch.column(3).to_numpy()
-            source = batch.column(2).to_pylist()
-            mix = batch.column(0).to_pylist()
-            repeat = j // n
-            block = np.zeros(len(j), np.int64)
-            of: dict = {}
-            for k, key in enumerate(zip(mix, source, repeat.tolist(), n.tolist())):
-                of.setdefault(key, []).append(k)
-            for (m, s, r, size), places in of.items():
-                block[places] = permuted(j[places] % size, size, zlib.crc32(f"{m}|{s}|{r}".encode()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(repeat.astype(np.int32) + 1), pa.array(block)], names=["mix_name", "shard", "source", "repeat", "block"])
 
-    return each.mapInArrow(run, "mix_name string, shard int, source string, repeat int, block long")
+def draws(m: dict, group: int, seed: int = 11) -> np.ndarray:
+    """Slots of each source (columns) in each shard (rows) of a group: multinomial draws."""
+    p = m["slots"] / m["total"]
+    out = []
+    for shard in range(group * GROUP, min(m["shards"], (group + 1) * GROUP)):
+        n = m["total"] // m["shards"] + (shard < m["total"] % m["shards"])
+        out.append(np.random.default_rng([seed, zlib.crc32(m["mix"].encode()), shard]).multinomial(n, p))
+    return np.array(out)
+
+
+def _key(*parts) -> int:
+    return zlib.crc32("|".join(map(str, parts)).encode())
+
+
+def settled(m: dict, drawn: np.ndarray, source: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(source, number) of slots after the repair: ``drawn`` is how often each source was drawn
+    in all shards, ``number`` the place of a slot among those drawn for its source.
+
+    The numbers of a source are permuted; those beyond what it should have are handed, in
+    order, to the sources that have too few, as the numbers these lack.
+    """
+    want = m["slots"]
+    over, lack = np.maximum(drawn - want, 0), np.maximum(want - drawn, 0)
+    first_over, end_lack = np.cumsum(over) - over, np.cumsum(lack)
+    source, out = source.copy(), np.zeros(len(number), np.int64)
+    given = source.copy()
+    for k in range(len(want)):
+        places = np.flatnonzero(given == k)
+        q = permuted(number[places], max(int(drawn[k]), 1), _key(m["mix"], m["sources"][k], "repair"))
+        spare = q >= want[k]
+        r = first_over[k] + q[spare] - want[k]
+        to = np.searchsorted(end_lack, r, side="right")
+        source[places[spare]] = to
+        q[spare] = drawn[to] + r - (end_lack[to] - lack[to])
+        out[places] = q
+    return source, out
+
+
+def _slots(spark, rows: list[dict]) -> DataFrame:
+    """(mix_name, shard, slot, source, repeat, block): every slot of every mix.
+
+    Groups of shards are drawn once for the counts and, by the same seeds, again for the
+    slots, so that nothing but one count per group and source passes between tasks.
+    """
+    mixes = _mixes(rows)
+    schema = "mix_name string, shard long, slot int, source string, repeat int, block long"
+    if not mixes:
+        return spark.createDataFrame([], schema)
+
+    def count(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for i, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, n in enumerate(draws(mixes[i], g).sum(axis=0).tolist()):
+                    for column, value in zip(out, (i, g, k, n)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.int64()))], names=["mix", "group", "k", "n"])
+
+    counted = durable(_groups(spark, mixes).mapInArrow(count, "mix int, group long, k int, n long"), "p8-draws")
+    # one row for each source of each mix
+    drawn = [np.zeros(len(m["slots"]), np.int64) for m in mixes]
+    for r in counted.groupBy("mix", "k").agg(F.sum("n").alias("n")).collect():
+        drawn[r.mix][r.k] = r.n
+    before = W.partitionBy("mix", "k").orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    base = counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # few bytes stand for many slots: as many tasks as for the draws, not what the bytes suggest
+    tasks = max(1, min(sum(-(-m["shards"] // GROUP) for m in mixes), spark.sparkContext.defaultParallelism * 4))
+    groups = base.groupBy("mix", "group").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "base"))), lambda x: x["base"]).alias("base")).repartition(tasks, "mix", "group")
+
+    def fill(batches):
+        for batch in batches:
+            for i, g, first in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                m, each = mixes[i], draws(mixes[i], g)
+                shard = np.concatenate([np.repeat(np.arange(len(each)), each[:, k]) for k in range(each.shape[1])]) + g * GROUP
+                source = np.repeat(np.arange(each.shape[1]), each.sum(axis=0))
+                number = np.concatenate([first[k] + np.arange(n) for k, n in enumerate(each.sum(axis=0).tolist())])
+                source, number = settled(m, drawn[i], source, number)
+                repeat, at = number // m["blocks"][source], number % m["blocks"][source]
+                block = np.zeros(len(at), np.int64)
+                for k, r in np.unique(np.stack((source, repeat)), axis=1).T.tolist():
+                    places = np.flatnonzero((source == k) & (repeat == r))
+                    block[places] = permuted(at[places], int(m["blocks"][k]), _key(m["mix"], m["sources"][k], r))
+                # a shard's slots in pseudorandom order
+                mixed_up = np.random.default_rng([5, _key(m["mix"]), g]).permutation(len(shard))
+                order = mixed_up[np.argsort(shard[mixed_up], kind="stable")]
+                shard, source, repeat, block = shard[order], source[order], repeat[order], block[order]
+                slot = np.arange(len(shard)) - np.searchsorted(shard, shard) + 1
+                names = np.array(m["sources"], object)
+                for a in range(0, len(shard), 1 << 16):
+                    b = a + (1 << 16)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([m["mix"]] * len(shard[a:b]), pa.string()), pa.array(shard[a:b]), pa.array(slot[a:b].astype(np.int32)), pa.array(names[source[a:b]], pa.string()), pa.array((repeat[a:b] + 1).astype(np.int32)), pa.array(block[a:b])],
+                        names=["mix_name", "shard", "slot", "source", "repeat", "block"],
+                    )
+
+    return groups.mapInArrow(fill, schema)
+
+
+def _wanted(targets: DataFrame) -> list:
+    """The targets: small by nature, one row for each mix and source."""
+    return targets.select("mix_name", "source", "target_share", "max_repeats").filter("mix_name is not null and source is not null").dropDuplicates(["mix_name", "source"]).orderBy("mix_name", "source").collect()
 
 
 def mixed(documents: DataFrame, targets: DataFrame, size: int = BLOCK) -> tuple[DataFrame, list[dict]]:
     """(rows, plan): a row (mix_name, shard, slot, source, repeat, block, tokens, spans) for
-    each block of each mix, in the order of shard and slot.
+    each block of each mix.
 
     No block, and so no record, stands in a mix more than its source's max_repeats times.
     Sources without a target, records without text or source, and targets of sources that
@@ -168,18 +245,24 @@ def mixed(documents: DataFrame, targets: DataFrame, size: int = BLOCK) -> tuple[
     are ignored. ``targets`` is small by nature (one row for each mix and source) and read on
     the driver, as are the token totals of its sources.
     """
-    spark = documents.sparkSession
-    wanted = targets.select("mix_name", "source", "target_share", "max_repeats").filter("mix_name is not null and source is not null").dropDuplicates(["mix_name", "source"]).orderBy("mix_name", "source").collect()
-    sized = durable(sizes(documents, sorted({t.source for t in wanted})), "p8-sizes")
+    wanted = _wanted(targets)
+    sized = durable(tokens(documents, sorted({t.source for t in wanted})).drop("ids"), "p8-sizes")
     held = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     rows = plan(wanted, held, size)
-    slots = _slots(spark, draws(rows))
-    joined = slots.join(blocks(placed(sized), size), ["source", "block"])
-    order = W.partitionBy("mix_name", "shard").orderBy(F.xxhash64("mix_name", "shard", "source", "block", "repeat"), "source", "block", "repeat")
-    out = joined.withColumn("slot", F.row_number().over(order))
+    out = _slots(documents.sparkSession, rows).join(blocks(placed(sized), size), ["source", "block"])
     return out.select("mix_name", "shard", "slot", "source", "repeat", "block", F.col("tokens").cast("long").alias("tokens"), "spans"), rows
 
 
+def packed(documents: DataFrame, targets: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(source, block, tokens, ids): the tokens of every block that a mix can draw, once; the
+    blocks of ``mixed`` by their numbers. All sources with a target are packed."""
+    coded = durable(tokens(documents, sorted({t.source for t in _wanted(targets)})), "p8-tokens")
+    at = placed(coded.drop("ids")).join(coded.select("row", "ids"), "row")
+    parts = _parts(at, size, "ids").select("source", "block", F.struct("x.at", "x.doc_id", F.expr("slice(x.ids, cast(x.from as int) + 1, cast(x.to - x.from as int))").alias("ids")).alias("x"))
+    ids = F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ids"]))
+    return parts.groupBy("source", "block").agg(ids.alias("ids")).select("source", "block", F.size("ids").alias("tokens"), "ids")
+
+
 def shares(documents: DataFrame, targets: DataFrame, size: int = BLOCK) -> DataFrame:
     """(mix_name, source, target_share, actual_share, tokens, blocks, max_repeats, most_repeats)
     for each target; a source that holds no text has share 0."""
@@ -192,11 +275,6 @@ def shares(documents: DataFrame, targets: DataFrame, size: int = BLOCK) -> DataF
     return out.select("mix_name", "source", "target_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(F.lit(0.0)).alias("actual_share"), "tokens", "blocks", "max_repeats", "most_repeats")
 
 
-def with_ids(rows: DataFrame, documents: DataFrame, name: str = NAME, folder: str = FOLDER) -> DataFrame:
-    """Rows of ``mixed`` with ``ids``, the tokens of each block: the spans are joined to the
-    encoded records, cut, and put together again."""
-    ids = encode(documents.select("doc_id", "text"), name, folder).dropDuplicates(["doc_id"])
-    parts = rows.select("mix_name", "shard", "slot", F.posexplode("spans").alias("k", "x")).select("mix_name", "shard", "slot", "k", "x.doc_id", F.col("x.from").alias("from"), F.col("x.to").alias("to"))
-    cut = parts.join(ids, "doc_id").select("mix_name", "shard", "slot", F.struct("k", F.expr("slice(ids, cast(`from` as int) + 1, cast(`to` - `from` as int))").alias("ids")).alias("x"))
-    put = cut.groupBy("mix_name", "shard", "slot").agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ids"])).alias("ids"))
-    return rows.drop("spans").join(put, ["mix_name", "shard", "slot"])
+def with_ids(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of ``mixed`` with ``ids``: joined to the packed blocks by their numbers."""
+    return rows.drop("spans").join(blocks.select("source", "block", "ids"), ["source", "block"])

@@ -86,6 +86,10 @@ def p8_mix_rows(spark: SparkSession, folder: str) -> DataFrame:
     return p8_mix.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
 
+def p8_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_mix.packed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return p8_mix.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -103,7 +107,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__.replace("_rows", ""): f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p5_found, p5_composition, p6_found, p6_groups, p7_ids, p8_mix_rows, p8_shares, p9_found, p9_rates, p9_limits)
+    f.__name__.replace("_rows", ""): f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p5_found, p5_composition, p6_found, p6_groups, p7_ids, p8_mix_rows, p8_blocks, p8_shares, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE_SQL: dict[str, str] = {

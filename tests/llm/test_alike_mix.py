@@ -133,7 +133,7 @@ def test_blocks_hold_the_tokens_of_their_records(spark, sources):
     rows, _ = p8.mixed(documents, targets, 64)
     text = {r.doc_id: r.text for r in documents.collect()}
     spans = {(r.mix_name, r.shard, r.slot): r.spans for r in rows.collect()}
-    got = p8.with_ids(rows, documents).collect()
+    got = p8.with_ids(rows, p8.packed(documents, targets, 64)).collect()
     assert len(got) == len(spans)
     for r in got:
         want = [i for s in spans[r.mix_name, r.shard, r.slot] for i in tokenizer().encode_ordinary(text[s.doc_id])[s["from"] : s.to]]
@@ -146,6 +146,19 @@ def test_mix_of_empty_tables(sources):
     assert p8.shares(documents.limit(0), targets).filter("tokens > 0").count() == 0
 
 
+def test_draws_are_settled_to_the_exact_slots():
+    m = {"mix": "m", "sources": ["a", "b", "c", "d"], "slots": np.array([70_000, 20_000, 9_000, 1_001]), "blocks": np.array([50_000, 9_000, 9_000, 400]), "total": 100_001, "shards": 390}
+    each = np.concatenate([p8.draws(m, g) for g in range(4)])
+    assert each.sum() == 100_001 and each.std(axis=0).min() > 0
+    drawn = each.sum(axis=0)
+    source = np.repeat(np.arange(4), drawn)
+    number = np.concatenate([np.arange(n) for n in drawn])
+    got, at = p8.settled(m, drawn, source, number)
+    assert np.bincount(got).tolist() == m["slots"].tolist() and (got != source).sum() == np.maximum(drawn - m["slots"], 0).sum()
+    for k, n in enumerate(m["slots"].tolist()):
+        assert sorted(at[got == k].tolist()) == list(range(n))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_permutations(n):
     for key in (1, 99):
