@@ -5,8 +5,10 @@ length of the perfect Golay code. A segment is decoded to the codewords within d
 four of it, which gives one or six keys; two segments that differ in two bits or fewer
 always share a key, and often with more. By the pigeonhole principle some segment of two
 alike texts has few errors. A key also holds two whole minwise values, so that frequent
-phrases don't fill a bucket. Texts that share a key are joined and verified on all their
-runs. Equal texts are one class from the start.
+phrases don't fill a bucket. Texts that share a key are joined, and those whose fingerprints
+are close are verified on all their runs, taken from the texts again. Equal texts are one
+class from the start. Keys and classes that hold very many rows are split into cells, so
+that no task has a whole one.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ RUN = 3
 #: 0.30 at similarity 0.70 and 0.40 at 0.75; of 22 none does with 0.0004 and 0.00001.
 SEGMENTS = 22
 BITS = 23
+#: Rows of a key or class up to which they stay together; larger ones are split into cells of
+#: about so many. There are never more than ``SPLIT`` such keys, so their list can be broadcast.
+CELL, SPLIT = 2048, 1_000_000
+#: Links of one text from which on it is joined by broadcast while components are sought.
+HUB = 1 << 16
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -86,8 +93,8 @@ class Shingler:
         h = self.seen[w] = xxhash.xxh64_intdigest(w)
         return h
 
-    def sets(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(runs, ends): the distinct runs of all texts one after another, sorted within a text."""
+    def sets(self, texts: list) -> list[np.ndarray]:
+        """The distinct runs of each text, as sorted hashes of 64 bits."""
         seen, words, counts = self.seen, [], []
         for t in texts:
             own = _WORDS.findall(t.lower()) if t else []
@@ -97,18 +104,14 @@ class Shingler:
             except KeyError:
                 words += [seen[w] if w in seen else self._word(w) for w in own]
         h = np.array(words, np.uint64)
-        of = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
-        n = len(h) - self.run + 1
-        if n < 1:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        n = max(len(h) - self.run + 1, 0)
         mixed = np.zeros(n, np.uint64)
         for k in range(self.run):
             mixed = (mixed ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
-        inside = of[:n] == of[self.run - 1 :]
-        both = np.unique((of[:n][inside] << np.uint64(32)) | (mixed[inside] >> np.uint64(32)))
-        ends = np.searchsorted(both >> np.uint64(32), np.arange(len(texts), dtype=np.uint64), side="right")
-        return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), ends
+        # runs that reach into the next text are left out
+        ends = np.cumsum(counts)
+        return [np.unique(mixed[e - c : max(e - c, e - self.run + 1)]) for e, c in zip(ends.tolist(), counts)]
 
 
 def fingerprints(runs: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +131,8 @@ def fingerprints(runs: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def prepare(documents: DataFrame) -> DataFrame:
-    """(entry_id, same, n, mark, runs): per text a hash of its set of runs, their number, the
-    fingerprint and the runs. Texts with no run of three words have no row."""
+    """(entry_id, same, n, mark): per text a hash of 128 bits of its set of runs, their number and
+    the fingerprint. Texts with no run of three words have no row."""
     own = spread(documents.select("entry_id", "text"))
 
     def run(batches):
@@ -139,26 +142,20 @@ def prepare(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                runs, ends = shingler.sets(some.column(1).to_pylist())
-                begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                has = np.flatnonzero(ends > begins)
-                if not len(has):
+                sets = shingler.sets(some.column(1).to_pylist())
+                has = [k for k, s in enumerate(sets) if len(s)]
+                if not has:
                     continue
-                segments, anchors = fingerprints(runs, begins[has])
+                sets = [sets[k] for k in has]
+                n = [len(s) for s in sets]
+                segments, anchors = fingerprints((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), np.cumsum([0, *n[:-1]]))
                 mark = np.concatenate((segments, anchors), axis=1)
-                sets = [runs[a:b].tobytes() for a, b in zip(begins[has], ends[has])]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0).take(pa.array(has)),
-                        pa.array([xxhash.xxh64_intdigest(s) - (1 << 63) for s in sets], pa.int64()),
-                        pa.array(ends[has] - begins[has], pa.int32()),
-                        pa.array([m.tobytes() for m in mark], pa.binary()),
-                        pa.array(sets, pa.binary()),
-                    ],
-                    names=["entry_id", "same", "n", "mark", "runs"],
+                    [some.column(0).take(pa.array(has)), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(n, pa.int32()), pa.array([m.tobytes() for m in mark], pa.binary())],
+                    names=["entry_id", "same", "n", "mark"],
                 )
 
-    return own.mapInArrow(run, "entry_id long, same long, n int, mark binary, runs binary")
+    return own.mapInArrow(run, "entry_id long, same binary, n int, mark binary")
 
 
 def _allowed(bits: int, limit: float) -> int:
@@ -196,7 +193,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, limit: float) -> DataFrame:
-    """Pairs (a, b) whose whole fingerprints differ in no more bits, and whose sizes differ no
+    """Pairs (a, b, sa, sb) whose whole fingerprints differ in no more bits, and whose sizes differ no
     more, than sets alike to ``limit`` can."""
     most = _allowed(SEGMENTS * BITS, limit)
 
@@ -208,50 +205,97 @@ def _near(pairs: DataFrame, limit: float) -> DataFrame:
                 apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
                 na, nb = some.column("na").to_numpy(), some.column("nb").to_numpy()
                 keep = pa.array(np.flatnonzero((apart <= most) & (np.minimum(na, nb) >= limit * np.maximum(na, nb) - 1e-9)))
-                yield pa.RecordBatch.from_arrays([some.column("a").take(keep), some.column("b").take(keep)], names=["a", "b"])
+                yield some.select(["a", "b", "sa", "sb"]).take(keep)
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, sa binary, sb binary")
 
 
 def _verified(pairs: DataFrame, limit: float) -> DataFrame:
+    """(a, b, likeness) of the pairs (a, b, sa, sb, ta, tb) that are alike by all their runs; sa
+    and sb tell which of several texts of an entry is meant."""
+
     def run(batches):
+        import xxhash
+
+        shingler = Shingler()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                sets = shingler.sets([*some.column("ta").to_pylist(), *some.column("tb").to_pylist()])
                 ok, likeness = [], []
-                for k, (x, y) in enumerate(zip(some.column(2).to_pylist(), some.column(3).to_pylist())):
-                    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                for k, (a, b, sa, sb) in enumerate(zip(sets, sets[some.num_rows :], some.column("sa").to_pylist(), some.column("sb").to_pylist())):
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     either = len(a) + len(b) - both
-                    if both >= limit * either - 1e-9:
+                    if either and both >= limit * either - 1e-9 and xxhash.xxh3_128_digest(a.tobytes()) == sa and xxhash.xxh3_128_digest(b.tobytes()) == sb:
                         ok.append(k)
                         likeness.append(both / either)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(ok, pa.int32())), some.column(1).take(pa.array(ok, pa.int32())), pa.array(likeness, pa.float64())], names=["a", "b", "likeness"])
+                yield pa.RecordBatch.from_arrays([some.column("a").take(pa.array(ok, pa.int32())), some.column("b").take(pa.array(ok, pa.int32())), pa.array(likeness, pa.float64())], names=["a", "b", "likeness"])
 
     return pairs.mapInArrow(run, "a long, b long, likeness double")
 
 
-def alike(documents: DataFrame, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
+def _hot(counted: DataFrame, key: str, rows: int, cell: int) -> DataFrame | None:
+    """(key, cells) of the keys (key, n) that hold more than a cell's rows, None if there are
+    none. Of ``rows`` rows at most ``SPLIT`` keys can be so large."""
+    cell = max(cell, rows // SPLIT)
+    hot = durable(counted.filter(F.col("n") > cell).select(key, F.ceil(F.col("n") / cell).cast("int").alias("cells")), "p6-hot")
+    return None if hot.isEmpty() else hot
+
+
+def _in_cell(df: DataFrame, hot: DataFrame | None, key: str, own: str | None, name: str = "cell") -> DataFrame:
+    """``df`` with a cell of its key: by column ``own`` one of them, without it every one."""
+    if hot is None:
+        return df.withColumn(name, F.lit(0))
+    cells = F.coalesce("cells", F.lit(1))
+    cell = F.pmod(F.xxhash64(own), cells).cast("int") if own else F.explode(F.sequence(F.lit(0), cells - 1))
+    return df.join(F.broadcast(hot), key, "left").withColumn(name, cell).drop("cells")
+
+
+def _met(classes: DataFrame, limit: float, cell: int) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that share a key and whose sketches are close."""
+    part = 16
+    some = _keys(classes.filter(F.pmod(F.xxhash64("entry_id"), F.lit(part)) == 0).select("entry_id", "mark"))
+    # a part of the rows tells which keys are large enough to be split
+    rows = classes.count() * SEGMENTS * 6
+    hot = _hot(some.groupBy("key").agg((F.count("*") * part).alias("n")), "key", rows, max(cell, 4 * part))
+    keys = _keys(classes.select("entry_id", "mark"))
+    x = _in_cell(_in_cell(keys, hot, "key", "id", "i"), hot, "key", None, "j").alias("x")
+    y = _in_cell(_in_cell(keys, hot, "key", "id", "j"), hot, "key", None, "i").alias("y")
+    same = (F.col("x.key") == F.col("y.key")) if hot is None else (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    close = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= _allowed(64, limit)
+    return x.join(y.hint("merge"), same & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def alike(documents: DataFrame, limit: float = LIMIT, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, likeness) between classes of equal sets of runs, a < b,
     and members (entry_id, class) of all texts with a run; a class is named by its least
-    entry_id. Every stage is written to the shared folder, so it is computed once."""
-    rows = durable(prepare(documents), "p6-rows")
-    equal = rows.groupBy("same", "n").agg(F.min("entry_id").alias("class"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    members = durable(rows.select("entry_id", "same", "n").join(equal, ["same", "n"], "left").select("entry_id", F.coalesce("class", "entry_id").alias("class")), "p6-members")
+    entry_id. An entry that stands with several texts counts with the one of most runs. Every
+    stage is written to the shared folder, so it is computed once."""
+    one = prepare(documents).groupBy("entry_id").agg(F.max(F.struct("n", "same", "mark")).alias("x"))
+    rows = durable(one.select("entry_id", "x.*"), "p6-rows")
+    equal = rows.groupBy("same", "n").agg(F.min("entry_id").alias("class"), F.count("*").alias("size")).filter("size > 1")
+    large = _hot(equal.select(F.col("class"), F.col("size").alias("n")), "class", 0, HUB)
+    if large is not None:
+        # texts of which there are very many copies: at most rows / HUB of them
+        known = F.broadcast(equal.filter(F.col("size") > HUB).select("same", "n", "class"))
+        tagged = rows.select("entry_id", "same", "n").join(known, ["same", "n"], "left")
+        few = tagged.filter("class is null").drop("class").join(equal.filter(F.col("size") <= HUB).drop("size"), ["same", "n"], "left")
+        joined = few.select("entry_id", "class").unionByName(tagged.filter("class is not null").select("entry_id", "class"))
+    else:
+        joined = rows.select("entry_id", "same", "n").join(equal.drop("size"), ["same", "n"], "left")
+    members = durable(joined.select("entry_id", F.coalesce("class", "entry_id").alias("class")), "p6-members")
     copies = members.filter("entry_id <> class").select("entry_id")
     classes = rows.join(copies, "entry_id", "left_anti")
-    keys = _keys(classes.select("entry_id", "mark"))
-    x, y = keys.alias("x"), keys.alias("y")
-    close = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= _allowed(64, limit)
-    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    met = _met(classes, limit, cell)
     own = lambda side, *columns: classes.select(F.col("entry_id").alias(side), *[F.col(c).alias(c[0] + side) for c in columns])
-    marked = met.join(own("a", "n", "mark"), "a").join(own("b", "n", "mark"), "b")
-    near = durable(_near(marked.select("a", "b", "na", "nb", "ma", "mb"), limit), "p6-near")
-    both = near.join(own("a", "runs"), "a").join(own("b", "runs"), "b")
-    return durable(_verified(both.select("a", "b", "ra", "rb"), limit), "p6-links"), members
+    marked = met.join(own("a", "n", "mark", "same"), "a").join(own("b", "n", "mark", "same"), "b")
+    near = durable(_near(marked.select("a", "b", "na", "nb", "ma", "mb", "sa", "sb"), limit), "p6-near")
+    text = lambda side: documents.select(F.col("entry_id").alias(side), F.col("text").alias("t" + side))
+    both = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "sa", "sb", "ta", "tb")
+    return durable(_verified(both, limit).dropDuplicates(["a", "b"]), "p6-links"), members
 
 
-def found(documents: DataFrame, limit: float = LIMIT) -> DataFrame:
+def found(documents: DataFrame, limit: float = LIMIT, cell: int = CELL) -> DataFrame:
     """(entry_a, entry_b), entry_a < entry_b: each pair of entries alike to at least ``limit``.
 
     Texts in lower case are taken as words (runs of letters and digits) and compared by
@@ -259,31 +303,49 @@ def found(documents: DataFrame, limit: float = LIMIT) -> DataFrame:
     Pairs within a class of equal texts are part of the result, as the result is asked
     for by entries; ``groups`` gives the same links without expanding copies.
     """
-    links, members = alike(documents, limit)
-    one, two = members.select(F.col("class").alias("a"), F.col("entry_id").alias("ea")), members.select(F.col("class").alias("b"), F.col("entry_id").alias("eb"))
-    across = links.select("a", "b").join(one, "a").join(two, "b").select(F.least("ea", "eb").alias("entry_a"), F.greatest("ea", "eb").alias("entry_b"))
-    within = one.join(two, (F.col("a") == F.col("b")) & (F.col("ea") < F.col("eb"))).select(F.col("ea").alias("entry_a"), F.col("eb").alias("entry_b"))
+    links, members = alike(documents, limit, cell)
+    hot = _hot(members.groupBy("class").agg(F.count("*").alias("n")), "class", members.count(), cell)
+    one = _in_cell(members, hot, "class", "entry_id")
+    a, b = one.select(F.col("class").alias("a"), "cell", F.col("entry_id").alias("ea")), one.select(F.col("class").alias("b"), "cell", F.col("entry_id").alias("eb"))
+    left = _in_cell(links.select("a", "b").withColumnRenamed("a", "class"), hot, "class", None).withColumnRenamed("class", "a").join(a, ["a", "cell"]).drop("cell")
+    across = _in_cell(left.withColumnRenamed("b", "class"), hot, "class", None).withColumnRenamed("class", "b").join(b, ["b", "cell"])
+    across = across.select(F.least("ea", "eb").alias("entry_a"), F.greatest("ea", "eb").alias("entry_b"))
+    # pairs of copies: each member meets those of every cell of its class
+    every = _in_cell(members, hot, "class", None).select("class", "cell", F.col("entry_id").alias("eb"))
+    within = one.join(every, ["class", "cell"]).filter("entry_id < eb").select(F.col("entry_id").alias("entry_a"), F.col("eb").alias("entry_b"))
     return across.unionByName(within)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, rows: int, hub: int) -> DataFrame:
+    """Edges (u, v) with the least (u, m) of their u. Ids with very many edges, of which there
+    are at most rows / hub, are joined by broadcast, so that their edges stay spread."""
+    if rows < hub:
+        return edges.join(least, "u").drop("n")
+    hub = max(hub, rows // SPLIT)
+    tagged = edges.join(F.broadcast(least.filter(F.col("n") >= hub).drop("n")), "u", "left")
+    few = tagged.filter("m is null").drop("m").join(least.filter(F.col("n") < hub).drop("n"), "u")
+    return tagged.filter("m is not null").unionByName(few)
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, hub: int = HUB) -> DataFrame:
     """(id, group): connected components of undirected links, named by their least id.
 
     Alternates the large and the small star: each step links every id to the least id near
     it, so that a component becomes one star after a number of rounds that grows with the
-    logarithm of its size. No component is ever gathered in one place.
+    logarithm of its size. Neither a component nor the links of one id are gathered in one task.
     """
     edges = durable(links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v"), "star")
-    before = None
+    before, rows = None, 2 * edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, rows, hub).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(down, least, rows, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = durable(small, "star")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        rows = 2 * state[0]
         if state == before:
             break
         before = state

@@ -52,6 +52,16 @@ def test_pairs_are_those_of_brute_force(alike, texts):
     assert len(want) > 100 and len(set(got)) >= 0.995 * len(want)
 
 
+def test_splitting_changes_nothing(spark, alike):
+    whole = sorted(map(tuple, p6.found(alike).collect()))
+    assert sorted(map(tuple, p6.found(alike, cell=7).collect())) == whole
+    again = alike.unionByName(alike.filter("entry_id < 20")).unionByName(alike.filter("entry_id = 3").withColumn("text", p6.F.lit("ещё три слова")))
+    assert sorted(map(tuple, p6.found(again).collect())) == whole
+    edges = [(0, k) for k in range(1, 90)] + [(k, 500 + k) for k in range(80)]
+    got = {r.id: r.group for r in p6.components(spark.createDataFrame(edges, "a long, b long"), hub=20).collect()}
+    assert set(got.values()) == {0} and len(got) == 170
+
+
 def test_groups(alike, texts):
     got = {r.entry_id: r for r in p6.groups(alike).collect()}
     assert set(got) == {k for k, t in texts.items() if runs(t)}
