@@ -1,13 +1,19 @@
-"""What several of the text operators share."""
+"""What several text-preparation operators share."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of one key from which on they are joined by broadcast. There are never more than
+#: ``SPLIT`` such keys, so their list can be broadcast.
+HUB, SPLIT = 1 << 16, 1_000_000
 
-def bounded_sample(df: DataFrame, key: str, size: int) -> DataFrame:
-    """At most ``size`` rows of ``df``, chosen by a hash of ``key``: the same for the same rows.
+
+def bounded_sample(df: DataFrame, key: str, size: int, chars: int | None = None) -> DataFrame:
+    """At most ``size`` rows, and at most ``chars`` characters of column text in all, chosen by a
+    hash of ``key``. Texts are taken whole; those above a sixteenth of ``chars`` are left out.
 
     The row count (from the files' footers) sets how small a hash must be, so that only
     some more rows than wanted are carried to the final choice, whatever the input's size.
@@ -16,4 +22,25 @@ def bounded_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     if rows > size * 4:
         part = 1.5 * size / rows
         df = df.filter(F.xxhash64(key) < F.lit(int(-(2**63) + part * 2**64)))
-    return df.orderBy(F.xxhash64(key), key).limit(size)
+    if chars is None:
+        return df.orderBy(F.xxhash64(key), key).limit(size)
+    some = df.filter(F.coalesce(F.length("text"), F.lit(0)) <= chars // 16).orderBy(F.xxhash64(key), key).limit(size)
+    # a running sum over the few rows that are left
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(W.orderBy(F.xxhash64(key), key).rowsBetween(W.unboundedPreceding, 0))
+    return some.withColumn("upto", upto).filter(F.col("upto") <= chars).drop("upto")
+
+
+def with_one(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "left", hub: int = HUB) -> DataFrame:
+    """``left`` (of ``rows`` rows) joined to ``right``, which has one row per key and, in column
+    ``n``, how often the key stands in ``left``.
+
+    Keys that stand very often, of which there are at most rows / hub, are joined by
+    broadcast, so that their rows stay where they are; the others meet in a shuffle.
+    """
+    if rows < hub:
+        return left.join(right.drop("n"), keys, how)
+    hub = max(hub, rows // SPLIT)
+    hubs = right.filter(F.col("n") >= hub).drop("n").withColumn("is_hub", F.lit(True))
+    tagged = left.join(F.broadcast(hubs), keys, "left")
+    few = tagged.filter("is_hub is null").select(left.columns).join(right.filter(F.col("n") < hub).drop("n"), keys, how)
+    return tagged.filter("is_hub").drop("is_hub").unionByName(few)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import HUB, SPLIT, with_one
 from scriptorium.session import durable, spread
 
 LIMIT = 0.70
@@ -31,9 +32,7 @@ SEGMENTS = 22
 BITS = 23
 #: Rows of a key or class up to which they stay together; larger ones are split into cells of
 #: about so many. There are never more than ``SPLIT`` such keys, so their list can be broadcast.
-CELL, SPLIT = 2048, 1_000_000
-#: Links of one text from which on it is joined by broadcast while components are sought.
-HUB = 1 << 16
+CELL = 2048
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -273,16 +272,8 @@ def alike(documents: DataFrame, limit: float = LIMIT, cell: int = CELL) -> tuple
     stage is written to the shared folder, so it is computed once."""
     one = prepare(documents).groupBy("entry_id").agg(F.max(F.struct("n", "same", "mark")).alias("x"))
     rows = durable(one.select("entry_id", "x.*"), "p6-rows")
-    equal = rows.groupBy("same", "n").agg(F.min("entry_id").alias("class"), F.count("*").alias("size")).filter("size > 1")
-    large = _hot(equal.select(F.col("class"), F.col("size").alias("n")), "class", 0, HUB)
-    if large is not None:
-        # texts of which there are very many copies: at most rows / HUB of them
-        known = F.broadcast(equal.filter(F.col("size") > HUB).select("same", "n", "class"))
-        tagged = rows.select("entry_id", "same", "n").join(known, ["same", "n"], "left")
-        few = tagged.filter("class is null").drop("class").join(equal.filter(F.col("size") <= HUB).drop("size"), ["same", "n"], "left")
-        joined = few.select("entry_id", "class").unionByName(tagged.filter("class is not null").select("entry_id", "class"))
-    else:
-        joined = rows.select("entry_id", "same", "n").join(equal.drop("size"), ["same", "n"], "left")
+    equal = rows.groupBy("same").agg(F.min("entry_id").alias("class"), F.count("*").alias("n")).filter("n > 1")
+    joined = with_one(rows.select("entry_id", "same"), equal, ["same"], rows.count())
     members = durable(joined.select("entry_id", F.coalesce("class", "entry_id").alias("class")), "p6-members")
     copies = members.filter("entry_id <> class").select("entry_id")
     classes = rows.join(copies, "entry_id", "left_anti")
@@ -316,17 +307,6 @@ def found(documents: DataFrame, limit: float = LIMIT, cell: int = CELL) -> DataF
     return across.unionByName(within)
 
 
-def _with_least(edges: DataFrame, least: DataFrame, rows: int, hub: int) -> DataFrame:
-    """Edges (u, v) with the least (u, m) of their u. Ids with very many edges, of which there
-    are at most rows / hub, are joined by broadcast, so that their edges stay spread."""
-    if rows < hub:
-        return edges.join(least, "u").drop("n")
-    hub = max(hub, rows // SPLIT)
-    tagged = edges.join(F.broadcast(least.filter(F.col("n") >= hub).drop("n")), "u", "left")
-    few = tagged.filter("m is null").drop("m").join(least.filter(F.col("n") < hub).drop("n"), "u")
-    return tagged.filter("m is not null").unionByName(few)
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, hub: int = HUB) -> DataFrame:
     """(id, group): connected components of undirected links, named by their least id.
 
@@ -339,10 +319,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40, h
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, rows, hub).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = with_one(both, least, ["u"], rows, "inner", hub).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(down, least, rows, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = with_one(down, least, ["u"], rows, "inner", hub).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = durable(small, "star")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         rows = 2 * state[0]

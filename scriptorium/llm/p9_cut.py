@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import bounded_sample
+from scriptorium.llm.common import bounded_sample, with_one
 from scriptorium.session import durable, spread
 
-#: Texts the regression is trained on, at most; limits and scores cover all records.
-SAMPLE = 8000
+#: Texts the regression is trained on, and their characters, at most; limits and scores cover
+#: all records.
+SAMPLE, CHARS = 8000, 32_000_000
 BITS = 18
 #: A length is a limit if so large a part, and so many, of a source's records have it.
 SHARE, LEAST = 0.012, 6
-LIMITS = 4096  # (source, kind, length) triples kept, the most frequent first
+SOURCES = 10_000  # sources up to which their limits (at most 250 each) are broadcast
 
 #: What may stand after a cut: white space, marks of omission with a few words, a broken character.
 _AFTER = re.compile(r"(?:\s|�|…|\[…\]|\[\.\.\.\]|\.\.\.)+(?:[^\W\d_]+(?: [^\W\d_]+){0,2}\s*)?$")
@@ -77,8 +79,7 @@ def features(text: str, limits: frozenset) -> list[int]:
     base, after = stripped(text)
     n, m, b = len(text), len(base), len(base.rstrip("�").encode("utf-8", "replace"))
     at_limit = ("c", n) in limits or ("c", m) in limits or ("b", b) in limits or ("b", b + 1) in limits or ("b", len(text.encode("utf-8", "replace"))) in limits
-    tail = base[-400:]
-    line = tail.rsplit("\n", 1)[-1].strip("\r")
+    tail, line = base[-16:], base[base.rfind("\n") + 1 :].strip("\r")
     words = line.split(" ")
     last = words[-1]
     before = words[-2] if len(words) > 1 else ""
@@ -216,45 +217,59 @@ def limits(documents: DataFrame) -> DataFrame:
     return counted.filter(F.col("records") >= LEAST).join(totals.hint("merge"), F.equal_null(counted["source"], totals["source"])).filter(F.col("records") >= SHARE * F.col("of")).select(counted["source"], "kind", "length", "records", "of")
 
 
-def _limit_sets(documents: DataFrame) -> dict:
-    most = limits(documents).orderBy(F.desc("records"), "source", "kind", "length").limit(LIMITS).collect()
-    out: dict = {}
-    for r in most:
-        out.setdefault(r.source, set()).add((r.kind, r.length))
-    return {s: frozenset(v) for s, v in out.items()}
+def _with_limits(documents: DataFrame) -> DataFrame:
+    """Rows of ``documents`` with the limits of their source, written 'c120 b400', as ``limits``.
 
-
-def train(documents: DataFrame, of: dict, sample: int = SAMPLE) -> Regression:
-    """The regression, from at most ``sample`` texts chosen by a hash of doc_id."""
-    some = bounded_sample(documents.select("doc_id", "source", "text"), "doc_id", sample).filter(F.length("text") > 0).collect()
-    seen = dict.fromkeys((r.text, r.source) for r in some)
-    rows, y, weight = examples([(t, of.get(s, frozenset())) for t, s in seen])
+    A source has at most 3 / SHARE limits, so those of a checked number of sources are
+    broadcast. Where there are more, each source's limits stand once for every part that the
+    records of a source are split into.
+    """
+    written = F.array_join(F.sort_array(F.collect_set(F.concat("kind", F.col("length").cast("string")))), " ")
+    sets = durable(limits(documents).groupBy("source").agg(written.alias("limits")), "p9-limits")
+    if sets.count() <= SOURCES:
+        return documents.join(F.broadcast(sets.withColumnRenamed("source", "of")), F.equal_null("source", "of"), "left").drop("of")
+    parts = 64
+    sets = sets.withColumnRenamed("source", "of").withColumn("of_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    own = documents.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    return own.join(sets, F.equal_null("source", "of") & (F.col("part") == F.col("of_part")), "left").drop("of", "of_part", "part")
+
+
+@lru_cache(maxsize=1 << 16)
+def _limit_set(written: str | None) -> frozenset:
+    return frozenset((x[0], int(x[1:])) for x in (written or "").split())
+
+
+def train(documents: DataFrame, sample: int = SAMPLE) -> Regression:
+    """The regression, from at most ``sample`` texts (and ``CHARS`` characters) chosen by a hash
+    of doc_id; ``documents`` has their limits."""
+    some = bounded_sample(documents.select("doc_id", "limits", "text"), "doc_id", sample, CHARS).filter(F.length("text") > 0).collect()
+    seen = dict.fromkeys((r.text, r.limits) for r in some)
+    rows, y, weight = examples([(t, _limit_set(s)) for t, s in seen])
     if not rows or y.min() == y.max():
         rows, y, weight = [features("Whole.", frozenset()), features("Cut of", frozenset())], np.array([0.0, 1.0]), np.ones(2)
     return fit(rows, y, weight)
 
 
 def scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, same, n, own): each record's own score, and what marks equal texts."""
+    """(doc_id, source, same, size, own): each record's own score, and what marks equal texts."""
     spark = documents.sparkSession
-    of = _limit_sets(documents)
-    model = spark.sparkContext.broadcast((train(documents, of).w, of))
-    own = spread(documents.select("doc_id", "source", "text")).withColumn("same", F.xxhash64("text"))
+    known = _with_limits(spread(documents.select("doc_id", "source", "text")))
+    model = spark.sparkContext.broadcast(train(known).w)
+    own = known.select("doc_id", "source", "text", F.xxhash64("text").alias("same"), "limits")
 
     def run(batches):
-        w, sets = model.value
         scorer = Regression.__new__(Regression)
-        scorer.w = w
+        scorer.w = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                texts, sources = some.column(2).to_pylist(), some.column(1).to_pylist()
-                rows = [features(t, sets.get(s, frozenset())) if t and not t.isspace() else None for t, s in zip(texts, sources)]
+                texts, written = some.column(2).to_pylist(), some.column(4).to_pylist()
+                rows = [features(t, _limit_set(s)) if t and not t.isspace() else None for t, s in zip(texts, written)]
                 got = iter(scorer.score([r for r in rows if r]).tolist())
                 score = [next(got) if r else 0.0 for r in rows]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), pa.array([len(t or "") for t in texts], pa.int32()), pa.array(score, pa.float64())], names=["doc_id", "source", "same", "n", "own"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), pa.array([len(t or "") for t in texts], pa.int32()), pa.array(score, pa.float64())], names=["doc_id", "source", "same", "size", "own"])
 
-    schema = T.StructType([*documents.select("doc_id", "source").schema.fields, T.StructField("same", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("own", T.DoubleType())])
+    schema = T.StructType([*documents.select("doc_id", "source").schema.fields, T.StructField("same", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("own", T.DoubleType())])
     return own.mapInArrow(run, schema)
 
 
@@ -271,8 +286,8 @@ def cut_records(documents: DataFrame) -> DataFrame:
     that cut it. Null and blank texts have score 0. Further columns are ignored.
     """
     scored = durable(scores(documents), "p9")
-    best = scored.filter("own > 0.5").groupBy("same", "n").agg(F.max("own").alias("best"))
-    out = scored.join(best, ["same", "n"], "left")
+    best = scored.groupBy("same", "size").agg(F.max("own").alias("best"), F.count("*").alias("n")).filter("best > 0.5")
+    out = with_one(scored, best, ["same", "size"], scored.count())
     return out.select("doc_id", "source", F.coalesce("best", "own").alias("score"), F.col("best").isNotNull().alias("cut"))
 
 
