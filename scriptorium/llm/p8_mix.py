@@ -249,7 +249,8 @@ def mixed(documents: DataFrame, targets: DataFrame, size: int = BLOCK) -> tuple[
     sized = durable(tokens(documents, sorted({t.source for t in wanted})).drop("ids"), "p8-sizes")
     held = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     rows = plan(wanted, held, size)
-    out = _slots(documents.sparkSession, rows).join(blocks(placed(sized), size), ["source", "block"])
+    # the plan can't tell how many slots a group makes: without the hint they would be broadcast
+    out = _slots(documents.sparkSession, rows).join(blocks(placed(sized), size).hint("merge"), ["source", "block"])
     return out.select("mix_name", "shard", "slot", "source", "repeat", "block", F.col("tokens").cast("long").alias("tokens"), "spans"), rows
 
 
