@@ -157,6 +157,18 @@ def test_two_letters_with_a_digit_may_be_a_very_frequent_word():
     assert not reader.link("п7") and not reader.link("П0") and not reader.link("т0") and not reader.link("ж0")
 
 
+def test_context_decides_doubtful_misreadings():
+    rnd = random.Random(3)
+    texts = [[rnd.choice(["насос", "клапан"]), "установка", "трубы", rnd.choice(["воды", "пара"])] * 3 if k % 2 else [rnd.choice(["урок", "класс"]), "тетрадь", "школы", rnd.choice(["дети", "книга"])] * 3 for k in range(300)]
+    vectors = p3.skip_gram(texts)
+    counts = Counter(w for t in texts for w in t) | {"трубы": 30}
+    reader, blind = p3.Reader(counts, 6, vectors), p3.Reader(counts, 6, {})
+    # thirty are too few beside a rare word of letters, but not among words that stand beside them
+    fits, strange = "насос установка трубьг воды насос установка", "урок тетрадь трубьг дети урок тетрадь"
+    assert reader.misread(fits) and not reader.misread(strange) and not blind.misread(fits)
+    assert "трубы" in reader.correct(fits) and "трубьг" in reader.correct(strange) and "трубьг" in blind.correct(fits)
+
+
 def test_skip_gram_brings_words_of_like_contexts_together():
     import numpy as np
 
