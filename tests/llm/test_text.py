@@ -338,3 +338,14 @@ def test_held_out_accuracy():
 def test_cut_in_empty_tables(cut):
     df, _, _ = cut
     assert p9.found(df.limit(0)).count() == 0 and p9.rates(df.filter(F.col("text").isNull())).count() == 1
+
+
+def test_letters_with_several_marks_and_frequent_forms(spark):
+    texts = ["Việt Nam và ệ", "e\u0323\u0302 và Vie\u0323\u0302t", "сей\u0306 и и\u0306", "z\u0335\u0336\u0337 z"]
+    df = spark.createDataFrame([(t,) for t in texts] * 3, "text string")
+    forms = p4.learn(df)
+    rewrite = forms.rewriter()
+    assert rewrite(texts[1]) == "ệ và Việt" and rewrite(texts[2]).endswith("и й") and rewrite(texts[3]) == texts[3]
+    # the most frequent form of a class stands for it
+    often = p4.Forms(Counter({"…": 9_000_000, ".": 10, "ａ": 5, "a": 1, "\u200b": 50}))
+    assert "…" not in often.rewrite and often.rewrite["ａ"] == "a" and often.rewrite["\u200b"] == ""
