@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import bounded_sample
 from scriptorium.session import durable, spread
 
-#: Texts the classifier is trained on, at most; everything else covers all texts.
-SAMPLE = 2400
-#: A word is known if it makes up so large a part of all words that aren't ASCII (and stands
-#: 3 times); so many are kept, the most frequent first.
+#: Texts the classifier is trained on, and their characters, at most; everything else covers
+#: all texts.
+SAMPLE, CHARS = 2400, 24_000_000
+#: A word is known if it makes up so large a part of all words that aren't ASCII and stands
+#: three times or more; so there are never more than 2.5 million of them.
 FREQUENT = 4e-7
-WORDS = 400_000
 #: How many times more frequent than its garbled form a word is.
 RATIO = 10
 BINS = 1 << 16
@@ -328,10 +328,12 @@ class Repairer:
     def _known(self, word: str) -> bool:
         return word in self.model.known or word.strip(_MARKS) in self.model.known
 
-    def restore(self, text: str, rounds: int = 6) -> tuple[str, list[str], bool]:
-        """(restored text, chains found, whether every stretch was restored)."""
-        found, whole = [], True
-        for _ in range(rounds):
+    def restore(self, text: str) -> tuple[str, list[str], bool]:
+        """(restored text, chains found, whether every stretch was restored); goes on until
+        nothing is left that could be restored, or a text comes back."""
+        found, whole, before = [], True, set()
+        while text not in before:
+            before.add(text)
             stretches = self.find(text)
             found += [name(c) for _, _, c, _ in stretches]
             whole = whole and all(ok for _, _, _, ok in stretches)
@@ -382,13 +384,13 @@ def _words_in(texts: DataFrame, column: str) -> DataFrame:
 def train(texts: DataFrame, column: str = "text", key: str = "entry_id", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` texts, chosen by a hash of their key (the documented
     bound of the training sample: that many texts' distinct words come to the driver), that
-    knows the words of all texts: those above a share of all words, at most ``WORDS``."""
-    some = bounded_sample(texts.select(key, column), key, sample)
-    model = Model(Counter({r.w: r.n for r in _words_in(some, column).groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()}))
+    knows the words of all texts above a share of all words, which bounds their number."""
+    some = bounded_sample(texts.select(key, F.col(column).alias("text")), key, sample, CHARS)
+    model = Model(Counter({r.w: r.n for r in _words_in(some, "text").groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()}))
     bare = _words_in(spread(texts.select(column)), column).select(F.btrim("w", F.lit(_MARKS)).alias("w"))
     counts = durable(bare.groupBy("w").agg(F.count("*").alias("n")), "p2-words")
     least = max(3, int((counts.agg(F.sum("n")).first()[0] or 0) * FREQUENT))
-    model.learn({r.w: r.n for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(WORDS).collect()})
+    model.learn({r.w: r.n for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()})
     return model
 
 
