@@ -107,6 +107,15 @@ def oversized(pages: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> D
     return split_pages(pages, limit, overlap).filter("piece = 1").select("page_id")
 
 
+def rejoined(pieces: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """(page_id, entry_id, page, pieces, text): each page put together from its pieces again. A
+    page of any length has been one row before, so its pieces fit in one row again."""
+    own = F.when(F.col("piece") == 1, F.col("text")).otherwise(F.expr(f"substring(text, least({overlap}, `start` + {overlap}) + 1, length(text))"))
+    part = F.struct("piece", own.alias("own"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["own"]), "")
+    return pieces.groupBy("page_id", "entry_id", "page").agg(F.count("*").alias("pieces"), text.alias("text"))
+
+
 def piece_sizes(pages: DataFrame, meta: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Per entry: pages split, pieces, and the characters of the split pages against the
     size that the latest extraction states (null where it states none or a size smaller
@@ -114,6 +123,6 @@ def piece_sizes(pages: DataFrame, meta: DataFrame, limit: int = LIMIT, overlap:
     pieces = split_pages(pages, limit, overlap)
     own = pieces.groupBy("entry_id").agg(F.countDistinct("page_id").alias("pages_split"), F.count("*").alias("pieces"), F.sum(F.col("end") - F.col("start")).alias("chars_in_pieces"))
     stated = meta.groupBy("entry_id").agg(F.max(F.struct("extracted_at", "chars")).getField("chars").alias("chars"))
-    held = pages.dropDuplicates(["page_id"]).groupBy("entry_id").agg(F.sum(F.length("text")).alias("held"))
+    held = pages.select("page_id", "entry_id", F.length("text").alias("n")).dropDuplicates(["page_id"]).groupBy("entry_id").agg(F.sum("n").alias("held"))
     joined = own.join(stated, "entry_id", "left").join(held, "entry_id", "left")
     return joined.select("entry_id", "pages_split", "pieces", "chars_in_pieces", F.when(F.col("chars") >= F.col("held"), F.col("chars")).alias("entry_chars"))

@@ -18,6 +18,11 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return p1_split.split_pages(table(spark, folder, "document_pages"))
 
 
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Every split page put together from its pieces; the SQL reads the pages themselves."""
+    return p1_split.rejoined(p1_split.split_pages(table(spark, folder, "document_pages"))).select("page_id", "entry_id", "page", "text")
+
+
 def p1_entry_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p1_split.piece_sizes(table(spark, folder, "document_pages"), table(spark, folder, "extraction_meta"))
 
@@ -107,7 +112,7 @@ def p9_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__.replace("_rows", ""): f for f in (p1_found, p1_pieces, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p5_found, p5_composition, p6_found, p6_groups, p7_ids, p8_mix_rows, p8_blocks, p8_shares, p9_found, p9_rates, p9_limits)
+    f.__name__.replace("_rows", ""): f for f in (p1_found, p1_pieces, p1_rejoined, p1_entry_sizes, p2_found, p2_restored, p2_rates, p3_found, p3_noise, p3_paragraphs, p4_found, p4_texts, p4_classes, p5_found, p5_composition, p6_found, p6_groups, p7_ids, p8_mix_rows, p8_blocks, p8_shares, p9_found, p9_rates, p9_limits)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -117,4 +122,19 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT entry_id, count(*) AS n FROM s GROUP BY entry_id),
         j AS (SELECT a.entry_id AS entry_a, b.entry_id AS entry_b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.entry_id < b.entry_id GROUP BY ALL)
         SELECT entry_a, entry_b FROM j JOIN n a ON a.entry_id = entry_a JOIN n b ON b.entry_id = entry_b WHERE c >= 0.7 * (a.n + b.n - c)""",
+    "p1_rejoined": "SELECT DISTINCT page_id, entry_id, CAST(page AS INTEGER) AS page, text FROM document_pages WHERE length(text) > 2000",
+    "p6_groups": r"""WITH RECURSIVE w AS (SELECT entry_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM extracted_documents WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT entry_id, g FROM (SELECT entry_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w)),
+        same AS (SELECT entry_id, min(entry_id) OVER (PARTITION BY gs) AS class, n FROM (SELECT entry_id, list(g ORDER BY g) AS gs, count(*) AS n FROM s GROUP BY entry_id)),
+        one AS (SELECT s.entry_id, g FROM s JOIN same ON s.entry_id = same.class AND same.entry_id = same.class),
+        j AS (SELECT a.entry_id AS a, b.entry_id AS b, count(*) AS c FROM one a JOIN one b USING (g) WHERE a.entry_id < b.entry_id GROUP BY ALL),
+        l AS (SELECT a, b FROM j JOIN same x ON x.entry_id = a JOIN same y ON y.entry_id = b WHERE c >= 0.7 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT DISTINCT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
+        SELECT entry_id, class, coalesce(links, 0) AS links, coalesce(g, class) AS "group" FROM same LEFT JOIN (SELECT a AS class, count(*) AS links FROM e GROUP BY a) USING (class)
+        LEFT JOIN (SELECT id AS class, min(other) AS g FROM r GROUP BY id) USING (class)""",
+    "p9_limits": r"""WITH own AS (SELECT doc_id, source, text, regexp_replace(text, '[ \t\n\x0B\f\r\x{FFFD}…]+$|(\.\.\.|\[\.\.\.\]|…)[^.…]{0,24}$', '') AS base FROM documents WHERE length(text) > 0),
+        v AS (SELECT source, unnest(list_distinct([('c', length(text)), ('c', length(base)), ('b', strlen(base))])) AS v FROM own), n AS (SELECT source, count(*) AS total FROM own GROUP BY source),
+        c AS (SELECT source, v[1] AS kind, v[2] AS length, count(*) AS records FROM v GROUP BY ALL)
+        SELECT c.source, kind, length, records, total AS "of" FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE records >= 6 AND records >= 0.012 * total""",
 }
