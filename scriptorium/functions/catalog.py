@@ -27,11 +27,7 @@ FIELDS = ("doc_id", "path", "title", "doc_type", "topics", "aliases", "reference
 
 
 def _by_type(kind: Column, value) -> Column:
-    out = None
-    for name, row in TYPES.items():
-        v = value(row)
-        out = F.when(kind == name, v) if out is None else out.when(kind == name, v)
-    return out
+    return F.element_at(F.create_map(*[x for name, row in TYPES.items() for x in (F.lit(name), value(row))]), kind)
 
 
 def _strings(values: list[str]) -> Column:
@@ -73,10 +69,10 @@ def doc_id(path: Column) -> Column:
     return F.substring(F.regexp_replace(name, "^-+|-+$", ""), 1, 80)
 
 
-def inferred(path: Column) -> dict[str, Column]:
-    """All fields of the catalog entry that a path suggests."""
+def inferred(path: Column, kind: Column | None = None) -> dict[str, Column]:
+    """All fields of the catalog entry that a path suggests; ``kind`` where its type is known."""
     own = F.replace(path, F.lit("\\"), F.lit("/"))
-    kind = doc_type(own)
+    kind = doc_type(own) if kind is None else kind
     return {
         "doc_id": doc_id(own),
         "path": own,

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import count_matches, cyrillic_letters, cyrillic_words, let, sanitized, trim
+from scriptorium.functions.text import SPACE, count_matches, cyrillic_letters, cyrillic_words, let, sanitized, trim
 
 LEAST_CHARS, LEAST_CYRILLIC, PER_PAGE, SEVERAL_PAGES = 120, 20, 300, 3
 
+_IN = SPACE[1:-1]
+
 #: An entry of a table of contents, and a numbered heading on its own line.
-CONTENTS_ENTRY = r"""\d+(?:\.\d+)?\.\s+[A-ZА-ЯЁ][A-ZА-ЯЁa-zа-яё0-9\s\-–—,/()«»"'\.]{4,120}?\s+\d{1,3}(?=\s|$|\d+\.)"""
-HEADING = r"(?m)^\s*\d+(?:\.\d+)*\.?\s+[А-ЯЁA-Z][^\n]{6,120}$"
-HEADING_START = r"^\d+(?:\.\d+)*\.?\s+[А-ЯЁA-Z]"
+CONTENTS_ENTRY = rf"""\d+(?:\.\d+)?\.{SPACE}+[A-ZА-ЯЁ][A-ZА-ЯЁa-zа-яё0-9{_IN}\-–—,/()«»"'\.]{{4,120}}?{SPACE}+\d{{1,3}}(?={SPACE}|$|\d+\.)"""
+HEADING = rf"(?m)^{SPACE}*\d+(?:\.\d+)*\.?{SPACE}+[А-ЯЁA-Z][^\n]{{6,120}}$"
+HEADING_START = rf"^\d+(?:\.\d+)*\.?{SPACE}+[А-ЯЁA-Z]"
 
 # Notes of an incomplete index.
 NOTE_SPARSE = "Текстовый слой PDF (часто только оглавление). Нужен полный OCR — переиндексируйте (↻)."
@@ -30,65 +32,96 @@ def _chars(found: Column) -> Column:
     return F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x))
 
 
-def per_page(text: Column, pages: Column) -> Column:
-    return F.length(text) / F.when(pages > 0, pages).otherwise(F.lit(1))
+def facts(text: Column) -> Column:
+    """What the rules below go by, each counted once: ``n`` characters, ``cyr`` Cyrillic letters,
+    entries of a table of contents, numbered headings (and the characters of both), and long
+    lines that are no headings. Null texts have null facts."""
+    lines = F.transform(F.split(text, r"\n+"), trim)
+    counted = lambda found, n, chars: (F.size(found).alias(n), _chars(found).alias(chars))
+    found = F.struct(
+        F.length(text).alias("n"), cyrillic_letters(text).alias("cyr"), F.instr(text, "\n").alias("breaks"), _all(text, CONTENTS_ENTRY).alias("entries"), _all(text, HEADING).alias("headings"),
+        F.size(F.filter(lines, lambda x: (F.length(x) > 55) & ~x.rlike(HEADING_START))).alias("bodies"),
+    )
+    return F.when(text.isNotNull(), let(found, lambda f: F.struct(f["n"].alias("n"), f["cyr"].alias("cyr"), f["breaks"].alias("breaks"), f["bodies"].alias("bodies"), *counted(f["entries"], "entries", "entry_chars"), *counted(f["headings"], "headings", "heading_chars"))))
 
 
-def contents_heavy(text: Column, pages: Column | int) -> Column:
-    """Whether a text is mostly a table of contents or headings, or thin for its pages."""
-    pages = F.lit(pages) if isinstance(pages, int) else pages
-    entries = _all(text, CONTENTS_ENTRY)
-    by_entries = (F.size(entries) >= 4) & (_chars(entries) >= 0.45 * F.length(text))
-    headings = _all(text, HEADING)
-    lines = F.transform(F.split(text, r"\n+"), trim)
-    bodies = F.size(F.filter(lines, lambda x: (F.length(x) > 55) & ~x.rlike(HEADING_START)))
-    by_headings = (F.size(headings) >= 5) & (_chars(headings) >= 0.2 * F.length(text)) & (bodies < F.size(headings) / 3)
-    thin = (pages >= SEVERAL_PAGES) & (F.length(text) < PER_PAGE * pages)
-    return F.when(F.length(text) < LEAST_CHARS, False).when(by_entries, True).when(F.instr(text, "\n") > 0, by_headings | thin).otherwise(thin)
+def _per_page(f: Column, pages: Column) -> Column:
+    return f["n"] / F.when(pages > 0, pages).otherwise(F.lit(1))
 
 
-def usable_layer(text: Column, pages: Column) -> Column:
-    """Whether a PDF's own text can stand without recognition; the first rule that fits decides."""
-    n, cyr = F.length(text), cyrillic_letters(text)
+def _heavy(f: Column, pages: Column) -> Column:
+    by_entries = (f["entries"] >= 4) & (f["entry_chars"] >= 0.45 * f["n"])
+    by_headings = (f["headings"] >= 5) & (f["heading_chars"] >= 0.2 * f["n"]) & (f["bodies"] < f["headings"] / 3)
+    thin = (pages >= SEVERAL_PAGES) & (f["n"] < PER_PAGE * pages)
+    return F.when(f["n"] < LEAST_CHARS, False).when(by_entries, True).when(f["breaks"] > 0, by_headings | thin).otherwise(thin)
+
+
+# The thresholds of the three rules.
+
+
+def _usable(f: Column, pages: Column) -> Column:
+    n, cyr = f["n"], f["cyr"]
     return (
-        F.when(text.isNull() | (n < LEAST_CHARS), False)
+        F.when(n.isNull() | (n < LEAST_CHARS), False)
         .when(cyr < LEAST_CYRILLIC, False)
         .when((n >= 12_000) & (cyr >= 400), True)
         .when((n >= 6_000) & (cyr >= 200), True)
         .when((pages >= 40) & (n >= 3_000) & (cyr >= 150), True)
-        .when(per_page(text, pages) >= 250, True)
-        .when((pages >= SEVERAL_PAGES) & (per_page(text, pages) < PER_PAGE), (n >= 8_000) & (cyr >= 250))
-        .when(contents_heavy(text, pages), n >= 10_000)
+        .when(_per_page(f, pages) >= 250, True)
+        .when((pages >= SEVERAL_PAGES) & (_per_page(f, pages) < PER_PAGE), (n >= 8_000) & (cyr >= 250))
+        .when(_heavy(f, pages), n >= 10_000)
         .otherwise(True)
     )
 
 
-def wants_recognition(text: Column, pages: Column) -> Column:
-    """Whether a PDF has to be recognised as a whole."""
-    n = F.length(text)
+def _wanting(f: Column, pages: Column) -> Column:
     return (
-        F.when(usable_layer(text, pages), False)
-        .when(text.isNull() | (n < 800), True)
-        .when(cyrillic_letters(text) < 15, True)
-        .when((pages >= 5) & (per_page(text, pages) < 80), True)
-        .otherwise(contents_heavy(text, pages) & (n < 5_000))
+        F.when(_usable(f, pages), False)
+        .when(f["n"].isNull() | (f["n"] < 800), True)
+        .when(f["cyr"] < 15, True)
+        .when((pages >= 5) & (_per_page(f, pages) < 80), True)
+        .otherwise(_heavy(f, pages) & (f["n"] < 5_000))
     )
 
 
-def wants_fallback(text: Column, pages: Column) -> Column:
-    """Whether a text is too poor to be relied on."""
-    n = F.length(text)
+def _poor(f: Column, pages: Column) -> Column:
     return (
-        F.when(text.isNull() | (n < LEAST_CHARS), True)
-        .when(cyrillic_letters(text) < LEAST_CYRILLIC, True)
-        .when((pages >= SEVERAL_PAGES) & (n < PER_PAGE * pages), True)
-        .otherwise(contents_heavy(text, pages))
+        F.when(f["n"].isNull() | (f["n"] < LEAST_CHARS), True)
+        .when(f["cyr"] < LEAST_CYRILLIC, True)
+        .when((pages >= SEVERAL_PAGES) & (f["n"] < PER_PAGE * pages), True)
+        .otherwise(_heavy(f, pages))
     )
 
 
+def contents_heavy(text: Column, pages: Column | int) -> Column:
+    """Whether a text is mostly a table of contents or headings, or thin for its pages."""
+    pages = F.lit(pages) if isinstance(pages, int) else pages
+    return let(facts(text), lambda f: _heavy(f, pages))
+
+
+def usable_layer(text: Column, pages: Column) -> Column:
+    """Whether a PDF's own text can stand without recognition; the first rule that fits decides."""
+    return let(facts(text), lambda f: _usable(f, pages))
+
+
+def wants_recognition(text: Column, pages: Column) -> Column:
+    """Whether a PDF has to be recognised as a whole."""
+    return let(facts(text), lambda f: _wanting(f, pages))
+
+
+def wants_fallback(text: Column, pages: Column) -> Column:
+    """Whether a text is too poor to be relied on."""
+    return let(facts(text), lambda f: _poor(f, pages))
+
+
+def judged(text: Column, pages: Column) -> Column:
+    """(usable, recognise, poor, contents): the rules above, by facts that are counted once."""
+    return let(facts(text), lambda f: F.struct(_usable(f, pages).alias("usable"), _wanting(f, pages).alias("recognise"), _poor(f, pages).alias("poor"), F.coalesce(_heavy(f, pages), F.lit(False)).alias("contents")))
+
+
 def extraction_score(text: Column, pages: Column) -> Column:
     """How full and useful an extracted text is; 0 for a short or missing one."""
-    words = F.filter(F.split(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"\s+"), lambda w: F.length(w) > 3)
+    words = F.filter(F.split(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), f"{SPACE}+"), lambda w: F.length(w) > 3)
     ratio = _chars(_all(text, CONTENTS_ENTRY)) / F.length(text)
     score = F.least(F.length(text) / F.greatest(pages, F.lit(1)), F.lit(2500)) * 0.35 + F.size(F.array_distinct(words)) * 1.8 + cyrillic_letters(text) * 0.04 - ratio * 8000
     return F.when(text.isNull() | (F.length(text) < LEAST_CHARS), F.lit(0.0)).otherwise(score)
@@ -96,7 +129,7 @@ def extraction_score(text: Column, pages: Column) -> Column:
 
 def layer_score(text: Column, pages: Column) -> Column:
     """What a text layer is ranked by: size, Cyrillic letters, and whether it is usable."""
-    return F.length(text) + 3 * cyrillic_letters(text) + F.when(usable_layer(text, pages), 10_000).otherwise(0)
+    return let(facts(text), lambda f: f["n"] + 3 * f["cyr"] + F.when(_usable(f, pages), 10_000).otherwise(0))
 
 
 def confidence(extractor: Column, text: Column, pages: Column, failed: Column) -> Column:

@@ -9,14 +9,12 @@ from scriptorium.functions import catalog as C
 from scriptorium.functions import paths as P
 from scriptorium.operators.library import indexable_files
 
-#: Rows of a filter list up to which it is sent to all executors; larger ones are joined by key.
-FEW = 10_000
-
-
 def infer(files: DataFrame, scope: str = "") -> DataFrame:
     """The catalog that the names of indexable files suggest."""
-    own = C.inferred(F.col("path"))
-    return indexable_files(files, scope).select("slug", *[own[f].alias(f) for f in C.FIELDS])
+    # the type is told first, so that what follows from it doesn't try its patterns again
+    typed = indexable_files(files, scope).select("slug", "path", C.doc_type(F.replace(F.col("path"), F.lit("\\"), F.lit("/"))).alias("kind"))
+    own = C.inferred(F.col("path"), F.col("kind"))
+    return typed.select("slug", *[own[f].alias(f) for f in C.FIELDS])
 
 
 def merge(catalog: DataFrame, stored: DataFrame) -> DataFrame:

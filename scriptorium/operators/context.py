@@ -1,8 +1,8 @@
 """Contexts for questions: the best pages or windows of a document within a number of characters.
 
-Budgets that stop at the first overflow are running sums; the one that skips and goes on
-is a fold over the pages of one document, which are in the hundreds at most where it is
-used, after hits have been limited.
+Budgets that stop at the first overflow are running sums over the pages of an entry, which
+share one partitioning; windows of a text are folds within its row. The packing that skips
+and goes on is a fold over the at most 112 pages that were chosen by their numbers.
 """
 
 from __future__ import annotations
@@ -13,35 +13,66 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions.quality import contents_heavy
+from scriptorium.session import spread
 
 KEYS = ["slug", "entry_id"]
 GAP, RADIUS = 200, 2200
+HITS = 12
+
+
+def _block(page: Column, text: Column) -> Column:
+    return F.concat(F.lit("[стр. "), page.cast("string"), F.lit("]\n"), T.trim(text))
 
 
 def scored(pages: DataFrame, asked: list[str], factor: float = 0.12) -> DataFrame:
     """Pages with their score: occurrences of the terms, much less for tables of contents.
     Null texts count as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    score = T.occurrences(T.normalized(text), asked) * F.when(contents_heavy(text, 1), factor).otherwise(1.0)
-    block = F.concat(F.lit("[стр. "), F.col("page").cast("string"), F.lit("]\n"), T.trim(text))
-    return pages.select(*KEYS, "page", score.cast("double").alias("score"), contents_heavy(text, 1).alias("contents"), block.alias("block"))
+    own = pages.select(*KEYS, "page", text.alias("text"), contents_heavy(text, 1).alias("contents"), T.let(T.normalized(text), lambda t: T.occurrences(t, asked)).alias("hits"))
+    score = F.col("hits") * F.when(F.col("contents"), factor).otherwise(1.0)
+    return own.select(*KEYS, "page", score.cast("double").alias("score"), "contents", _block(F.col("page"), F.col("text")).alias("block"))
+
+
+def _joined(blocks: DataFrame, order: Column, most: int, name: str = "context", taken: Column | None = None) -> list[Column]:
+    """The blocks of a group that are ``taken``, in order, as one text, and their number."""
+    one = F.struct(order.alias("o"), "block")
+    own = F.collect_list(one if taken is None else F.when(taken, one))
+    text = F.array_join(F.transform(F.sort_array(own), lambda x: x["block"]), "\n\n")
+    return [F.substring(text, 1, most).alias(name), F.size(own).cast("long").alias("blocks" if taken is None else name + "_blocks")]
+
 
+def _until(order: Column) -> Column:
+    return order.rowsBetween(W.unboundedPreceding, -1)
 
-def _joined(blocks: DataFrame, order: Column, most: int) -> DataFrame:
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "block"))), lambda x: x["block"]), "\n\n")
-    return blocks.groupBy(*KEYS).agg(F.substring(text, 1, most).alias("context"), F.count("*").alias("blocks"))
+
+def _by_score(own: DataFrame, most: int) -> DataFrame:
+    """Scored pages with ``rank`` and whether they are ``near``: the best until one doesn't fit."""
+    order = W.partitionBy(*KEYS).orderBy(F.desc("score"), "page", "block")
+    hit = F.col("score") > 0
+    own = own.withColumn("rank", F.row_number().over(order)).withColumn("used", F.coalesce(F.sum(F.length("block") + 2).over(_until(order)), F.lit(0)))
+    over = ~hit | (F.col("used") >= most) | ((F.col("rank") > 1) & (F.col("used") + F.length("block") > most))
+    return own.withColumn("near", ~F.max(over).over(order.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _evenly(own: DataFrame, most: int) -> DataFrame:
+    """Pages and whether they are ``even``: taken evenly from each entry while they last."""
+    all_ = W.partitionBy(*KEYS)
+    order = all_.orderBy("page", "block")
+    body = ~F.col("contents") | (F.col("page") > 4)
+    own = own.withColumn("kept", (F.count_if(body).over(all_) < 5) | body)
+    own = own.withColumn("n", F.count_if(F.col("kept")).over(all_)).withColumn("rn", F.coalesce(F.count_if(F.col("kept")).over(_until(order)), F.lit(0)))
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / 12))
+    own = own.withColumn("even", F.col("kept") & (F.col("rn") % step == 0) & (F.col("rn") / step < 16))
+    used = F.coalesce(F.sum(F.when(F.col("even"), F.length("block") + 2)).over(_until(order)), F.lit(0))
+    return own.withColumn("even", F.col("even") & (used < most))
 
 
 def narrow(pages: DataFrame, asked: list[str], most: int) -> DataFrame:
     """(slug, entry_id, context, blocks): the best-scored pages of each entry, in that order,
     until one doesn't fit; the first is taken in any case and cut. Entries none of whose
     pages scores have no row here, see ``spread_out``."""
-    hit = scored(pages, asked).filter("score > 0")
-    order = W.partitionBy(*KEYS).orderBy(F.desc("score"), "page")
-    hit = hit.withColumn("rank", F.row_number().over(order)).withColumn("used", F.coalesce(F.sum(F.length("block") + 2).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    over = (F.col("used") >= most) | ((F.col("rank") > 1) & (F.col("used") + F.length("block") > most))
-    kept = hit.withColumn("stopped", F.max(over).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(~F.col("stopped"))
-    return _joined(kept, F.col("rank"), most)
+    kept = _by_score(scored(pages, asked).filter("score > 0"), most).filter("near")
+    return kept.groupBy(*KEYS).agg(*_joined(kept, F.col("rank"), most))
 
 
 def spread_out(pages: DataFrame, most: int) -> DataFrame:
@@ -49,28 +80,30 @@ def spread_out(pages: DataFrame, most: int) -> DataFrame:
 
     Tables of contents among the first four pages are left out where five others remain.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    all_ = W.partitionBy(*KEYS)
-    own = pages.withColumn("body", ~contents_heavy(text, 1) | (F.col("page") > 4))
-    own = own.withColumn("bodies", F.count_if(F.col("body")).over(all_)).filter((F.col("bodies") < 5) | F.col("body"))
-    own = own.withColumn("n", F.count("*").over(all_)).withColumn("rn", F.row_number().over(all_.orderBy("page")) - 1)
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / 12))
-    picked = own.filter((F.col("rn") % step == 0) & (F.col("rn") / step < 16))
-    block = F.concat(F.lit("[стр. "), F.col("page").cast("string"), F.lit("]\n"), T.trim(F.coalesce(F.col("text"), F.lit(""))))
-    picked = picked.select(*KEYS, "page", block.alias("block"))
-    used = F.coalesce(F.sum(F.length("block") + 2).over(all_.orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return _joined(picked.withColumn("used", used).filter(F.col("used") < most), F.col("page"), most)
+    kept = _evenly(scored(pages, []), most).filter("even")
+    return kept.groupBy(*KEYS).agg(*_joined(kept, F.col("page"), most))
+
+
+def _near_or_even(pages: DataFrame, asked: list[str], most: int) -> DataFrame:
+    """(slug, entry_id, context, builder) of every entry with pages: ``narrow``, and where no page
+    scores ``spread_out``, by one shuffle of the pages."""
+    own = _evenly(_by_score(scored(pages, asked), most), most).filter("near or even")
+    near, even = _joined(own, F.col("rank"), most, "by_score", F.col("near")), _joined(own, F.col("page"), most, "evenly", F.col("even"))
+    both = own.groupBy(*KEYS).agg(*near, *even)
+    hit = F.col("by_score_blocks") > 0
+    return both.select(*KEYS, F.when(hit, F.col("by_score")).otherwise(F.col("evenly")).alias("context"), F.when(hit, "narrow").otherwise("spread").alias("builder"))
 
 
 def wide(pages: DataFrame, asked: list[str], most: int) -> DataFrame:
     """(slug, entry_id, context, blocks): the best pages with their neighbours, filled up in
     page order to 40, packed in page order; a page that doesn't fit is skipped.
 
-    The choice depends on what was chosen before, so it is a fold over an entry's pages.
+    The choice depends on what was chosen before, so it is a fold, over the pages' numbers and
+    scores only; the texts of the chosen pages are joined to it.
     """
-    one = F.struct("score", "page", "contents", "block")
-    own = scored(pages, asked, 0.08).groupBy(*KEYS).agg(F.sort_array(F.collect_list(one)).alias("p"))
-    by_score = F.array_sort(F.col("p"), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(F.when(a["page"] < b["page"], -1).otherwise(1)))
+    pages = scored(pages, asked, 0.08)
+    own = pages.groupBy(*KEYS).agg(F.collect_list(F.struct("score", "page", "contents")).alias("p"))
+    by_score = F.transform(F.array_sort(F.transform("p", lambda x: F.struct((-x["score"]).alias("o"), x["page"].alias("page"), x["score"].alias("score")))), lambda x: x)
     start = F.array().cast("array<int>")
 
     def pick(chosen, x):
@@ -78,18 +111,18 @@ def wide(pages: DataFrame, asked: list[str], most: int) -> DataFrame:
         full = (F.size(chosen) >= 24) | ((x["score"] <= 0) & (F.size(chosen) >= 8))
         return F.when(full, chosen).otherwise(F.array_union(chosen, near))
 
-    by_page = F.array_sort(F.col("p"), lambda a, b: a["page"] - b["page"])
-    own = own.withColumn("chosen", F.aggregate(by_score, start, pick))
     fill = lambda chosen, x: F.when((F.size(chosen) < 40) & (~x["contents"] | (x["page"] > 5)), F.array_union(chosen, F.array(x["page"]))).otherwise(chosen)
-    own = own.withColumn("chosen", F.aggregate(by_page, F.col("chosen"), fill))
-    ordered = F.filter(by_page, lambda x: F.array_contains(F.col("chosen"), x["page"]))
+    by_page = F.array_sort(F.transform("p", lambda x: F.struct(x["page"].alias("page"), x["contents"].alias("contents"))))
+    own = own.withColumn("chosen", F.aggregate(by_score, start, pick))
+    own = own.withColumn("chosen", F.aggregate(by_page, F.col("chosen"), fill)).select(*KEYS, "chosen")
     none = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("blocks"))
 
     def pack(s, x):
         fits = (s["used"] < most) & ((s["used"] + F.length(x["block"]) <= most) | (F.size(s["blocks"]) == 0))
         return F.when(fits, F.struct((s["used"] + F.length(x["block"]) + 2).alias("used"), F.concat(s["blocks"], F.array(x["block"])).alias("blocks"))).otherwise(s)
 
-    packed = own.withColumn("s", F.aggregate(ordered, none, pack))
+    ordered = pages.join(own, KEYS).filter(F.array_contains("chosen", F.col("page"))).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("page", "block"))).alias("p"))
+    packed = ordered.withColumn("s", F.aggregate("p", none, pack))
     return packed.select(*KEYS, F.substring(F.array_join("s.blocks", "\n\n"), 1, most).alias("context"), F.size("s.blocks").cast("long").alias("blocks"))
 
 
@@ -98,39 +131,60 @@ def _placed(size: int):
     return lambda s, n: F.struct((s["at"] + n + size).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all"))
 
 
+def _spots(normal: Column, asked: list[str]) -> Column:
+    """Offsets of all terms in a normalised text, in order."""
+    out = []
+    for t in asked:
+        parts = F.split(normal, "\\Q" + t + "\\E", -1)
+        sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
+        out.append(F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), _placed(len(t)))["all"])
+    return F.array_sort(F.concat(*out)) if out else F.array().cast("array<int>")
+
+
+def islands(text: Column, asked: list[str]) -> Column:
+    """Stretches (begin, finish) around the terms' occurrences in a text, joined where at most
+    200 characters lie between them; a fold over the offsets in order."""
+    one = lambda a, b: F.struct(a.alias("begin"), b.alias("finish"))
+    size = F.length(text)
+
+    def grow(s, at):
+        begin, finish = F.greatest(F.lit(0), at - RADIUS), F.least(size, at + RADIUS)
+        last = F.element_at(s, -1)
+        joins = (F.size(s) > 0) & (begin <= F.try_element_at(s, F.lit(-1))["finish"] + GAP)
+        return F.when(joins, F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(one(last["begin"], finish)))).otherwise(F.concat(s, F.array(one(begin, finish))))
+
+    none = F.array().cast("array<struct<begin:int,finish:int>>")
+    return F.aggregate(T.let(T.normalized(text), lambda t: _spots(t, asked)), none, grow)
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(*KEYS, T.trim(F.col("text")).alias("text")).filter(F.length("text") > 0)
+
+
 def windows(documents: DataFrame, asked: list[str]) -> DataFrame:
     """(slug, entry_id, begin, finish): stretches around the terms' occurrences, joined where at
     most 200 characters lie between them."""
-    own = documents.select(*KEYS, T.trim(F.col("text")).alias("text")).filter(F.length("text") > 0)
-    spots = []
-    for t in asked:
-        parts = F.split(T.normalized(F.col("text")), "\\Q" + t + "\\E", -1)
-        sizes = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
-        spots.append(F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), _placed(len(t)))["all"])
-    if not spots:
-        return own.select(*KEYS, F.lit(0).alias("begin"), F.lit(0).alias("finish")).limit(0)
-    hit = own.select(*KEYS, F.length("text").alias("n"), F.explode(F.concat(*spots)).alias("at"))
-    hit = hit.select(*KEYS, F.greatest(F.lit(0), F.col("at") - RADIUS).alias("begin"), F.least("n", F.col("at") + RADIUS).alias("finish"))
-    order = W.partitionBy(*KEYS).orderBy("begin", "finish")
-    before = F.max("finish").over(order.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.when(F.coalesce(F.col("begin") > F.col("before") + GAP, F.lit(False)), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    hit = hit.withColumn("before", before).withColumn("island", island)
-    return hit.groupBy(*KEYS, "island").agg(F.min("begin").alias("begin"), F.max("finish").alias("finish")).drop("island")
+    return spread(_texts(documents)).select(*KEYS, F.explode(islands(F.col("text"), asked)).alias("i")).select(*KEYS, "i.begin", "i.finish")
+
+
+def _window_blocks(text: Column, asked: list[str], most: int) -> Column:
+    """The windows of a text from its start on, with ellipses, while the characters last."""
+    piece = lambda i: F.struct(i["begin"].alias("begin"), i["finish"].alias("finish"), T.trim(F.substring(text, i["begin"] + 1, i["finish"] - i["begin"])).alias("chunk"))
+    pieces = F.filter(F.transform(islands(text, asked), piece), lambda x: F.length(x["chunk"]) > 0)
+    none = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("blocks"))
+
+    def pack(s, x):
+        block = F.concat(F.when(x["begin"] > 0, "... ").otherwise(""), x["chunk"], F.when(x["finish"] < F.length(text), " ...").otherwise(""))
+        return F.when(s["used"] < most, F.struct((s["used"] + F.length(x["chunk"]) + 2).alias("used"), F.concat(s["blocks"], F.array(block)).alias("blocks"))).otherwise(s)
+
+    return F.aggregate(pieces, none, pack)["blocks"]
 
 
 def windowed(documents: DataFrame, asked: list[str], most: int) -> DataFrame:
     """(slug, entry_id, context, blocks): the windows of each entry from the start on, with
     ellipses, while the characters last; the beginning of the text where nothing hits."""
-    text = documents.select(*KEYS, T.trim(F.col("text")).alias("text")).filter(F.length("text") > 0)
-    cut = windows(documents, asked).join(text, KEYS)
-    chunk = T.trim(F.expr("substring(text, begin + 1, finish - begin)"))
-    cut = cut.withColumn("chunk", chunk).filter(F.length("chunk") > 0)
-    block = F.concat(F.when(F.col("begin") > 0, "... ").otherwise(""), F.col("chunk"), F.when(F.col("finish") < F.length("text"), " ...").otherwise(""))
-    before = W.partitionBy(*KEYS).orderBy("begin").rowsBetween(W.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(F.length("chunk") + 2).over(before), F.lit(0))
-    hit = _joined(cut.withColumn("used", used).filter(F.col("used") < most).withColumn("block", block), F.col("begin"), most)
-    rest = text.join(hit, KEYS, "left_anti").select(*KEYS, F.substring("text", 1, most).alias("context"), F.lit(0).cast("long").alias("blocks"))
-    return hit.unionByName(rest)
+    own = spread(_texts(documents)).select(*KEYS, "text", _window_blocks(F.col("text"), asked, most).alias("b"))
+    return own.select(*KEYS, F.when(F.size("b") > 0, F.substring(F.array_join("b", "\n\n"), 1, most)).otherwise(F.substring("text", 1, most)).alias("context"), F.size("b").cast("long").alias("blocks"))
 
 
 def build(documents: DataFrame, pages: DataFrame, query: str, most: int, boost: list[str] = (), prefer_wide: bool = False) -> DataFrame:
@@ -141,23 +195,22 @@ def build(documents: DataFrame, pages: DataFrame, query: str, most: int, boost:
     windows. Null and blank texts have no row.
     """
     asked = T.boosted_terms(query, [*boost, *T.section_terms(query)])
-    text = documents.select(*KEYS, T.trim(F.col("text")).alias("text")).filter(F.length("text") > 0)
-    paged = pages.select(*KEYS).distinct()
-    own = pages.join(text.select(*KEYS), KEYS, "left_semi")
-    mark = lambda df, how: df.select(*KEYS, "context", F.lit(how).alias("builder"))
     if prefer_wide:
-        by_pages = mark(wide(own, asked, most), "wide")
+        by_pages = wide(pages, asked, most).select(*KEYS, "context", F.lit("wide").alias("builder"))
     else:
-        near = mark(narrow(own, asked, most), "narrow")
-        by_pages = near.unionByName(mark(spread_out(own.join(near.select(*KEYS), KEYS, "left_anti"), most), "spread"))
-    flat = text.join(paged, KEYS, "left_anti")
-    whole = flat.filter(F.length("text") <= most).select(*KEYS, F.col("text").alias("context"), F.lit("whole").alias("builder"))
-    long = flat.filter(F.length("text") > most)
+        by_pages = _near_or_even(pages, asked, most)
+    own = _texts(documents).join(by_pages, KEYS, "left")
+    text, fits, paged = F.col("text"), F.length("text") <= most, F.col("builder").isNotNull()
+    head = F.substring(text, 1, most)
     if prefer_wide or not asked:
-        rest = long.select(*KEYS, F.substring("text", 1, most).alias("context"), F.lit("head").alias("builder"))
+        rest, how = head, F.lit("head")
     else:
-        rest = mark(windowed(long, asked, most), "windows")
-    return by_pages.unionByName(whole).unionByName(rest)
+        # only long texts without pages are searched for windows
+        blocks = F.when(~paged & ~fits, _window_blocks(text, asked, most))
+        own, how = own.withColumn("b", blocks), F.lit("windows")
+        rest = F.when(F.size("b") > 0, F.substring(F.array_join("b", "\n\n"), 1, most)).otherwise(head)
+    context = F.when(paged, F.col("context")).when(fits, text).otherwise(rest)
+    return own.select(*KEYS, context.alias("context"), F.when(paged, F.col("builder")).when(fits, "whole").otherwise(how).alias("builder"))
 
 
 def width(option: bool | None, scope_files: int, hits: int) -> bool:
@@ -176,36 +229,41 @@ def for_query(documents: DataFrame, files: DataFrame, pages: DataFrame, meta: Da
 
     Hits are limited to twelve before folders, types, names and scope filter them; without
     any left, all files of the scope stand in. Documents without text drop out after the
-    limit. ``meta`` has (slug, path, extractor, confidence, index_status, index_note).
+    limit. ``meta`` has (slug, path, extractor, confidence, index_status, index_note). The
+    search runs once, when the frame is built: its at most twelve rows come to the driver,
+    and only the documents and pages they name are read after that.
     """
     from scriptorium.operators import catalog as K
     from scriptorium.operators import search as S
     from scriptorium.operators.library import indexable_files
 
     spark = documents.sparkSession
-    own = K.infer(files, scope)
     hits = None
     if wanted:
-        routes = K.routed(own, spark.createDataFrame([(w,) for w in wanted], "wanted string"))
+        routes = K.routed(K.infer(files, scope), spark.createDataFrame([(w,) for w in wanted], "wanted string"))
         if not routes.isEmpty():
-            hits = S.routed_search(documents, routes, meta, query, 12)
-    hits = hits if hits is not None else S.search(documents, files, query, 12)
-    hits = S.named(S.of_types(S.in_folders(hits, list(folders)), own, list(types)), list(wanted))
-    in_scope, stands_in = 0, False
+            hits = S.routed_search(documents, routes, meta, query, HITS)
+    hits = hits if hits is not None else S.search(documents, files, query, HITS)
+    found = spark.createDataFrame(hits.collect(), S.HITS)
+    found = S.named(S.of_types(S.in_folders(found, list(folders)), K.infer(files, scope), list(types)), list(wanted))
+    in_scope, order = 0, [F.desc("score"), F.collate("name", "ru"), "path", "slug"]
     if scope:
-        hits = S.in_scope(hits, scope)
+        found = S.in_scope(found, scope)
         inside = indexable_files(files, scope)
-        in_scope, stands_in = inside.limit(4).count(), hits.isEmpty()
-        hits = S.with_fallback(hits, inside)
-    few = hits.limit(3).count()
-    use_wide = width(prefer_wide, in_scope, few)
+        in_scope = inside.limit(4).count()
+    few = found.orderBy(*order).collect()
+    if scope and not few:
+        # files that stand in for missing hits come in the order of their paths
+        order = [F.collate("path", "ru"), "slug"]
+        few = S.with_fallback(found, inside).orderBy(*order).limit(HITS).collect()
+    use_wide = width(prefer_wide, in_scope, len(few))
     most, limit = (max(most, 80_000), min(limit, 2)) if use_wide else (most, limit)
-    # files that stand in for missing hits come in the order of their paths
-    order = [F.desc("score"), F.collate("name", "ru"), "path", "slug"] if not stands_in else [F.collate("path", "ru"), "slug"]
-    ranked = hits.orderBy(*order).limit(limit)
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))  # a few rows
-    chosen = documents.join(ranked.select("slug", "path", "rank"), ["slug", "path"])
+    kept = few[:limit]
+    ranked = F.broadcast(spark.createDataFrame([(r.slug, r.path, k) for k, r in enumerate(kept, 1)], "slug string, path string, rank int"))
+    chosen = documents.filter(F.col("path").isin([r.path for r in kept])).join(ranked, ["slug", "path"])
     text = chosen.withColumn("text", F.substring(T.trim(F.col("text")), 1, 120_000))
-    built = build(text, pages.join(text.select(*KEYS).distinct(), KEYS, "left_semi"), query, most, list(boost), use_wide)
-    out = text.select(*KEYS, "path", "rank").join(built, KEYS).join(meta.select("slug", "path", "extractor", "confidence", "index_status", "index_note"), ["slug", "path"], "left")
+    ids = [r.entry_id for r in chosen.select("entry_id").distinct().limit(4 * HITS).collect()]
+    built = build(text, pages.filter(F.col("entry_id").isin(ids)), query, most, list(boost), use_wide)
+    state = meta.filter(F.col("path").isin([r.path for r in kept])).select("slug", "path", "extractor", "confidence", "index_status", "index_note")
+    out = chosen.select(*KEYS, "path", "rank").join(built, KEYS).join(state, ["slug", "path"], "left")
     return out.select("rank", "slug", "path", F.substring_index("path", "/", -1).alias("name"), noted(F.col("context"), F.col("index_status"), F.col("index_note")).alias("text"), "extractor", "confidence")

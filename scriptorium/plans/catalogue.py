@@ -20,6 +20,7 @@ from scriptorium.operators import context as X
 from scriptorium.operators import jobs as Jobs
 from scriptorium.operators import library as L
 from scriptorium.operators import search as S
+from scriptorium.session import spread
 from scriptorium.sources.tables import distinct_pages, latest_meta, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_documents")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The same for queries that work on every text: a small table is spread over all cores."""
+    return spread(table(spark, d, "extracted_documents").select("entry_id", "text"))
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return L.current_files(table(spark, d, "library_files"))
 
@@ -310,20 +316,20 @@ def cyrillic_counts(spark, d):
 @query()
 def toc_heavy(spark, d):
     """Which texts are tables of contents, by their pages."""
-    own = _docs(spark, d).join(_meta(spark, d).select("entry_id", F.coalesce("source_pages", F.lit(0)).alias("n")), "entry_id", "left")
+    own = _texts(spark, d).join(_meta(spark, d).select("entry_id", F.coalesce("source_pages", F.lit(0)).alias("n")), "entry_id", "left")
     return own.select("entry_id", F.coalesce(Q.contents_heavy(F.col("text"), F.coalesce("n", F.lit(0))), F.lit(False)).alias("contents"))
 
 
 @query()
 def usable_text_layer(spark, d):
-    own = _docs(spark, d).join(_meta(spark, d).select("entry_id", "source_pages"), "entry_id", "left").withColumn("n", F.coalesce("source_pages", F.lit(0)))
-    t, n = F.col("text"), F.col("n")
-    return own.select("entry_id", Q.usable_layer(t, n).alias("usable"), Q.wants_recognition(t, n).alias("recognise"), Q.wants_fallback(t, n).alias("poor"))
+    own = _texts(spark, d).join(_meta(spark, d).select("entry_id", F.coalesce("source_pages", F.lit(0)).alias("n")), "entry_id", "left")
+    judged = own.select("entry_id", Q.judged(F.col("text"), F.coalesce("n", F.lit(0))).alias("j"))
+    return judged.select("entry_id", "j.usable", "j.recognise", "j.poor")
 
 
 @query()
 def text_quality_score(spark, d):
-    own = _docs(spark, d).join(_meta(spark, d).select("entry_id", "source_pages"), "entry_id", "left")
+    own = _texts(spark, d).join(_meta(spark, d).select("entry_id", "source_pages"), "entry_id", "left")
     return own.select("entry_id", F.round(Q.extraction_score(F.col("text"), F.coalesce("source_pages", F.lit(0))), 6).alias("score"))
 
 
@@ -331,7 +337,7 @@ def text_quality_score(spark, d):
 def text_layer_argmax(spark, d):
     """Of an entry's text and its pages' texts joined, the better layer; the first on a tie."""
     joined = _pages(spark, d).groupBy("entry_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
-    both = _docs(spark, d).select("entry_id", F.lit(0).alias("layer"), "text").unionByName(joined.select("entry_id", F.lit(1).alias("layer"), "text"))
+    both = _texts(spark, d).select("entry_id", F.lit(0).alias("layer"), "text").unionByName(joined.select("entry_id", F.lit(1).alias("layer"), "text"))
     best = both.groupBy("entry_id").agg(F.max(F.struct(F.coalesce(Q.layer_score(F.col("text"), F.lit(0)), F.lit(-1)).alias("score"), (-F.col("layer")).alias("o"))).alias("b"))
     return best.select("entry_id", (-F.col("b.o")).alias("layer"), "b.score")
 
@@ -345,7 +351,7 @@ def photo_text_quality(spark, d):
 @query()
 def index_status(spark, d):
     n = _pages(spark, d).filter(F.length("text") > 0).groupBy("entry_id").agg(F.count("*").alias("n"))
-    own = _docs(spark, d).select("entry_id", "text").join(_meta(spark, d).select("entry_id", "extractor", "source_pages"), "entry_id", "left").join(n, "entry_id", "left")
+    own = _texts(spark, d).join(_meta(spark, d).select("entry_id", "extractor", "source_pages"), "entry_id", "left").join(n, "entry_id", "left")
     info = Q.index_status(F.col("text"), F.coalesce("extractor", F.lit("")), F.col("n"), F.coalesce("source_pages", F.lit(0)))
     return own.select("entry_id", info.alias("i")).select("entry_id", "i.*")
 
