@@ -107,7 +107,7 @@ def duration(seconds: Column) -> Column:
 
 
 def byte_size(size: Column) -> Column:
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_string("%.1f", size / 1024.0), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", size / 1048576.0), F.lit(" MB")))
+    return F.when(size.isNull(), None).when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, F.concat(F.format_string("%.1f", size / 1024.0), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", size / 1048576.0), F.lit(" MB")))
 
 
 def date(at: Column) -> Column:
@@ -132,7 +132,14 @@ def hue_of_slug(slug: Column) -> Column:
 def route(slug: Column, path: Column) -> Column:
     """The address of a folder in the user interface."""
     parts = F.concat(F.array(slug), F.filter(F.split(path, "/"), lambda p: p != ""))
-    escaped = lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
+
+    def escaped(p):
+        out = F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))
+        # fixed values: what may stand in a part of an address as it is, besides letters and digits
+        for code, c in {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}.items():
+            out = F.replace(out, F.lit(code), F.lit(c))
+        return out
+
     return F.concat(F.lit("#/"), F.array_join(F.transform(parts, escaped), "/"))
 
 

@@ -14,19 +14,19 @@ SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
 SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Words that don't count in a query.
-STOP_WORDS = (
-    "какие какой какая какое сколько данной этой установке установка установки посмотри "
-    "напиши найди весь паспорт необходимо необходим произвести производ"
-).split()
+STOP_WORDS = [
+    "какие", "какой", "какая", "какое", "сколько", "данной", "этой", "установке", "установка", "установки", "посмотри",
+    "напиши", "найди", "весь", "паспорт", "необходимо", "необходим", "произвести", "производ",
+]
 
 # What a query word (its first eight letters) also asks for.
 EXPANSIONS = {
-    "запуск": "пуск пусконалад монтаж ввод эксплуата commission".split(),
-    "первый": "первичн начальн".split(),
-    "монтаж": "монтаж пусконалад установк".split(),
-    "извлечен": "извлеч элемент мембран картридж".split(),
-    "элемент": "элемент мембран картридж фильтр".split(),
-    "инструк": "инструк руковод регламент раздел".split(),
+    "запуск": ["пуск", "пусконалад", "монтаж", "ввод", "эксплуата", "commission"],
+    "первый": ["первичн", "начальн"],
+    "монтаж": ["монтаж", "пусконалад", "установк"],
+    "извлечен": ["извлеч", "элемент", "мембран", "картридж"],
+    "элемент": ["элемент", "мембран", "картридж", "фильтр"],
+    "инструк": ["инструк", "руковод", "регламент", "раздел"],
 }
 
 #: Fixed value: characters that survive in recognised and extracted text.

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import paths as P
 from scriptorium.functions.text import trim
+from scriptorium.session import durable
 
 
 def ru(column: str):
@@ -26,6 +28,21 @@ def current_files(files: DataFrame) -> DataFrame:
     return newest.select("slug", "path", "f.*")
 
 
+def with_place(rows: DataFrame, *order) -> DataFrame:
+    """Rows with their ``place`` (from 1) in an order, however many there are.
+
+    Rows are split into ranges of the order, which are numbered by themselves; how many stand
+    in the ranges before is a sum over one row for each range.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = durable(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "places")
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    base = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    return ranged.withColumn("place", place).join(F.broadcast(base), "part").withColumn("place", F.col("place") + F.col("base")).drop("part", "base")
+
+
 def directions(table: DataFrame) -> DataFrame:
     """(slug, title, created_at) of valid directions: a blank title is the slug, a missing time
     the epoch."""

@@ -20,6 +20,7 @@ from scriptorium.operators import context as X
 from scriptorium.operators import jobs as Jobs
 from scriptorium.operators import library as L
 from scriptorium.operators import search as S
+from scriptorium.plans import sql as SQL
 from scriptorium.session import spread
 from scriptorium.sources.tables import distinct_pages, latest_meta, table
 
@@ -76,14 +77,10 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
 
 # --- SQL fragments ----------------------------------------------------------------------
 
-_SPACES = r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SPACES, _META, _PAGES = SQL.SPACES, SQL.META, SQL.PAGES
 _FILES = """(SELECT slug, path, f.name AS name, f.size AS size, f.kind AS kind, f.content_type AS content_type, f.has_text AS has_text, f.modified_at AS modified_at
   FROM (SELECT slug, path, max(struct_pack(modified_at := coalesce(modified_at, TIMESTAMP '0001-01-01'), name := coalesce(name, ''), kind := coalesce(kind, ''), size := coalesce(size, -1), content_type := coalesce(content_type, ''),
   has_text := coalesce(has_text, false))) AS f FROM library_files GROUP BY slug, path))"""
-_META = """(SELECT entry_id, extractor, confidence, chars, source_pages, indexed_pages, index_status, index_note FROM
-  (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY extracted_at DESC NULLS LAST, extractor DESC NULLS LAST, confidence DESC NULLS LAST, chars DESC NULLS LAST,
-  source_pages DESC NULLS LAST, indexed_pages DESC NULLS LAST, index_status DESC NULLS LAST, index_note DESC NULLS LAST) AS rn FROM extraction_meta) WHERE rn = 1)"""
-_PAGES = "(SELECT DISTINCT page_id, entry_id, slug, page, text FROM document_pages)"
 
 
 def _norm(c: str) -> str:
@@ -106,8 +103,12 @@ def _name(c: str = "path") -> str:
     return f"list_extract(string_split({c}, '/'), -1)"
 
 
+#: The terms of the questions, written out: the SQL does not ask the library for them.
+_ASKED = {QUESTION: ["проверка", "заземляю", "устройст"], NO_TERMS: [], BY_NAME: ["акт"]}
+
+
 def _text_hits(question: str, where: str = "", source: str = "extracted_documents") -> str:
-    asked = T.query_terms(question)
+    asked = _ASKED[question]
     return f"""SELECT slug, path, {_name()} AS name, CAST(2 + {_count(_norm('text'), asked)} AS DOUBLE) AS score FROM {source}
       WHERE text IS NOT NULL AND ({_any(_norm(_name() + " || ' ' || text"), asked)}) {where}"""
 
@@ -158,7 +159,7 @@ def search_routed_partial_penalty(spark, d):
     return S.routed_search(docs, routes, _meta(spark, d), QUESTION, limit=None).select(*_PLAIN)
 
 
-_TERMS = T.query_terms(QUESTION)
+_TERMS = _ASKED[QUESTION]
 
 
 @query(
@@ -170,7 +171,11 @@ def snippet_first_hit(spark, d):
     return S.text_hits(_docs(spark, d), QUESTION).select("slug", "path", "snippet")
 
 
-@query()
+@query(
+    f"""SELECT query, count_if(hit) AS matched, CAST(coalesce(sum(CASE WHEN hit THEN n END), 0) AS BIGINT) AS occurrences FROM (SELECT query, len(terms) = 0 OR len(list_filter(terms, lambda t: contains(whole, t))) > 0 AS hit,
+    coalesce(list_sum(list_transform(terms, lambda t: (length(normal) - length(replace(normal, t, ''))) // length(t))), 0) AS n FROM (SELECT query, {SQL.terms("query")} AS terms FROM (SELECT DISTINCT title AS query FROM directions WHERE title IS NOT NULL)),
+    (SELECT {_norm("concat_ws(' ', name, text)")} AS whole, {_norm('text')} AS normal FROM extracted_documents WHERE text IS NOT NULL)) GROUP BY query"""
+)
 def multi_query_search(spark, d):
     """Each direction's title as a query over all texts."""
     return S.many(_docs(spark, d), table(spark, d, "directions").select(F.col("title").alias("query")))
@@ -206,6 +211,17 @@ def scope_fallback_union(spark, d):
     return S.with_fallback(S.in_scope(S.search(_docs(spark, d), files, "zzzzqqqq"), "gost"), L.indexable_files(files, "gost")).select(*_PLAIN)
 
 
+NAMED = ["Protokol.PDF", "gost\\\\opis.pdf", "passport.docx"]
+
+
+@query(f"SELECT * FROM ({_hits(QUESTION, 200)}) WHERE lower(name) IN ('protokol.pdf', 'passport.docx') OR path = 'gost/opis.pdf' OR lower(name) = 'gost/opis.pdf' OR lower(name) = (SELECT lower({_name('min(path)')}) FROM extracted_documents) OR path = (SELECT min(path) FROM extracted_documents)")
+def filter_documents_named(spark, d):
+    """Hits that any of some names or paths names, among them that of the first document."""
+    first = _docs(spark, d).agg(F.min("path")).first()[0]
+    wanted = NAMED + ([first, first.rsplit("/", 1)[-1]] if first else [])
+    return S.named(S.search(_docs(spark, d), _files(spark, d), QUESTION, 200), wanted).select(*_PLAIN)
+
+
 # --- catalog ----------------------------------------------------------------------------
 
 _NAME = f"lower({_name()})"
@@ -223,27 +239,42 @@ def catalog_infer(spark, d):
     return K.infer(_files(spark, d)).select("slug", "path", "doc_id", "title", "doc_type", "priority")
 
 
-@query()
+_TOPICS = """CASE doc_type WHEN 'classifier' THEN 'код|классификатор|номенклатура' WHEN 'law' THEN 'закон|норма|требование|ответственность' WHEN 'standard' THEN 'стандарт|гост|сп|технические требования'
+  WHEN 'tkp' THEN 'типовой проект|ткp|проектирование' WHEN 'regulation' THEN 'правила|приказ|регламент|порядок' WHEN 'instruction' THEN 'инструкция|процедура|безопасность' ELSE '' END"""
+_ALIASES = f"""{_name()} || CASE doc_type WHEN 'classifier' THEN '|классификатор' WHEN 'law' THEN '|закон' WHEN 'standard' THEN '|гост|сп' WHEN 'tkp' THEN '|ткp' WHEN 'regulation' THEN '|правила' WHEN 'instruction' THEN '|инструкция' ELSE '' END"""
+
+
+def _listed(*columns):
+    return [F.array_join(c, "|").alias(c) for c in columns]
+
+
+@query(f"SELECT slug, path, {_ALIASES} AS aliases, {_TOPICS} AS topics, '' AS \"references\" FROM {_CATALOG}")
 def catalog_aliases_topics(spark, d):
-    return K.infer(_files(spark, d)).select("slug", "path", "aliases", "topics", "references")
+    return K.infer(_files(spark, d)).select("slug", "path", *_listed("aliases", "topics", "references"))
 
 
 @query(
-    f"""SELECT c.slug, c.path, coalesce(nullif({_trim("s.title")}, ''), c.title) AS title, coalesce(s.doc_type, c.doc_type) AS doc_type, {_PRIORITY.replace('doc_type', 'c.doc_type')} AS priority FROM {_CATALOG} c LEFT JOIN
-    (SELECT e.slug, e.path, d.title, d.doc_type FROM extracted_documents e JOIN documents d ON d.doc_id = e.entry_id) s USING (slug, path)"""
+    f"""SELECT c.slug, c.path, coalesce(nullif({_trim("s.title")}, ''), c.title) AS title, coalesce(s.doc_type, c.doc_type) AS doc_type, coalesce(s.n_chars % 5, {_PRIORITY.replace('doc_type', 'c.doc_type')}) AS priority,
+    CASE WHEN s.doc_type IS NULL THEN {_TOPICS.replace('doc_type', 'c.doc_type')} ELSE s.doc_type END AS topics, {_ALIASES.replace('path', 'c.path').replace('doc_type', 'c.doc_type')} || coalesce('|' || s.title, '') AS aliases,
+    coalesce(s.source, '') AS "references", coalesce(s.lang || '=' || s.source, '') AS hints FROM {_CATALOG} c LEFT JOIN (SELECT e.slug, e.path, d.title, d.doc_type, d.source, d.lang, d.n_chars FROM extracted_documents e JOIN documents d ON d.doc_id = e.entry_id) s USING (slug, path)"""
 )
 def catalog_merge(spark, d):
-    """Catalog entries with the titles and types that documents of the same number state."""
-    stated = table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), "title", "doc_type")
-    none = {f: F.lit(None).cast(t) for f, t in (("doc_id", "string"), ("topics", "array<string>"), ("aliases", "array<string>"), ("references", "array<string>"), ("sections_hint", "map<string,string>"), ("priority", "int"))}
-    stored = _docs(spark, d).select("entry_id", "slug", "path").join(stated, "entry_id").withColumns(none)
-    return K.merge(K.infer(_files(spark, d)), stored).select("slug", "path", "title", "doc_type", "priority")
-
-
-@query(f"SELECT * FROM (SELECT slug, path, title, {_PRIORITY} AS priority FROM {_CATALOG} WHERE starts_with(path, 'gost/')) ORDER BY priority DESC, title COLLATE ru, path, slug LIMIT 50")
+    """Catalog entries with what documents of the same number state as their stored entries."""
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c))).otherwise(F.array().cast("array<string>"))
+    hints = F.when(F.col("lang").isNotNull() & F.col("source").isNotNull(), F.create_map("lang", "source"))
+    stated = table(spark, d, "documents").select(
+        F.col("doc_id").alias("entry_id"), "title", "doc_type", F.lit(None).cast("string").alias("doc_id"), one("doc_type").alias("topics"), one("title").alias("aliases"), one("source").alias("references"), hints.alias("sections_hint"), (F.col("n_chars") % 5).cast("int").alias("priority")
+    )
+    stored = _docs(spark, d).select("entry_id", "slug", "path").join(stated, "entry_id")
+    shown = F.array_join(F.transform(F.map_entries("sections_hint"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("hints")
+    return K.merge(K.infer(_files(spark, d)), stored).select("slug", "path", "title", "doc_type", "priority", *_listed("topics", "aliases", "references"), shown)
+
+
+@query(f"SELECT slug, path, title, {_PRIORITY} AS priority, row_number() OVER (ORDER BY {_PRIORITY} DESC, title COLLATE ru, path, slug) AS place FROM {_CATALOG} WHERE starts_with(path, 'gost/')")
 def catalog_scope_sorted(spark, d):
-    """The first fifty entries of a scope, in order."""
-    return K.in_order(K.infer(_files(spark, d), "gost")).limit(50).select("slug", "path", "title", "priority")
+    """All entries of a scope, with their places in order."""
+    own = K.in_order(K.infer(_files(spark, d), "gost")).select("slug", "path", "title", "priority")
+    return L.with_place(own, F.desc("priority"), F.collate("title", "ru"), "path", "slug")
 
 
 @query(f"SELECT DISTINCT c.slug, c.path FROM {_CATALOG} c JOIN documents t ON t.title IS NOT NULL AND (c.path = replace(t.title, '\\', '/') OR lower({_name('c.path')}) = lower(t.title || '.pdf'))")
@@ -262,42 +293,42 @@ def _long(spark, d):
     return _pages(spark, d)
 
 
-@query()
+@query(f"SELECT * FROM {SQL.narrow(2000)}")
 def pages_narrow_budget(spark, d):
     return X.narrow(_long(spark, d), ASKED, 2000)
 
 
-@query()
+@query(f"SELECT * FROM {SQL.wide(3000)}")
 def pages_wide_firstfit(spark, d):
     return X.wide(_long(spark, d), ASKED, 3000)
 
 
-@query()
+@query(f"SELECT * FROM {SQL.spread_out(4000)}")
 def pages_spread_sample(spark, d):
     return X.spread_out(_long(spark, d), 4000)
 
 
-@query()
+@query(f"SELECT slug, entry_id, begin, finish FROM {SQL.islands()}")
 def windows_islands(spark, d):
     return X.windows(_docs(spark, d), ASKED)
 
 
-@query()
+@query(f"SELECT * FROM {SQL.windowed(4000)}")
 def windows_context(spark, d):
     return X.windowed(_docs(spark, d), ASKED, 4000)
 
 
-@query()
+@query(f"SELECT * FROM {SQL.built(4000)}")
 def documents_context(spark, d):
     return X.build(_docs(spark, d), _pages(spark, d), QUESTION, 4000)
 
 
-@query()
+@query(f"SELECT * FROM {SQL.context_items(_hits(QUESTION), 4000, 4)}")
 def context_items(spark, d):
     return X.for_query(_docs(spark, d), _files(spark, d), _pages(spark, d), _meta(spark, d), QUESTION, most=4000, limit=4, prefer_wide=False)
 
 
-@query(f"SELECT entry_id, CAST(sum({_count(_norm('text'), ASKED)}) AS BIGINT) AS occurrences, count(*) AS pages FROM {_PAGES} WHERE text IS NOT NULL GROUP BY entry_id")
+@query(f"SELECT entry_id, CAST(sum({_count(_norm('text'), _TERMS)}) AS BIGINT) AS occurrences, count(*) AS pages FROM {_PAGES} WHERE text IS NOT NULL GROUP BY entry_id")
 def page_occurrences(spark, d):
     own = _pages(spark, d).filter(F.col("text").isNotNull())
     return own.groupBy("entry_id").agg(F.sum(T.occurrences(T.normalized(F.col("text")), ASKED)).alias("occurrences"), F.count("*").alias("pages"))
@@ -313,27 +344,27 @@ def cyrillic_counts(spark, d):
     return _docs(spark, d).select("entry_id", T.cyrillic_letters(F.col("text")).alias("cyrillic"), T.cyrillic_words(F.col("text")).alias("words"), F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
 
 
-@query()
+@query(f"SELECT entry_id, coalesce({SQL.heavy('p')}, false) AS contents FROM {SQL.JUDGED}")
 def toc_heavy(spark, d):
     """Which texts are tables of contents, by their pages."""
     own = _texts(spark, d).join(_meta(spark, d).select("entry_id", F.coalesce("source_pages", F.lit(0)).alias("n")), "entry_id", "left")
     return own.select("entry_id", F.coalesce(Q.contents_heavy(F.col("text"), F.coalesce("n", F.lit(0))), F.lit(False)).alias("contents"))
 
 
-@query()
+@query(f"SELECT entry_id, {SQL.usable('p')} AS usable, {SQL.wanting('p')} AS recognise, {SQL.poor('p')} AS poor FROM {SQL.JUDGED}")
 def usable_text_layer(spark, d):
     own = _texts(spark, d).join(_meta(spark, d).select("entry_id", F.coalesce("source_pages", F.lit(0)).alias("n")), "entry_id", "left")
     judged = own.select("entry_id", Q.judged(F.col("text"), F.coalesce("n", F.lit(0))).alias("j"))
     return judged.select("entry_id", "j.usable", "j.recognise", "j.poor")
 
 
-@query()
+@query(SQL.QUALITY_SCORE)
 def text_quality_score(spark, d):
     own = _texts(spark, d).join(_meta(spark, d).select("entry_id", "source_pages"), "entry_id", "left")
     return own.select("entry_id", F.round(Q.extraction_score(F.col("text"), F.coalesce("source_pages", F.lit(0))), 6).alias("score"))
 
 
-@query()
+@query(SQL.LAYER_ARGMAX)
 def text_layer_argmax(spark, d):
     """Of an entry's text and its pages' texts joined, the better layer; the first on a tie."""
     joined = _pages(spark, d).groupBy("entry_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("text"))
@@ -342,13 +373,13 @@ def text_layer_argmax(spark, d):
     return best.select("entry_id", (-F.col("b.o")).alias("layer"), "b.score")
 
 
-@query()
+@query(SQL.PHOTO_QUALITY)
 def photo_text_quality(spark, d):
     own = _pages(spark, d)
     return own.select("page_id", F.round(Q.photo_score(F.col("text")), 6).alias("score"), Q.photo_usable(F.col("text")).alias("usable"), Q.attachment_usable(F.col("text"), F.lit(False)).alias("as_document"))
 
 
-@query()
+@query(SQL.INDEX_STATUS)
 def index_status(spark, d):
     n = _pages(spark, d).filter(F.length("text") > 0).groupBy("entry_id").agg(F.count("*").alias("n"))
     own = _texts(spark, d).join(_meta(spark, d).select("entry_id", "extractor", "source_pages"), "entry_id", "left").join(n, "entry_id", "left")
@@ -403,7 +434,7 @@ def file_status_join(spark, d):
 
 # --- texts and names --------------------------------------------------------------------
 
-_KEPT = "[^A-Za-zА-Яа-яЁё0-9.,:;!?\\-–—«»\"''()/\\\\%+№§°\\n\\r\\t ]"
+_KEPT = SQL.KEPT
 
 
 @query(f"SELECT page_id, regexp_replace(text, '{_KEPT}', '', 'g') AS text FROM {_PAGES}")
@@ -416,35 +447,39 @@ def normalize_text(spark, d):
     return _docs(spark, d).select("entry_id", T.extracted_text(F.col("text")).alias("text"))
 
 
-@query()
+@query(SQL.PHOTO_TEXT)
 def photo_text(spark, d):
     return _pages(spark, d).select("page_id", T.photo_text(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT entry_id, nullif(array_to_string(regexp_extract_all(text, '[ -~]{12,}'), ' '), '') AS runs FROM extracted_documents")
 def doc_runs_extract(spark, d):
     """Readable runs of the texts' bytes, as in a legacy document."""
     return _docs(spark, d).select("entry_id", T.latin_runs(F.col("text").cast("binary")).alias("runs"))
 
 
-@query("SELECT slug, " + "coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(translate(" + "replace(" * 9 + f"lower({_trim('title')})" + "".join(f", '{a}', '{b}')" for a, b in P.SEVERAL.items()) + f", '{P.SINGLE[0]} _.', '{P.SINGLE[1]}---'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 48), ''), 'napravlenie') AS made FROM directions WHERE title IS NOT NULL")
+@query(f"SELECT slug, {SQL.slug_of('title')} AS made FROM directions")
 def slugify_titles(spark, d):
-    return table(spark, d, "directions").filter("title is not null").select("slug", P.slug_of(F.col("title")).alias("made"))
+    return table(spark, d, "directions").select("slug", P.slug_of(F.col("title")).alias("made"))
 
 
-@query()
+@query(
+    f"""SELECT slug, CASE WHEN NOT list_contains(taken, base) THEN base ELSE list_filter(list_transform(range(2, 1000), lambda n: base || '-' || n), lambda x: NOT list_contains(taken, x))[1] END AS free
+    FROM (SELECT slug, {SQL.slug_of("coalesce(title, '')")} AS base, (SELECT list(slug) FROM directions) AS taken FROM directions)"""
+)
 def unique_slug(spark, d):
-    """A free slug for each direction's title among all slugs, a fixed small table."""
+    """A free slug for each direction's title among all slugs. The slugs are a row that is joined;
+    whether it is broadcast is left to its size."""
     own = table(spark, d, "directions")
     taken = own.agg(F.collect_set("slug").alias("taken")).withColumn("one", F.lit(1))
-    return own.withColumn("one", F.lit(1)).join(F.broadcast(taken), "one").select("slug", P.unique_slug(F.coalesce("title", F.lit("")), F.col("taken")).alias("free"))
+    return own.withColumn("one", F.lit(1)).join(taken, "one").select("slug", P.unique_slug(F.coalesce("title", F.lit("")), F.col("taken")).alias("free"))
 
 
-@query()
+@query(f"SELECT doc_id, array_to_string({SQL.terms('title')}, '|') AS terms, array_to_string({SQL.sections('title')}, '|') AS sections FROM (SELECT doc_id, coalesce(title, '') AS title FROM documents)")
 def terms_of_titles(spark, d):
     """Search terms and section numbers of each document's title."""
-    own = table(spark, d, "documents").filter("title is not null")
-    return own.select("doc_id", T.terms(F.col("title")).alias("terms"), T.section_terms_column(F.col("title")).alias("sections"))
+    own = table(spark, d, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
+    return own.select("doc_id", F.array_join(T.terms(F.col("title")), "|").alias("terms"), F.array_join(T.section_terms_column(F.col("title")), "|").alias("sections"))
 
 
 @query(f"SELECT path, slug, regexp_matches(path, '^[^/\\\\]') AND len(list_filter(string_split_regex(path, '[/\\\\]'), lambda p: p <> '' AND (p IN ('.', '..') OR NOT regexp_matches(p, '^[a-zA-Z0-9._,\\-Ѐ-ӿ №()]+$')))) = 0 AS valid FROM {_FILES}")
@@ -452,7 +487,7 @@ def valid_paths(spark, d):
     return _files(spark, d).select("path", "slug", P.valid_path(F.col("path")).alias("valid"))
 
 
-@query()
+@query(f"SELECT slug, path, {SQL.safe_name('name')} AS safe, {SQL.segment('name')} AS segment FROM (SELECT slug, path, nullif(name, '') AS name FROM {_FILES})")
 def safe_names(spark, d):
     return _files(spark, d).select("slug", "path", P.safe_name(F.col("name")).alias("safe"), P.segment(F.col("name")).alias("segment"))
 
@@ -463,21 +498,35 @@ def safe_names(spark, d):
     WHEN ends_with({_NAME}, '.png') THEN 'image/png' WHEN ends_with({_NAME}, '.md') THEN 'text/markdown; charset=utf-8' WHEN ends_with({_NAME}, '.txt') THEN 'text/plain; charset=utf-8' ELSE 'application/octet-stream' END AS content_type,
     CASE WHEN ends_with({_NAME}, '.pdf') THEN 'PDF' WHEN ends_with({_NAME}, '.docx') OR ends_with({_NAME}, '.doc') THEN 'Word' WHEN ends_with({_NAME}, '.txt') OR ends_with({_NAME}, '.md') THEN 'Текст'
     WHEN regexp_matches({_NAME}, '\\.(jpe?g|png)$') THEN 'OCR фото' ELSE 'Индексация' END AS label,
-    CASE WHEN nullif(size, -1) < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{{:.1f}} KB', size / 1024.0) ELSE format('{{:.1f}} MB', size / 1048576.0) END AS shown FROM {_FILES} WHERE size >= 0"""
+    CASE WHEN size < 0 THEN NULL WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{{:.1f}} KB', size / 1024.0) ELSE format('{{:.1f}} MB', size / 1048576.0) END AS shown,
+    CASE WHEN ends_with({_NAME}, '.pdf') THEN 'Текстовый PDF индексируется за секунды. Полный OCR (↻ с force) — только для сканов без текста.' WHEN regexp_matches({_NAME}, '\\.(docx?|txt|md)$') THEN 'Word и текстовые файлы индексируются за секунды — OCR не нужен.' END AS hint,
+    CASE WHEN regexp_matches({_NAME}, '\\.(jpe?g|png)$') THEN 'фото' WHEN ends_with({_NAME}, '.pdf') THEN 'PDF' WHEN regexp_matches({_NAME}, '\\.docx?$') THEN 'Word' WHEN regexp_matches({_NAME}, '\\.(txt|md)$') THEN 'текст' ELSE 'файл' END AS kind,
+    CASE WHEN modified_at > TIMESTAMP '0001-01-02' THEN strftime(modified_at, '%d.%m.%Y') ELSE '—' END AS day,
+    CASE WHEN size < 0 THEN 'оценка…' WHEN size = 0 THEN 'скоро' WHEN size < 60 THEN size || ' сек' WHEN size % 60 > 0 THEN (size // 60) || ' мин ' || (size % 60) || ' сек' ELSE (size // 60) || ' мин' END AS lasting FROM {_FILES}"""
 )
 def file_labels(spark, d):
-    own = _files(spark, d).filter("size is not null")
-    return own.select("slug", "path", P.content_type(F.col("path")).alias("content_type"), J.action_label(F.col("path")).alias("label"), J.byte_size(F.col("size")).alias("shown"))
+    """How files are shown; the size read as seconds too, for the form of a duration."""
+    path, size = F.col("path"), F.col("size")
+    return _files(spark, d).select(
+        "slug", "path", P.content_type(path).alias("content_type"), J.action_label(path).alias("label"), J.byte_size(size).alias("shown"), J.action_hint(path).alias("hint"), J.attachment_label(path).alias("kind"), J.date(F.col("modified_at")).alias("day"), J.duration(size).alias("lasting")
+    )
 
 
-@query()
+_CLIP = f"(SELECT doc_id, {SQL.cut(SQL.squeezed('text'), 280)} AS clip, {SQL.cut(SQL.trim("replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"), 4000)} AS message FROM documents)"
+
+
+@query(
+    f"""SELECT doc_id, clip, message, CASE WHEN spot > 0 THEN left(clip, spot - 1) ELSE clip END AS before, CASE WHEN spot > 0 THEN substr(clip, spot, 7) END AS hit, CASE WHEN spot > 0 THEN substr(clip, spot + 7) END AS after
+    FROM (SELECT *, instr(lower(clip), 'порядок') AS spot FROM {_CLIP})"""
+)
 def formatted_texts(spark, d):
-    own = table(spark, d, "documents")
-    t = F.col("text")
-    return own.select("doc_id", T.clipped(t).alias("clip"), T.truncated(T.escape_html(t)).alias("message"), T.highlighted(T.clipped(t), F.lit("порядок")).alias("marked"))
+    own = table(spark, d, "documents").select("doc_id", T.clipped(F.col("text")).alias("clip"), T.truncated(T.escape_html(F.col("text"))).alias("message"))
+    return own.select("doc_id", "clip", "message", T.highlighted(F.col("clip"), F.lit("порядок")).alias("marked")).select("doc_id", "clip", "message", "marked.*")
 
 
-@query()
+@query(
+    f"""SELECT slug, path, {SQL.address('slug', 'folder')} AS address, 'direction' AS "view", folder FROM (SELECT slug, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder FROM {_FILES})"""
+)
 def routes(spark, d):
     own = _files(spark, d).select("slug", "path", J.route(F.col("slug"), P.parent(F.col("path"))).alias("address"))
     return own.select("slug", "path", "address", J.parsed_route(F.col("address")).alias("parsed")).select("slug", "path", "address", "parsed.view", F.col("parsed.path").alias("folder"))
@@ -507,15 +556,22 @@ def directory_listing(spark, d):
     return L.listing(_files(spark, d), "gost")
 
 
-@query()
+@query(
+    f"""WITH shown AS (SELECT DISTINCT slug, CASE WHEN contains(path, '/') THEN 'folder' ELSE 'file' END AS kind, split_part(path, '/', 1) AS name FROM {_FILES})
+    SELECT slug, coalesce(nullif({_trim('title')}, ''), slug) AS title, '' AS path, coalesce(folders, '') AS folders, coalesce(files, '') AS files FROM directions
+    LEFT JOIN (SELECT slug, string_agg(name, '|' ORDER BY name COLLATE ru, name) FILTER (kind = 'folder') AS folders, string_agg(name, '|' ORDER BY name COLLATE ru, name) FILTER (kind = 'file') AS files FROM shown GROUP BY slug) USING (slug)
+    WHERE regexp_matches(slug, '^[a-z0-9][a-z0-9-]*$')"""
+)
 def folder_view(spark, d):
-    return L.folder_view(table(spark, d, "directions"), _files(spark, d), "")
+    own = L.folder_view(table(spark, d, "directions"), _files(spark, d), "")
+    names = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["name"]), "|"), F.lit("")).alias(c)
+    return own.select("slug", "title", "path", names("folders"), names("files"))
 
 
-@query(f"SELECT slug, CASE WHEN path = 'gost' THEN 'standards' WHEN starts_with(path, 'gost/') THEN 'standards' || substr(path, 5) ELSE path END AS path FROM {_FILES}")
+@query(f"SELECT slug, CASE WHEN slug = 'electro' AND starts_with(path, 'gost/') THEN 'standards' || substr(path, 5) ELSE path END AS path FROM {_FILES}")
 def rename_folder(spark, d):
-    """A folder renamed in every direction."""
-    return _files(spark, d).select("slug", P.renamed(F.col("path"), "gost", "standards").alias("path"))
+    """A folder of one direction renamed."""
+    return L.rename_folder(_files(spark, d), "electro", "gost", "standards").select("slug", "path")
 
 
 @query(f"SELECT slug, path FROM {_FILES} WHERE NOT (slug = 'electro' AND (path = 'gost' OR starts_with(path, 'gost/')))")
@@ -575,17 +631,34 @@ def history_prefix_pending(spark, d):
     return A.pending(own).select("conv_id", "turn")
 
 
-@query()
+_EXPAND = f"^(да|покажи|показать|подробнее|разверни|открой|выведи)({SQL.SPACES}+(полный|подробный))?({SQL.SPACES}+ответ|{SQL.SPACES}+текст)?[.!?]*$"
+
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN starts_with(t, '/') THEN 'command' WHEN coalesce(x, false) THEN 'expand' WHEN length(t) >= 3 THEN 'ask' ELSE 'ignore' END AS action, coalesce(x, false) AS expand
+    FROM (SELECT *, regexp_matches(lower(t), '{_EXPAND}') AS x FROM (SELECT conv_id, turn, {_trim('content')} AS t FROM {_TALK}))"""
+)
 def expand_requests(spark, d):
     """What each message would do, each text being the message."""
     own = _talk(spark, d).withColumns({"mode": F.lit("idle"), "has_pending": F.lit(True), "slug": F.lit("electro")})
     return A.routed(own).select("conv_id", "turn", "action", A.asks_to_expand(F.col("content")).alias("expand"))
 
 
-@query()
+_BLOCKS = f"""(SELECT string_agg('[' || rank || '] ' || name || ' (' || path || ')' || CASE WHEN extractor IS NULL THEN '' ELSE ' [extractor=' || extractor || ', confidence=' || format('{{:.2f}}', coalesce(confidence, 0.0::DOUBLE)) || ']' END || chr(10) || text,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) FROM {SQL.context_items(_hits(QUESTION), 4000, 4)})"""
+_PAST = f"""(SELECT turn, role, left(content, 4000) AS content FROM (SELECT turn, role, {_trim('content')} AS content, row_number() OVER (ORDER BY turn DESC) AS rn FROM {_TALK} WHERE conv_id = 'portal_export' AND role IN ('user', 'assistant') AND length({_trim('content')}) > 0) WHERE rn <= 8)"""
+
+
+@query(
+    f"""SELECT 0 AS place, 'system' AS role, 'Отвечай по документам.' AS content UNION ALL SELECT CAST(row_number() OVER (ORDER BY turn) AS INTEGER) AS place, role, content FROM {_PAST} UNION ALL
+    SELECT CAST((SELECT count(*) FROM {_PAST}) + 1 AS INTEGER) AS place, 'user' AS role, '{QUESTION}' || chr(10) || chr(10) || 'вложение' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {_BLOCKS} AS content"""
+)
 def ask_messages(spark, d):
+    """The messages a model is given, one row each: with the past of one conversation."""
     items = QUERIES["context_items"](spark, d)
-    return A.messages(A.context_text(items), "Отвечай по документам.", QUESTION)
+    past = _talk(spark, d).filter("conv_id = 'portal_export'")
+    whole = A.messages(A.context_text(items), "Отвечай по документам.", QUESTION, past, " вложение ")
+    return whole.select(F.posexplode("messages").alias("place", "m")).select("place", "m.role", "m.content")
 
 
 # --- jobs -------------------------------------------------------------------------------
@@ -625,8 +698,8 @@ _NOW = 1_740_000_000_000
 
 
 def _progress(spark, d):
-    own = _files(spark, d).filter("modified_at is not null and size is not null")
-    ms = F.unix_millis(F.col("modified_at").cast("timestamp"))
+    own = _files(spark, d).withColumn("size", F.coalesce("size", F.lit(0)))
+    ms = F.coalesce(F.unix_millis(F.col("modified_at").cast("timestamp")), F.lit(_NOW))
     return own.select(
         "slug", F.col("path").alias("job_id"), F.lit("running").alias("status"), F.lit("indexing").alias("phase"), (F.col("size") % 7).cast("int").alias("processed"), F.lit(8).alias("total"), F.col("name").alias("current_file"),
         F.lit(None).cast("int").alias("ocr_page"), F.lit(None).cast("int").alias("ocr_page_total"), ms.alias("started_ms"), (F.lit(_NOW) - F.col("size") % 900_000).alias("file_started_ms"),
@@ -634,13 +707,14 @@ def _progress(spark, d):
 
 
 @query(
-    f"""WITH j AS (SELECT slug, path AS job_id, size % 7 AS processed, epoch_ms(modified_at) AS started, size % 900000 AS elapsed, CASE WHEN ends_with({_NAME}, '.pdf') THEN 900000.0 ELSE 30000.0 END AS est FROM {_FILES} WHERE size >= 0 AND modified_at > TIMESTAMP '0001-01-02'),
-    w AS (SELECT *, CASE WHEN elapsed <= 0 THEN 0.03::DOUBLE WHEN elapsed < est THEN 0.03::DOUBLE + elapsed / est * 0.89::DOUBLE ELSE least(0.99::DOUBLE, 0.92::DOUBLE + least(1.0::DOUBLE, (elapsed - est) / (est * 4)) * 0.07::DOUBLE) END AS w FROM j)
-    SELECT slug, job_id, CAST(least(99, greatest(1, floor(100.0::DOUBLE * (processed + w) / 8 + 0.5))) AS INTEGER) AS percent, CAST(greatest(0, floor(({_NOW} - started) / 1000.0::DOUBLE + 0.5)) AS BIGINT) AS elapsed_seconds FROM w"""
+    f"""WITH j AS (SELECT slug, path AS job_id, greatest(size, 0) % 7 AS processed, CASE WHEN modified_at > TIMESTAMP '0001-01-02' THEN epoch_ms(modified_at) ELSE {_NOW} END AS started, greatest(size, 0) % 900000 AS elapsed, CASE WHEN ends_with({_NAME}, '.pdf') THEN 900000.0 ELSE 30000.0 END AS est, name FROM {_FILES}),
+    w AS (SELECT *, CASE WHEN name = '' THEN 0::DOUBLE WHEN elapsed <= 0 THEN 0.03::DOUBLE WHEN elapsed < est THEN 0.03::DOUBLE + elapsed / est * 0.89::DOUBLE ELSE least(0.99::DOUBLE, 0.92::DOUBLE + least(1.0::DOUBLE, (elapsed - est) / (est * 4)) * 0.07::DOUBLE) END AS w FROM j)
+    SELECT slug, job_id, CAST(CASE WHEN name = '' THEN floor(100.0::DOUBLE * processed / 8 + 0.5) ELSE least(99, greatest(1, floor(100.0::DOUBLE * (processed + w) / 8 + 0.5))) END AS INTEGER) AS percent, CAST(greatest(0, floor(({_NOW} - started) / 1000.0::DOUBLE + 0.5)) AS BIGINT) AS elapsed_seconds,
+    CAST(CASE WHEN processed + w > 0 THEN greatest(0, floor(({_NOW} - started) / (processed + w) * (8 - (processed + w)) / 1000 + 0.5)) ELSE floor(8 * est / 1000 + 0.5) END AS BIGINT) AS eta_seconds FROM w"""
 )
 def job_percent_eta(spark, d):
     """Files read as jobs of eight files, at a fixed time."""
-    return Jobs.snapshot(_progress(spark, d), F.lit(_NOW)).select("slug", "job_id", "percent", "elapsed_seconds")
+    return Jobs.snapshot(_progress(spark, d), F.lit(_NOW)).select("slug", "job_id", "percent", "elapsed_seconds", "eta_seconds")
 
 
 @query(f"SELECT slug, CAST(sum(CASE WHEN contains(path, '/') THEN 1 ELSE 0 END) AS BIGINT) AS nested, count_if(path = 'gost' OR starts_with(path, 'gost@batch') OR starts_with(path, 'gost/') OR starts_with('gost', path || '/')) AS concerned FROM {_FILES} GROUP BY slug")
