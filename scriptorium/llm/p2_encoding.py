@@ -123,6 +123,8 @@ _CYRILLIC = re.compile("[\u0400-\u052f]")
 
 
 _UTF = [c for c in chains() if c[0][0] == "utf-8"]
+#: Per encoding the characters of the bytes that begin a sequence of UTF-8, and that continue one.
+_SEQUENCE = {name: (set(there[0xC2:0xF5]), set(there[0x80:0xC0])) for name, there in _THERE.items()}
 
 
 def decodable(word: str) -> tuple | None:
@@ -130,8 +132,14 @@ def decodable(word: str) -> tuple | None:
     Rightly decoded words are no valid UTF-8 in another encoding, but by rare chance."""
     if LOST in word:
         return None
+    at = next((k for k, c in enumerate(word) if c >= "\x80"), len(word))
+    pair = word[at : at + 2]
+    if len(pair) < 2:
+        return None
     for chain in _UTF:
-        back = invert(word, chain)
+        # a sequence of UTF-8 begins with a leading byte and goes on with a continuing one
+        leads, goes_on = _SEQUENCE[chain[-1][1]]
+        back = invert(word, chain) if pair[0] in leads and pair[1] in goes_on else None
         if back is not None and len(back) < len(word) and not any("\x80" <= c <= "\x9f" for c in back):
             return chain
     return None
