@@ -70,6 +70,14 @@ def matches_view(scope: Column, file: Column, path: Column) -> Column:
     return F.when(file.isNotNull() & (file != ""), by_file).otherwise(matches_scope(scope, path))
 
 
+def affects(status: Column, scope: Column, current: Column, file: Column) -> Column:
+    """Whether an active job works on a file: as its scope or its current file, or, waiting, as
+    one of a batch in the file's folder."""
+    base = F.regexp_replace(scope, "@batch.*$", "")
+    waiting = (status == "queued") & scope.contains("@batch") & ((file == base) | file.startswith(F.concat(base, F.lit("/"))))
+    return F.coalesce(status.isin("running", "queued") & ((scope == file) | F.coalesce(current == file, F.lit(False)) | waiting), F.lit(False))
+
+
 def batch_scope(folder: Column, files: Column, number: Column) -> Column:
     """The scope of a job for some files: the file itself, or a numbered batch of the folder."""
     return F.when(F.size(files) == 1, F.element_at(files, 1)).otherwise(F.concat(folder, F.lit("@batch-"), F.substring(F.lower(F.hex(F.xxhash64(number))), -8, 8)))

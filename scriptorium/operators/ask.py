@@ -45,6 +45,22 @@ def pending(messages: DataFrame) -> DataFrame:
     return messages.withColumn("upto", upto).filter(F.col("turn") <= F.col("upto")).drop("upto")
 
 
+def sessions(events: DataFrame) -> DataFrame:
+    """(chat, slug, scope_path, mode, pending, since): each chat's session after its events (chat,
+    at, event_id, kind, value).
+
+    'direction' chooses a direction and empties scope, question and mode; 'folder' sets the
+    scope and empties the question; 'mode' is what the next message is for; 'question' is kept
+    as pending until it is answered ('answered'). Each part is the last event that sets it, a
+    partial aggregate, so a chat of any length is no hot spot.
+    """
+    at = F.struct("at", "event_id")
+    last = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.struct(at.alias("t"), "kind", "value")))
+    own = events.groupBy("chat").agg(last("direction").alias("d"), last("direction", "folder").alias("f"), last("direction", "mode").alias("m"), last("direction", "folder", "question", "answered").alias("q"), last("direction", "folder", "question", "answered").getField("t").getField("at").alias("since"))
+    value = lambda c, kind, none: F.coalesce(F.when(F.col(c)["kind"] == kind, F.col(c)["value"]), F.lit(none))
+    return own.select("chat", F.coalesce("d.value", F.lit("")).alias("slug"), value("f", "folder", "").alias("scope_path"), value("m", "mode", "none").alias("mode"), F.when(F.col("q.kind") == "question", F.col("q.value")).alias("pending"), "since")
+
+
 def routed(messages: DataFrame) -> DataFrame:
     """Messages with what is done about each: by the session's mode, its pending question
     and its direction (columns mode, has_pending, slug)."""

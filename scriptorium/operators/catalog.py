@@ -57,3 +57,15 @@ def set_type(catalog: DataFrame, slug: str, path: str, doc_type: str | None = No
 
 def by_alias(catalog: DataFrame, alias: str) -> DataFrame:
     return catalog.filter(C.matches_alias(F.col("aliases"), F.lit(alias)))
+
+
+def ensured(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored entries with inferred ones for the indexable files that have none."""
+    own = infer(files)
+    return stored.select(own.columns).unionByName(own.join(stored.select("slug", "path"), ["slug", "path"], "left_anti"))
+
+
+def by_path(entries: DataFrame, order: str) -> DataFrame:
+    """One entry for each path, the last one by ``order``; equal ones by their content."""
+    rest = [c for c in entries.columns if c not in ("path", order)]
+    return entries.groupBy("path").agg(F.max(F.struct(order, *rest)).alias("e")).select("path", *[f"e.{c}" for c in rest])

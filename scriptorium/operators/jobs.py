@@ -82,6 +82,38 @@ def accepted(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(busy, ["slug", "scope_path"], "left_anti")
 
 
+def first_active(jobs: DataFrame) -> DataFrame:
+    """For each (slug, scope_path) the active job that was queued first, all its columns."""
+    rest = [c for c in jobs.columns if c not in ("slug", "scope_path", "queued_at", "job_id")]
+    own = jobs.filter(active(F.col("status"))).groupBy("slug", "scope_path").agg(F.min(F.struct("queued_at", "job_id", *rest)).alias("j"))
+    return own.select("slug", "scope_path", "j.*")
+
+
+def followed(refs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs that a user follows (job_id); those that are gone have no row, repeated ones one."""
+    return jobs.join(refs.select("job_id").distinct(), "job_id", "left_semi")
+
+
+def still_shown(jobs: DataFrame, now: Column, keep_ms: int = 8_000) -> DataFrame:
+    """Jobs to show at a time (in milliseconds): active ones, and ended ones for eight seconds."""
+    ended = F.unix_millis(F.col("ended_at").cast("timestamp"))
+    return jobs.filter(active(F.col("status")) | (ended.isNotNull() & (now - ended < keep_ms)))
+
+
+def page_progress(events: DataFrame) -> DataFrame:
+    """(job_id, ocr_page, ocr_page_total): the page each job was last seen at, of events (job_id,
+    at, event_id, page, total); reports without a total don't count."""
+    seen = events.filter("total > 0").groupBy("job_id").agg(F.max(F.struct("at", "event_id", "page", "total")).alias("p"))
+    return seen.select("job_id", F.col("p.page").alias("ocr_page"), F.col("p.total").alias("ocr_page_total"))
+
+
+def settled_queries(typed: DataFrame, quiet: str = "350 milliseconds") -> DataFrame:
+    """(user, at, query): what is searched for: the last thing a user typed before a pause. The
+    same in batches and, with a watermark, in a stream."""
+    typing = typed.groupBy("user", F.session_window("at", quiet).alias("w")).agg(F.max(F.struct("at", "query")).alias("q"))
+    return typing.select("user", "q.at", "q.query")
+
+
 def merged(shown: DataFrame, polled: DataFrame, key: str = "job_id", order: str = "updated_at") -> DataFrame:
     """Two lists of jobs as one: the newest state of each."""
     both = shown.unionByName(polled)

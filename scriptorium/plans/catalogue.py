@@ -13,6 +13,7 @@ from scriptorium.functions import catalog as C
 from scriptorium.functions import jobs as J
 from scriptorium.functions import paths as P
 from scriptorium.functions import quality as Q
+from scriptorium.functions import requests as R
 from scriptorium.functions import text as T
 from scriptorium.operators import ask as A
 from scriptorium.operators import catalog as K
@@ -21,7 +22,9 @@ from scriptorium.operators import jobs as Jobs
 from scriptorium.operators import library as L
 from scriptorium.operators import search as S
 from scriptorium.plans import sql as SQL
-from scriptorium.session import spread
+from scriptorium.sources import extract as E
+from scriptorium.sources import tree as Tr
+from scriptorium.session import shared_folder, spread
 from scriptorium.sources.tables import distinct_pages, latest_meta, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -728,3 +731,272 @@ def jobs_of_scope(spark, d):
 def event_rollup(spark, d):
     """Events per day and kind (an extension; the library's own log has no windows)."""
     return Jobs.rollup(table(spark, d, "events"), "ts", "1 day", "event_type").withColumn("value", F.round("value", 4))
+
+
+# --- requests, sessions, further changes ------------------------------------------------
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: {_trim('x')}), lambda x: x <> ''), '|') AS listed,
+    CAST(CASE WHEN n IS NULL THEN 20000 ELSE greatest(2000, least(120000, n)) END AS INTEGER) AS context_chars, CAST(CASE WHEN n IS NULL THEN 120000 ELSE greatest(1000, least(200000, n)) END AS INTEGER) AS extracted_chars
+    FROM (SELECT doc_id, text, TRY_CAST(nullif(regexp_extract({_trim("concat(n_chars, lang)")}, '^([+-]?[0-9]{{1,15}})', 1), '') AS BIGINT) AS n FROM documents)"""
+)
+def request_values(spark, d):
+    """Each text read as a list with commas, each length (with its language behind it) as a limit."""
+    own = table(spark, d, "documents").withColumn("asked", F.concat(F.coalesce(F.col("n_chars").cast("string"), F.lit("")), F.coalesce("lang", F.lit(""))))
+    asked = F.col("asked")
+    return own.select("doc_id", F.array_join(R.listed(F.col("text")), "|").alias("listed"), R.limited(asked, R.CONTEXT_CHARS).alias("context_chars"), R.limited(asked, R.EXTRACTED_CHARS).alias("extracted_chars"))
+
+
+@query(
+    f"""SELECT f.slug, path, CASE WHEN folder = '' THEN coalesce(nullif(title, ''), f.slug) || ' (все папки)' ELSE coalesce(nullif(title, ''), f.slug) || ' → ' || {_name('folder')} END AS label
+    FROM (SELECT slug, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder FROM {_FILES}) f LEFT JOIN directions USING (slug)"""
+)
+def session_labels(spark, d):
+    own = _files(spark, d).select("slug", "path", P.parent(F.col("path")).alias("scope")).join(table(spark, d, "directions").select("slug", "title"), "slug", "left")
+    return own.select("slug", "path", R.session_label(F.col("slug"), F.col("title"), F.col("scope")).alias("label"))
+
+
+@query(
+    """SELECT wanted, coalesce(min(a.slug), min(b.slug)) AS slug FROM (SELECT slug AS wanted FROM directions UNION SELECT upper(title) FROM directions WHERE title IS NOT NULL UNION SELECT title FROM documents WHERE title IS NOT NULL) w
+    LEFT JOIN directions a ON a.slug = wanted LEFT JOIN directions b ON lower(b.title) = lower(wanted) GROUP BY wanted HAVING coalesce(min(a.slug), min(b.slug)) IS NOT NULL"""
+)
+def direction_lookup(spark, d):
+    """Directions named by their slugs, their titles in capitals and documents' titles."""
+    own = table(spark, d, "directions")
+    wanted = own.select(F.col("slug").alias("wanted")).unionByName(own.select(F.upper("title").alias("wanted"))).unionByName(table(spark, d, "documents").select(F.col("title").alias("wanted")))
+    return L.direction_named(own, wanted).select("wanted", "slug")
+
+
+@query(
+    f"""SELECT slug, folder AS path, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS parent, len(string_split(folder, '/')) AS depth, {_name('folder')} AS name, CAST(sum(n) AS BIGINT) AS files
+    FROM (SELECT slug, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS folder, 1 AS n FROM {_FILES}
+    UNION ALL SELECT slug, unnest(['новое', 'новое/' || slug]) AS folder, 0 AS n FROM directions) GROUP BY slug, folder"""
+)
+def folder_tree_with_empty(spark, d):
+    """The folder tree with an empty folder made in every direction."""
+    made = table(spark, d, "directions").select("slug", F.concat(F.lit("новое/"), "slug").alias("path"))
+    return L.folders(_files(spark, d), made)
+
+
+@query(
+    """SELECT slug, title, created_at FROM directions WHERE slug NOT IN ('electro', 'osmos', 'novoe') UNION ALL SELECT 'electro', 'Заново', TIMESTAMP '2024-05-06 07:08:09'
+    UNION ALL SELECT 'novoe', 'Новое', TIMESTAMP '2024-05-06 07:08:09'"""
+)
+def direction_changes(spark, d):
+    """One direction made anew, one made as it is missing, one that is there left, one deleted."""
+    from datetime import datetime
+
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    own = L.create_direction(table(spark, d, "directions"), "electro", " Заново ", at)
+    own = L.ensure_direction(L.ensure_direction(own, "electro", "Иначе", at), "novoe", "Новое", at)
+    return L.delete_direction(own, "osmos")
+
+
+@query(
+    f"""SELECT slug, path FROM (SELECT slug, path || unnest(['', '.extracted.txt', '.extracted.meta.json', '.extracted.pages.json', '.library.json']) AS path, path AS own FROM {_FILES})
+    WHERE NOT (ends_with(own, '.pdf') AND regexp_matches(path, '\\.extracted\\.(txt|meta\\.json|pages\\.json)$'))"""
+)
+def sidecars_removed(spark, d):
+    """Every file with all that may be kept beside it, without the extractions of PDF files."""
+    own = _files(spark, d).select("slug", "path")
+    stored = own.select("slug", F.explode(F.array(F.col("path"), *[F.concat("path", F.lit(k)) for k in P.SIDECARS])).alias("path"))
+    return L.without_sidecars(stored, own.filter(F.col("path").endswith(".pdf")), catalog=False)
+
+
+@query(
+    f"""SELECT slug, path, name, size, modified_at, content_type FROM (SELECT *, row_number() OVER (PARTITION BY slug, path ORDER BY modified_at DESC NULLS LAST, size DESC NULLS LAST, filename DESC) AS rn FROM (SELECT slug, 'вход/' || safe AS path, safe AS name, filename, CAST(size AS DOUBLE) AS size, modified_at,
+    CASE WHEN ends_with(lower(filename), '.pdf') THEN 'application/pdf' WHEN ends_with(lower(filename), '.doc') THEN 'application/msword' WHEN ends_with(lower(filename), '.docx') THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+    WHEN ends_with(lower(filename), '.jpeg') OR ends_with(lower(filename), '.jpg') THEN 'image/jpeg' WHEN ends_with(lower(filename), '.png') THEN 'image/png' WHEN ends_with(lower(filename), '.md') THEN 'text/markdown; charset=utf-8'
+    WHEN ends_with(lower(filename), '.txt') THEN 'text/plain; charset=utf-8' ELSE 'application/octet-stream' END AS content_type FROM (SELECT slug, name AS filename, size, modified_at, {SQL.safe_name('name')} AS safe FROM library_files) WHERE safe IS NOT NULL)) WHERE rn = 1"""
+)
+def uploads(spark, d):
+    """All deliveries of files sent to one folder of their direction: the last of a name holds."""
+    sent = table(spark, d, "library_files").select("slug", F.lit(" вход ").alias("folder"), F.col("name").alias("filename"), "size", "modified_at")
+    return L.uploaded(sent).select("slug", "path", "name", F.col("size").cast("double").alias("size"), "modified_at", "content_type")
+
+
+@query(f"SELECT c.slug, c.path, coalesce(s.title, c.title) AS title, coalesce(s.doc_type, c.doc_type) AS doc_type FROM {_CATALOG} c LEFT JOIN (SELECT e.slug, e.path, e.name AS title, 'law' AS doc_type FROM extracted_documents e WHERE entry_id % 2 = 0) s USING (slug, path)")
+def catalog_ensured(spark, d):
+    """The catalog after missing entries are made, every other one being stored as a law."""
+    files = _files(spark, d)
+    own = K.infer(files)
+    known = _docs(spark, d).filter("entry_id % 2 = 0").select("slug", "path", F.col("name").alias("stated"))
+    stored = own.join(known, ["slug", "path"]).withColumns({"title": F.col("stated"), "doc_type": F.lit("law")}).drop("stated")
+    return K.ensured(stored, files).select("slug", "path", "title", "doc_type")
+
+
+@query("SELECT path, slug, name FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY modified_at DESC NULLS LAST, slug DESC, name DESC NULLS LAST) AS rn FROM library_files) WHERE rn = 1")
+def files_by_path(spark, d):
+    """One row for each path over all directions and deliveries: the last holds."""
+    return K.by_path(table(spark, d, "library_files").select("path", "modified_at", "slug", "name"), "modified_at")
+
+
+_EXTRACTED = "left(trim(regexp_replace(regexp_replace({c}, '" + _KEPT + "', '', 'g'), '[\\t\\n\\r ]+', ' ', 'g')), 120000)"
+
+
+@query(
+    f"""SELECT entry_id, x AS extractor, nullif(t, '') AS text, coalesce(length(t), 0) AS chars, CASE WHEN nullif(t, '') IS NULL THEN 0.0 WHEN x = 'plain-text' THEN 1.0 ELSE 0.35 END::DOUBLE AS confidence, CASE WHEN nullif(t, '') IS NULL THEN 'extract_no_text' END AS error
+    FROM (SELECT entry_id, CASE WHEN entry_id % 2 = 0 THEN 'plain-text' ELSE 'legacy-doc-fallback' END AS x, CASE WHEN entry_id % 2 = 0 THEN {_EXTRACTED.format(c='text')} ELSE {_EXTRACTED.format(c="array_to_string(regexp_extract_all(text, '[ -~]{12,}'), ' ')")} END AS t FROM extracted_documents)"""
+)
+def files_extracted(spark, d):
+    """Texts written to plain and legacy files, by turns, and read again."""
+    own = _texts(spark, d).select(F.lit("files").alias("slug"), F.concat(F.col("entry_id").cast("string"), F.when(F.col("entry_id") % 2 == 0, ".txt").otherwise(".doc")).alias("path"), F.col("text").cast("binary").alias("content"))
+    done = E.extract(own)
+    return done.select(F.substring_index("path", ".", 1).cast("long").alias("entry_id"), "extractor", "text", "chars", "confidence", "error")
+
+
+def _as_pdf(spark, d):
+    """Files that hold an entry's text as one text layer, its pages' texts as another, and the
+    pages to be recognised; and tools that read them. Pages without text can't be recognised."""
+    import json
+
+    parts = F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
+    pages = _pages(spark, d).groupBy("entry_id").agg(parts.alias("pages"))
+    own = _docs(spark, d).select("entry_id", "text").join(pages, "entry_id", "left").join(_meta(spark, d).select("entry_id", "source_pages"), "entry_id", "left")
+    texts = F.transform("pages", lambda p: p["text"])
+    layers = F.to_json(F.struct(F.col("text").alias("first"), F.array_join(texts, "\n").alias("second"), F.coalesce("source_pages", F.lit(0)).alias("n"), texts.alias("pages")))
+    files = own.select(F.lit("files").alias("slug"), F.concat(F.col("entry_id").cast("string"), F.lit(".pdf")).alias("path"), layers.cast("binary").alias("content"))
+    tools = E.Tools(
+        layers=(("pdftotext", lambda b: json.loads(b).get("first")), ("pdf-parse", lambda b: json.loads(b).get("second"))),
+        count=lambda b: json.loads(b)["n"],
+        raster=lambda b, page, dpi, seconds: (json.loads(b).get("pages") or [])[page - 1 : page][0].encode() if page <= len(json.loads(b).get("pages") or []) else None,
+        recognise=lambda picture, seconds, mode, spaces: picture.decode(),
+    )
+    return files, tools
+
+
+_LAYERED = f"""(SELECT entry_id, layer, p, nullif({_EXTRACTED.format(c='text')}, '') AS text FROM (SELECT e.entry_id, 0 AS layer, e.text, coalesce(m.source_pages, 0) AS p FROM extracted_documents e LEFT JOIN {_META} m USING (entry_id)
+  UNION ALL SELECT e.entry_id, 1 AS layer, t.text, coalesce(m.source_pages, 0) AS p FROM extracted_documents e LEFT JOIN {_META} m USING (entry_id) LEFT JOIN (SELECT entry_id, string_agg(coalesce(text, ''), chr(10) ORDER BY page NULLS FIRST, text NULLS FIRST) AS text FROM {_PAGES} GROUP BY entry_id) t USING (entry_id)))"""
+_BEST = f"""(SELECT * FROM (SELECT entry_id, layer, p, text, {SQL.usable('p')} AS usable, {SQL.wanting('p')} AS wants, row_number() OVER (PARTITION BY entry_id ORDER BY coalesce(n + 3 * cyr + CASE WHEN {SQL.usable('p')} THEN 10000 ELSE 0 END, -1) DESC, layer) AS rn FROM {SQL.facts(_LAYERED, "entry_id, layer, p")}) WHERE rn = 1)"""
+_READ = f"""(SELECT entry_id, string_agg(t, chr(10) || chr(10) ORDER BY k) AS text, count(*) AS pages FROM (SELECT entry_id, p.k, trim(regexp_replace(regexp_replace(p.text, '{_KEPT}', '', 'g'), '[\\t\\n\\r ]+', ' ', 'g')) AS t, coalesce(m.source_pages, 0) AS n
+  FROM (SELECT entry_id, text, row_number() OVER (PARTITION BY entry_id ORDER BY page NULLS FIRST, coalesce(text, '')) AS k FROM {_PAGES}) p JOIN {_META} m USING (entry_id)) WHERE t <> '' AND k <= CASE WHEN n > 0 THEN least(n, 150) ELSE 150 END GROUP BY entry_id)"""
+
+
+@query(
+    f"""SELECT b.entry_id, CASE WHEN o.text IS NOT NULL THEN 'tesseract-ocr' WHEN b.wants AND b.text IS NULL THEN 'tesseract-ocr' WHEN b.layer = 0 OR b.text IS NULL THEN CASE WHEN b.text IS NULL THEN 'pdf-parse' ELSE 'pdftotext' END ELSE 'pdf-parse' END AS extractor,
+    CASE WHEN coalesce(o.text, b.text) IS NULL THEN 0 WHEN o.text IS NOT NULL THEN 0.65 WHEN b.wants THEN 0.5 WHEN b.usable THEN 0.85 ELSE 0.75 END::DOUBLE AS confidence, coalesce(length(coalesce(o.text, b.text)), 0) AS chars, CAST(b.p AS INTEGER) AS source_pages, o.pages
+    FROM {_BEST} b LEFT JOIN (SELECT entry_id, nullif({_EXTRACTED.format(c='text')}, '') AS text, pages FROM {_READ}) o ON o.entry_id = b.entry_id AND b.wants"""
+)
+def pdf_in_tiers(spark, d):
+    """Every entry as a PDF with two text layers and pages to be recognised, read in tiers."""
+    files, tools = _as_pdf(spark, d)
+    done = E.pdf_tiers(spread(files), tools)
+    return done.select(F.substring_index("path", ".", 1).cast("long").alias("entry_id"), "extractor", "confidence", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), "source_pages", F.when(F.col("pages").isNotNull(), F.size("pages")).cast("long").alias("pages"))
+
+
+@query(
+    f"""SELECT entry_id, CASE WHEN score >= 20 THEN text END AS text, round(score, 6) AS score FROM (SELECT entry_id, q.score, t.text, row_number() OVER (PARTITION BY entry_id ORDER BY q.score DESC, page_id) AS rn
+    FROM (SELECT page_id, entry_id FROM {_PAGES}) JOIN (SELECT page_id, score FROM {SQL.PHOTO_SCORED}) q USING (page_id) JOIN ({SQL.PHOTO_TEXT}) t USING (page_id)) WHERE rn = 1"""
+)
+def photo_attempts(spark, d):
+    """Each entry's pages read as attempts at one photo, a number of them in one round."""
+    own = _pages(spark, d).select("entry_id", F.floor(F.col("page_id") / 4).cast("int").alias("round"), F.col("page_id").cast("int").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    best = E.best_attempts(own, "entry_id")
+    return best.select("entry_id", "text", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""SELECT entry_id, t AS text, CASE WHEN t IS NULL THEN false ELSE length(t) >= 25 AND (len(regexp_extract_all(t, '[А-Яа-яЁё]')) >= 15 OR length(t) >= 80) END AS usable
+    FROM (SELECT entry_id, nullif(left({_trim("CASE WHEN entry_id % 2 = 0 THEN text ELSE array_to_string(regexp_extract_all(text, '[ -~]{8,}'), ' ') END")}, 12000), '') AS t FROM extracted_documents)"""
+)
+def attachments(spark, d):
+    """Texts sent with questions as plain and legacy files, by turns."""
+    own = _texts(spark, d).select(F.lit("files").alias("slug"), F.concat(F.col("entry_id").cast("string"), F.when(F.col("entry_id") % 2 == 0, ".md").otherwise(".doc")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return E.attachment_texts(own).select(F.substring_index("path", ".", 1).cast("long").alias("entry_id"), "text", "usable")
+
+
+_ACTIVE = f"(SELECT slug, regexp_replace(path, '/[^/]*$', '') AS scope_path, path AS job_id, coalesce(modified_at, TIMESTAMP '0001-01-01') AS queued_at, CASE WHEN size < 0 OR has_text IS NULL THEN 'done' WHEN has_text THEN 'running' ELSE 'queued' END AS status FROM {_FILES})"
+
+
+@query(f"SELECT slug, scope_path, job_id, status FROM (SELECT *, row_number() OVER (PARTITION BY slug, scope_path ORDER BY queued_at, job_id) AS rn FROM {_ACTIVE} WHERE status <> 'done') WHERE rn = 1")
+def first_active_jobs(spark, d):
+    """Files read as jobs of their folder: the first active one of each."""
+    status = F.when(F.col("size").isNull(), "done").when(F.coalesce("has_text", F.lit(False)), "running").otherwise("queued")
+    own = _files(spark, d).select("slug", F.regexp_replace("path", "/[^/]*$", "").alias("scope_path"), F.col("path").alias("job_id"), F.coalesce("modified_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("queued_at"), status.alias("status"))
+    return Jobs.first_active(own).select("slug", "scope_path", "job_id", "status")
+
+
+@query(f"SELECT * FROM {_FOLD} WHERE job_id IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def followed_jobs(spark, d):
+    """Jobs of users with an error, read as the jobs that are followed."""
+    refs = table(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("job_id"))
+    return Jobs.followed(refs, Jobs.fold(_jobs(spark, d)))
+
+
+@query(f"SELECT job_id, status FROM {_FOLD} WHERE status IN ('running', 'queued') OR epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(ended_at) < 2592000000")
+def jobs_still_shown(spark, d):
+    """Jobs to show when the last event came in, ended ones for thirty days."""
+    last = table(spark, d, "events").agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("now"))
+    jobs = Jobs.fold(_jobs(spark, d)).withColumn("one", F.lit(1)).join(last.withColumn("one", F.lit(1)), "one")
+    return Jobs.still_shown(jobs, F.col("now"), 2_592_000_000).select("job_id", "status")
+
+
+@query("SELECT user_id AS job_id, CAST(max_by(event_id % 40, (ts, event_id)) AS INTEGER) AS ocr_page, CAST(max_by(event_id % 41, (ts, event_id)) AS INTEGER) AS ocr_page_total FROM events WHERE event_id % 41 > 0 GROUP BY user_id")
+def page_progress(spark, d):
+    """Events read as reports of pages."""
+    own = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), "event_id", (F.col("event_id") % 40).cast("int").alias("page"), (F.col("event_id") % 41).cast("int").alias("total"))
+    return Jobs.page_progress(own)
+
+
+@query(
+    """SELECT user_id AS user, max(ts) AS "at", max_by(event_type, (ts, event_type)) AS query FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM
+    (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, part"""
+)
+def settled_queries(spark, d):
+    """Events read as what users typed, with pauses of six hours."""
+    own = table(spark, d, "events").select(F.col("user_id").alias("user"), F.col("ts").alias("at"), F.col("event_type").alias("query"))
+    return Jobs.settled_queries(own, "6 hours")
+
+
+_CHAT = "(SELECT user_id AS chat, (ts, event_id) AS t, CASE event_type WHEN 'signup' THEN 'direction' WHEN 'click' THEN 'folder' WHEN 'view' THEN 'mode' WHEN 'purchase' THEN 'question' ELSE 'answered' END AS kind, 'v' || event_id AS v FROM events)"
+
+
+@query(
+    f"""SELECT chat, coalesce(max_by(v, t) FILTER (kind = 'direction'), '') AS slug, CASE WHEN max_by(kind, t) FILTER (kind IN ('direction', 'folder')) = 'folder' THEN max_by(v, t) FILTER (kind IN ('direction', 'folder')) ELSE '' END AS scope_path,
+    CASE WHEN max_by(kind, t) FILTER (kind IN ('direction', 'mode')) = 'mode' THEN max_by(v, t) FILTER (kind IN ('direction', 'mode')) ELSE 'none' END AS mode,
+    CASE WHEN max_by(kind, t) FILTER (kind <> 'mode') = 'question' THEN max_by(v, t) FILTER (kind <> 'mode') END AS pending FROM {_CHAT} GROUP BY chat"""
+)
+def chat_sessions(spark, d):
+    """Events read as those of chats: each chat's session at the end."""
+    kinds = F.create_map(*[F.lit(x) for p in (("signup", "direction"), ("click", "folder"), ("view", "mode"), ("purchase", "question"), ("error", "answered")) for x in p])
+    own = table(spark, d, "events").select(F.col("user_id").alias("chat"), F.col("ts").alias("at"), "event_id", F.element_at(kinds, F.col("event_type")).alias("kind"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("value"))
+    return A.sessions(own).select("chat", "slug", "scope_path", "mode", "pending")
+
+
+@query(f"SELECT slug, CAST(count_if(CASE WHEN has_text THEN true ELSE folder = 'gost' OR path = 'gost/x.pdf' END) AS BIGINT) AS concerned FROM (SELECT slug, path, coalesce(has_text, false) AND path = 'gost/x.pdf' AS has_text, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder FROM {_FILES}) GROUP BY slug")
+def jobs_of_file(spark, d):
+    """Files read as batches of their folders that wait: how many concern a file of 'gost'."""
+    own = _files(spark, d).select("slug", F.concat(P.parent(F.col("path")), F.lit("@batch-1")).alias("scope"))
+    hit = J.affects(F.lit("queued"), F.col("scope"), F.lit(None).cast("string"), F.lit("gost/x.pdf"))
+    return own.groupBy("slug").agg(F.count_if(hit).alias("concerned"))
+
+
+# --- files on disk ----------------------------------------------------------------------
+
+
+def _written(spark, d) -> str:
+    """A library on disk with all entries' sidecars, in the shared folder."""
+    import uuid
+
+    root = shared_folder(spark).removeprefix("file://") + f"/library-{uuid.uuid4().hex[:12]}"
+    pages = _pages(spark, d).groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")))).alias("pages"))
+    own = _docs(spark, d).select("entry_id", "slug", "path", "text").join(_meta(spark, d).drop("slug", "path"), "entry_id", "left").join(pages, "entry_id", "left")
+    Tr.write_sidecars(spread(own.withColumn("extracted_at", F.lit("2024-01-01"))), root)
+    return root
+
+
+@query(f"SELECT slug, path, {_name()} AS name, left({_trim('text')}, 120000) AS text FROM extracted_documents WHERE length({_trim('text')}) > 0")
+def stored_texts(spark, d):
+    """Texts written beside their files and read back from the tree."""
+    return Tr.texts(spark, _written(spark, d))
+
+
+@query(f"SELECT e.slug, e.path, m.extractor, m.confidence, m.chars, m.source_pages, m.indexed_pages, m.index_status, m.index_note FROM extracted_documents e JOIN {_META} m USING (entry_id) WHERE length(e.text) > 0 AND m.extractor IS NOT NULL")
+def stored_extractions(spark, d):
+    return Tr.metas(spark, _written(spark, d)).drop("source_document", "extracted_at")
+
+
+@query(f"SELECT e.slug, e.path, p.page, coalesce(p.text, '') AS text FROM extracted_documents e JOIN {_PAGES} p USING (entry_id) WHERE length(e.text) > 0")
+def stored_pages(spark, d):
+    return Tr.pages(spark, _written(spark, d))

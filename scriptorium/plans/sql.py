@@ -82,14 +82,14 @@ WORDS = f"""len(list_distinct(list_filter(string_split_regex({norm("text")}, '{_
 QUALITY_SCORE = f"""SELECT entry_id, round(CASE WHEN n IS NULL OR n < 120 THEN 0.0::DOUBLE ELSE least(n / greatest(p, 1), 2500.0::DOUBLE) * 0.35::DOUBLE + {WORDS} * 1.8::DOUBLE + cyr * 0.04::DOUBLE - entry_chars / n * 8000.0::DOUBLE END, 6) AS score FROM {JUDGED}"""
 
 _CLEAN = f"(SELECT page_id, text, regexp_replace(text, '{KEPT}', '', 'g') AS c FROM {PAGES})"
-_PHOTO = f"""(SELECT page_id, text, cyr, words, regexp_matches(lower(c), 'вопрос|вариант|разрешается|запрещается') AS quiz, CASE WHEN coalesce(letters, 0) = 0 THEN 0.0::DOUBLE ELSE cyr * 3 + latin * 0.4::DOUBLE + digits * 0.3::DOUBLE
+PHOTO_SCORED = f"""(SELECT page_id, text, cyr, words, regexp_matches(lower(c), 'вопрос|вариант|разрешается|запрещается') AS quiz, CASE WHEN coalesce(letters, 0) = 0 THEN 0.0::DOUBLE ELSE cyr * 3 + latin * 0.4::DOUBLE + digits * 0.3::DOUBLE
   + cyr / greatest(letters, 1) * 120 + CASE WHEN contains(lower(c), 'вопрос') THEN 30 ELSE 0 END + CASE WHEN contains(lower(c), 'вариант') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(lower(c), 'разрешается|запрещается') THEN 25 ELSE 0 END
   + CASE WHEN regexp_matches(lower(c), 'тепло|ремн|установ') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(c, '№[ \\t\\r\\n]*[0-9]+') THEN 15 ELSE 0 END + least(words, 12) * 4 END AS score
   FROM (SELECT page_id, text, c, length(regexp_replace(c, '[ \\t\\r\\n0-9\\p{{P}}]', '', 'g')) AS letters, len(regexp_extract_all(c, '[А-Яа-яЁё]')) AS cyr, len(regexp_extract_all(c, '[А-Яа-яЁё]{{4,}}')) AS words,
   len(regexp_extract_all(c, '[A-Za-z]')) AS latin, len(regexp_extract_all(c, '[0-9]')) AS digits FROM {_CLEAN}))"""
 _T = trim("text")
 PHOTO_QUALITY = f"""SELECT page_id, round(score, 6) AS score, coalesce(words >= 3 AND cyr >= 30 AND score >= 45 AND (quiz OR (score >= 55 AND cyr >= 40)), false) AS usable,
-  CASE WHEN coalesce({_T}, '') = '' THEN false ELSE length({_T}) >= 25 AND (len(regexp_extract_all({_T}, '[А-Яа-яЁё]')) >= 15 OR length({_T}) >= 80) END AS as_document FROM {_PHOTO}"""
+  CASE WHEN coalesce({_T}, '') = '' THEN false ELSE length({_T}) >= 25 AND (len(regexp_extract_all({_T}, '[А-Яа-яЁё]')) >= 15 OR length({_T}) >= 80) END AS as_document FROM {PHOTO_SCORED}"""
 PHOTO_TEXT = f"""SELECT page_id, nullif(left({trim("array_to_string(list_filter(list_transform(string_split(replace(c, chr(13) || chr(10), chr(10)), chr(10)), lambda x: " + trim("regexp_replace(x, '[ \\t|]+', ' ', 'g')") + "), lambda x: length(x) > 1), chr(10))")}, 12000), '') AS text FROM {_CLEAN}"""
 
 _STATE = f"""(SELECT *, greatest(p, 0) AS s, coalesce(k, 0) AS i FROM (SELECT f.*, coalesce(m.extractor, '') AS x, k FROM {JUDGED} f LEFT JOIN {META} m USING (entry_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -61,18 +62,35 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark._scriptorium_shared = own
+        atexit.register(shutil.rmtree, own.removeprefix("file://"), ignore_errors=True)
     return own
 
 
+#: Tables written by this driver and not yet removed.
+_staged: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove all tables that ``durable`` has written; frames made from them can't be read any
+    more, so call it when results are stored. Tells how many were removed."""
+    jvm = spark.sparkContext._jvm
+    removed = 0
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage and computes ``df`` once; a lost executor costs nothing,
-    because the files are not on it.
+    because the files are not on it. ``drop_stages`` removes what a session has written.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "stage", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

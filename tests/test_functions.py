@@ -268,3 +268,37 @@ def test_addresses(value):
     assert address == "#/gas/%D0%B0%20%D0%B1/c%2Bd"
     assert tuple(value(J.parsed_route(c("a")), a=address)) == ("direction", "gas", "а б/c+d")
     assert value(J.parsed_route(c("a")), a="#/").view == "home" and value(J.parsed_route(c("a")), a="#/gas/%zz").path == "%zz"
+
+
+def test_settings():
+    from scriptorium.functions.requests import Settings
+
+    own = Settings.of({"ocr_max_pages": " 20 ", "default_slug": "", "default_scope": "a\\b", "unknown": "x"})
+    assert (own.ocr_max_pages, own.ocr_timeout_sec, own.default_slug, own.default_scope) == (20, 900, None, "a/b")
+    assert Settings.of({"default_scope": "../x"}).default_scope == ""
+    for bad in ({"ocr_dpi": "0"}, {"ocr_dpi": "1.5"}, {"default_slug": "Ы"}):
+        with pytest.raises(ValueError):
+            Settings.of(bad)
+
+
+@pytest.mark.parametrize("given, chars", [(None, 20_000), ("", 20_000), ("x", 20_000), ("5", 2_000), (" 30000abc", 30_000), ("999999999", 120_000), ("-4", 2_000)])
+def test_limits_of_requests(value, given, chars):
+    from scriptorium.functions import requests as R
+
+    assert value(R.limited(c("t"), R.CONTEXT_CHARS), t=given) == chars
+    assert value(R.listed(c("t")), t=None) == [] and value(R.listed(c("t")), t=" a, ,b ,") == ["a", "b"]
+
+
+@pytest.mark.parametrize("slug, title, scope, label", [("", "x", "y", "направление не выбрано"), ("s", None, "", "s (все папки)"), ("s", "Газ", "a/b", "Газ → b")])
+def test_session_labels(value, slug, title, scope, label):
+    from scriptorium.functions import requests as R
+
+    assert value(R.session_label(F.lit(slug).cast("string"), F.lit(title).cast("string"), F.lit(scope).cast("string"))) == label
+
+
+def test_a_slug_is_stamped_where_all_numbers_are_taken(value):
+    from scriptorium.functions import paths as P
+
+    taken = F.concat(F.array(F.lit("gaz")), F.transform(F.sequence(F.lit(2), F.lit(999)), lambda n: F.concat(F.lit("gaz-"), n.cast("string"))))
+    assert value(P.unique_slug(F.lit("Газ"), taken, F.lit("17"))) == "gaz-17" and value(P.unique_slug(F.lit("Газ"), F.slice(taken, 1, 900), F.lit("17"))) == "gaz-901"
+    assert value(J.byte_size(F.lit(None).cast("long"))) is None and value(J.route(F.lit("s"), F.lit("a!(b)~'*/ч"))) == "#/s/a!(b)~'*/%D1%87"

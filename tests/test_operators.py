@@ -383,3 +383,45 @@ def test_queue_and_lists(spark):
     assert [r.scope_path for r in Jobs.accepted(jobs, asked).collect()] == ["new"]
     both = Jobs.merged(spark.createDataFrame([("a", 1, "x")], "job_id string, updated_at int, v string"), spark.createDataFrame([("a", 2, "y"), ("b", 1, "z")], "job_id string, updated_at int, v string"))
     assert sorted(tuple(r) for r in both.collect()) == [("a", 2, "y"), ("b", 1, "z")]
+
+
+def test_uploads_and_refusals(spark):
+    from datetime import datetime
+
+    from scriptorium.operators import library as L
+
+    at = lambda k: datetime(2024, 1, k)
+    sent = spark.createDataFrame(
+        [("gas", " a\\b ", "x y.pdf", 5, at(1)), ("gas", "a/b", "x y.pdf", 7, at(2)), ("gas", "", "n.exe", 1, at(1)), ("gas", "../x", "n.txt", 1, at(1)), ("Bad", "", "n.txt", 1, at(1)), ("gas", "", "m?.TXT", None, None)],
+        "slug string, folder string, filename string, size long, modified_at timestamp",
+    )
+    got = {r.path: r for r in L.uploaded(sent).collect()}
+    assert set(got) == {"a/b/x y.pdf", "m_.TXT"} and got["a/b/x y.pdf"].size == 7 and got["m_.TXT"].content_type.startswith("text/plain") and not got["m_.TXT"].has_text
+    assert L.uploaded(sent.limit(0)).count() == 0
+    rows = [(1, "gas", "a.png", 1, "image"), (1, "gas", "a.pdf", 1, "document"), (2, "gas", "a.pdf", 300 << 20, None), (3, "gas", "a.exe", 1, None), (4, "gas", "a.pdf", 1, "image")] + [(5, "gas", f"{k}.txt", 1, None) for k in range(21)]
+    refused = {r.request: r.error for r in L.refused(spark.createDataFrame(rows, "request int, slug string, filename string, size long, field string")).collect()}
+    assert refused == {1: "image_and_document", 2: "file_too_large", 3: "invalid_filename", 5: "too_many_files"}
+
+
+def test_folders_sidecars_and_reindexing(spark):
+    from scriptorium.operators import library as L
+
+    files = spark.createDataFrame([("s", "a/x.pdf"), ("s", "y.txt")], "slug string, path string")
+    made = L.make_folder(L.make_folder(spark.createDataFrame([], "slug string, path string"), "s", "b/c"), "s", "b/c")
+    assert {(r.path, r.files) for r in L.folders(files, made).collect()} == {("a", 1), ("b", 0), ("b/c", 0)}
+    stored = spark.createDataFrame([("s", "a/x.pdf" + k) for k in ("", ".extracted.txt", ".extracted.meta.json", ".extracted.pages.json", ".library.json")], "slug string, path string")
+    assert [r.path for r in L.without_sidecars(stored, files).collect()] == ["a/x.pdf"]
+    assert {r.path for r in L.without_sidecars(stored, files, catalog=False).collect()} == {"a/x.pdf", "a/x.pdf.library.json"}
+    texts = spark.createDataFrame([("s", "a/x.pdf", "alt"), ("s", "y.txt", "bleibt"), ("s", "z.txt", "weg")], "slug string, path string, text string")
+    results = spark.createDataFrame([("s", "a/x.pdf", "neu", "pdftotext", None), ("s", "z.txt", None, "plain-text", None), ("s", "q.doc", None, None, "BadFile")], "slug string, path string, text string, extractor string, error string")
+    assert {(r.path, r.text) for r in L.reindexed(texts, results).collect()} == {("a/x.pdf", "neu"), ("y.txt", "bleibt")}
+    assert {(r.path, r.ok, r.chars, r.error) for r in L.reindex_results(results).collect()} == {("a/x.pdf", True, 3, None), ("z.txt", False, 0, "extract_no_text"), ("q.doc", False, 0, "BadFile")}
+
+
+def test_places_in_order(spark):
+    from scriptorium.operators import library as L
+
+    own = spark.createDataFrame([(k * 7 % 101, k % 3) for k in range(101)], "v int, g int")
+    got = L.with_place(own, F.desc("v")).orderBy("place").collect()
+    assert [r.v for r in got] == list(range(100, -1, -1)) and [r.place for r in got] == list(range(1, 102))
+    assert L.with_place(own.limit(0), "v").count() == 0

@@ -115,6 +115,132 @@ def test_ingest(spark, tmp_path):
     assert seen == {("gas", "a b/п.txt"): "Привет", ("gas", "x.docx"): None}
 
 
+def test_folders_single_files_and_parts(spark, root):
+    os.makedirs(os.path.join(root, "gas", "b", "leer"))
+    os.makedirs(os.path.join(root, "gas", ".x", "y"))
+    assert {tuple(r) for r in Tr.folders(spark, root).collect()} == {("gas", "a"), ("gas", "b"), ("gas", "b/leer")}
+    assert [(bytes(r.content), r.content_type) for r in Tr.file(spark, root, "gas", "a/one.pdf").collect()] == [(b"x", "application/pdf")]
+    assert Tr.file(spark, root, "gas", "a/none.pdf").count() == 0 and Tr.file(spark, root, "gas", "_a.txt").first().content_type.startswith("text/plain")
+    with pytest.raises(ValueError):
+        Tr.file(spark, root, "gas", "../x")
+    assert Tr.tree(spark, root).rdd.getNumPartitions() >= 4
+
+
+def test_arrivals_see_every_name(spark, tmp_path):
+    root = tmp_path / "landing"
+    (root / "gas" / "a").mkdir(parents=True)
+    (root / "gas" / "_x.txt").write_text("Раз", encoding="utf-8")
+    (root / "gas" / "a" / "y.txt").write_text("Два", encoding="utf-8")
+    seen = {}
+    store = lambda df, n: seen.update({(r.slug, r.path): r.text for r in df.collect()})
+    Str.ingest(Tr.arrivals(spark, str(root)), str(root), store, str(tmp_path / "cp")).awaitTermination()
+    assert seen == {("gas", "_x.txt"): "Раз", ("gas", "a/y.txt"): "Два"}
+    seen.clear()
+    (root / "gas" / "a" / "z.txt").write_text("Три", encoding="utf-8")
+    Str.ingest(Tr.arrivals(spark, str(root)), str(root), store, str(tmp_path / "cp")).awaitTermination()
+    assert seen == {("gas", "a/z.txt"): "Три"}
+
+
+def made_pdf(*texts):
+    import zlib
+
+    out = b"%PDF-1.4\n"
+    for k, t in enumerate(texts):
+        body = zlib.compress(b"BT /F1 12 Tf (" + t.replace("(", "\\(").encode("cp1252") + b") Tj ET")
+        out += f"{k + 1} 0 obj << /Type /Page /Contents {k + 50} 0 R >> endobj\n{k + 50} 0 obj << /Length {len(body)} /Filter /FlateDecode >> stream\n".encode() + body + b"\nendstream endobj\n"
+    return out + b"9 0 obj << /Type /Pages >> endobj %%EOF"
+
+
+def test_text_layer_by_parsing():
+    assert E.layer_by_parsing(made_pdf("First (page", "Second")) == ("First (page\nSecond", 2)
+    assert E.layer_by_parsing(b"no pdf") == (None, 0) and E.layer_by_parsing(b"%PDF-1.4 stream\nxx\nendstream") == (None, 0)
+    assert E.layer_by_program(b"no pdf") is None and E.page_count(made_pdf("a", "b", "c")) == 3
+
+
+DENSE = "Проверка заземляющего устройства проводится не реже одного раза в год. " * 30
+
+
+def fake_tools(**more):
+    """Files are JSON: two layers, pages, what recognition reads of each."""
+    of = lambda name: lambda data: json.loads(data).get(name)
+
+    def draw(data, page, dpi, seconds):
+        assert seconds >= 15 and dpi == 150
+        got = json.loads(data)["pages"][page - 1]
+        return None if got is None else got.encode()
+
+    def read(picture, seconds, mode, spaces):
+        if picture == b"fail":
+            raise RuntimeError
+        return picture.decode()
+
+    return E.Tools(layers=(("pdftotext", of("a")), ("pdf-parse", of("b"))), count=lambda d: json.loads(d).get("n", 0), raster=draw, recognise=read, **more)
+
+
+def test_pdf_in_tiers(spark):
+    files = {
+        "layer": {"a": DENSE, "b": None, "n": 2}, "second": {"a": "x", "b": DENSE, "n": 1}, "scan": {"a": "", "n": 5, "pages": ["Один", None, "fail", " ", "Пять"]}, "poor": {"a": "мало букв", "n": 1, "pages": ["fail"]},
+        "none": {"n": 1, "pages": [None]}, "between": {"a": "Текст документа без полной страницы букв. " * 125, "n": 25, "pages": []}, "long": {"n": 9, "pages": ["слово"] * 9},
+    }
+    rows = [("gas", k + ".pdf", json.dumps(v).encode()) for k, v in files.items()] + [("gas", "broken.pdf", b"{")]
+    tools = fake_tools(most_pages=7)
+    got = {r.path[:-4]: r for r in E.extract(spark.createDataFrame(rows, FILES), tools=tools).collect()}
+    seen = {k: (r.extractor, r.confidence) for k, r in got.items()}
+    assert seen == {"layer": ("pdftotext", 0.85), "second": ("pdf-parse", 0.85), "scan": ("tesseract-ocr", 0.65), "poor": ("pdftotext", 0.5), "none": ("tesseract-ocr", 0.0), "between": ("pdftotext", 0.75), "long": ("tesseract-ocr", 0.65), "broken": ("tesseract-ocr", 0.0)}
+    assert [(p.page, p.text) for p in got["scan"].pages] == [(1, "Один"), (5, "Пять")] and got["scan"].text == "Один Пять" and got["scan"].index_status == "partial"
+    assert len(got["long"].pages) == 7 and got["none"].error == "extract_no_text" and got["layer"].pages is None
+    forced = {r.path[:-4]: r.extractor for r in E.pdf_tiers(spark.createDataFrame([("gas", "layer.pdf", json.dumps({"a": DENSE, "n": 1, "pages": ["слово"]}).encode())], FILES), tools, force=True, at_once=1).collect()}
+    assert forced == {"layer": "tesseract-ocr"}
+
+
+QUIZ = "Вопрос: какой вариант разрешается при установке теплообменника № 5 в котельной?"
+
+
+def test_photos_and_attachments(spark):
+    said = {("screen_inverted", "4"): "шум", ("screen_binary", "6"): QUIZ, ("document", "3"): QUIZ, ("document", "4"): "слово"}
+
+    def prepare(picture, recipe, seconds):
+        return None if picture == b"bad" and recipe != "document" else picture + b"|" + recipe.encode()
+
+    def read(picture, seconds, mode, spaces):
+        name, _, recipe = picture.decode().partition("|")
+        if name == "raw":
+            return "" if recipe else QUIZ
+        if (recipe, mode) not in said:
+            raise RuntimeError
+        return said[recipe, mode]
+
+    tools = E.Tools(prepare=prepare, recognise=read)
+    rows = [("s", "good.png", b"good"), ("s", "bad.jpg", b"bad"), ("s", "raw.jpeg", b"raw"), ("s", "a.txt", " Привет, проверка устройства номер пять ".encode()), ("s", "b.doc", b"\x00short runs\x01"), ("s", "c.exe", b"x"), ("s", "d.docx", word("Абзац"))]
+    files = spark.createDataFrame(rows, FILES)
+    got = {r.path: r.text for r in E.photos(files.filter(F.col("path").rlike("png|jp")), tools).collect()}
+    assert got == {"good.png": QUIZ, "bad.jpg": QUIZ, "raw.jpeg": QUIZ}
+    sent = {r.path: (r.text, r.usable) for r in E.attachment_texts(files, tools).collect()}
+    assert sent["good.png"] == (QUIZ, True) and sent["a.txt"] == ("Привет, проверка устройства номер пять", True) and sent["b.doc"] == ("short runs", False) and sent["c.exe"] == (None, False) and sent["d.docx"][0].startswith("Абзац")
+
+
+def test_chat_stream(spark, tmp_path):
+    schema = "chat string, at timestamp, event_id long, kind string, value string"
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    src = str(tmp_path / "chat")
+    query = Str.chat_states(_stream(spark, src, schema)).writeStream.outputMode("update").format("memory").queryName("chats").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for rows in ([("1", at(0), 1, "direction", "gas"), ("1", at(1), 2, "question", "что?")], [("1", at(2), 3, "folder", "a/b"), ("2", at(2), 4, "mode", "search")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        query.processAllAvailable()
+    query.stop()
+    got = [tuple(r) for r in spark.sql("select * from chats").collect()]
+    assert ("1", "gas", "", "none", "что?") in got and ("1", "gas", "a/b", "none", None) in got and ("2", "", "", "search", None) in got
+
+
+def test_stages_can_be_dropped(spark):
+    from scriptorium import session
+
+    df = session.durable(spark.range(5), "drop-me")
+    path = session._staged[-1].removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert session.drop_stages(spark) >= 1 and not os.path.exists(path) and session.drop_stages(spark) == 0
+
+
 def test_progress_stream_plan(spark, tmp_path):
     own = Str.progress(_stream(spark, str(tmp_path / "e"), "at timestamp, kind string"))
     assert own.isStreaming and own.columns == ["window_start", "kind", "events"]
