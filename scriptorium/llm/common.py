@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.session import durable
+
+#: Rows of a key up to which they stay together; larger keys are split into cells of about so many.
+CELL = 2048
 #: Rows of one key from which on they are joined by broadcast. There are never more than
 #: ``SPLIT`` such keys, so their list can be broadcast.
 HUB, SPLIT = 1 << 16, 1_000_000
@@ -15,8 +19,9 @@ def bounded_sample(df: DataFrame, key: str, size: int, chars: int | None = None)
     """At most ``size`` rows, and at most ``chars`` characters of column text in all, chosen by a
     hash of ``key``. Texts are taken whole; those above a sixteenth of ``chars`` are left out.
 
-    The row count (from the files' footers) sets how small a hash must be, so that only
-    some more rows than wanted are carried to the final choice, whatever the input's size.
+    The row count (for a whole table it comes from the files' footers) sets how small a hash
+    must be, so that only some more rows than wanted are carried to the final choice, whatever
+    the input's size.
     """
     rows = df.count()
     if rows > size * 4:
@@ -44,3 +49,20 @@ def with_one(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how:
     tagged = left.join(F.broadcast(hubs), keys, "left")
     few = tagged.filter("is_hub is null").select(left.columns).join(right.filter(F.col("n") < hub).drop("n"), keys, how)
     return tagged.filter("is_hub").drop("is_hub").unionByName(few)
+
+
+def hot_keys(counted: DataFrame, keys: list[str], rows: int, cell: int = CELL) -> DataFrame | None:
+    """(keys, cells) of the keys (keys, n) that hold more than a cell's rows, None if there are
+    none. Of ``rows`` rows at most ``SPLIT`` keys can be so large."""
+    cell = max(cell, rows // SPLIT)
+    hot = durable(counted.filter(F.col("n") > cell).select(*keys, F.ceil(F.col("n") / cell).cast("int").alias("cells")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def in_cell(df: DataFrame, hot: DataFrame | None, keys: list[str], own: str | None, name: str = "cell") -> DataFrame:
+    """``df`` with a cell of its key: by column ``own`` one of them, without it every one."""
+    if hot is None:
+        return df.withColumn(name, F.lit(0))
+    cells = F.coalesce("cells", F.lit(1))
+    cell = F.pmod(F.xxhash64(own), cells).cast("int") if own else F.explode(F.sequence(F.lit(0), cells - 1))
+    return df.join(F.broadcast(hot), keys, "left").withColumn(name, cell).drop("cells")

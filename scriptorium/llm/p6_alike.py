@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import HUB, SPLIT, with_one
+from scriptorium.llm.common import CELL, HUB, hot_keys, in_cell, with_one
 from scriptorium.session import durable, spread
 
 LIMIT = 0.70
@@ -30,9 +30,6 @@ RUN = 3
 #: 0.30 at similarity 0.70 and 0.40 at 0.75; of 22 none does with 0.0004 and 0.00001.
 SEGMENTS = 22
 BITS = 23
-#: Rows of a key or class up to which they stay together; larger ones are split into cells of
-#: about so many. There are never more than ``SPLIT`` such keys, so their list can be broadcast.
-CELL = 2048
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -233,33 +230,16 @@ def _verified(pairs: DataFrame, limit: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, likeness double")
 
 
-def _hot(counted: DataFrame, key: str, rows: int, cell: int) -> DataFrame | None:
-    """(key, cells) of the keys (key, n) that hold more than a cell's rows, None if there are
-    none. Of ``rows`` rows at most ``SPLIT`` keys can be so large."""
-    cell = max(cell, rows // SPLIT)
-    hot = durable(counted.filter(F.col("n") > cell).select(key, F.ceil(F.col("n") / cell).cast("int").alias("cells")), "p6-hot")
-    return None if hot.isEmpty() else hot
-
-
-def _in_cell(df: DataFrame, hot: DataFrame | None, key: str, own: str | None, name: str = "cell") -> DataFrame:
-    """``df`` with a cell of its key: by column ``own`` one of them, without it every one."""
-    if hot is None:
-        return df.withColumn(name, F.lit(0))
-    cells = F.coalesce("cells", F.lit(1))
-    cell = F.pmod(F.xxhash64(own), cells).cast("int") if own else F.explode(F.sequence(F.lit(0), cells - 1))
-    return df.join(F.broadcast(hot), key, "left").withColumn(name, cell).drop("cells")
-
-
 def _met(classes: DataFrame, limit: float, cell: int) -> DataFrame:
     """Pairs (a, b), a < b, of classes that share a key and whose sketches are close."""
     part = 16
     some = _keys(classes.filter(F.pmod(F.xxhash64("entry_id"), F.lit(part)) == 0).select("entry_id", "mark"))
     # a part of the rows tells which keys are large enough to be split
     rows = classes.count() * SEGMENTS * 6
-    hot = _hot(some.groupBy("key").agg((F.count("*") * part).alias("n")), "key", rows, max(cell, 4 * part))
+    hot = hot_keys(some.groupBy("key").agg((F.count("*") * part).alias("n")), ["key"], rows, max(cell, 4 * part))
     keys = _keys(classes.select("entry_id", "mark"))
-    x = _in_cell(_in_cell(keys, hot, "key", "id", "i"), hot, "key", None, "j").alias("x")
-    y = _in_cell(_in_cell(keys, hot, "key", "id", "j"), hot, "key", None, "i").alias("y")
+    x = in_cell(in_cell(keys, hot, ["key"], "id", "i"), hot, ["key"], None, "j").alias("x")
+    y = in_cell(in_cell(keys, hot, ["key"], "id", "j"), hot, ["key"], None, "i").alias("y")
     same = (F.col("x.key") == F.col("y.key")) if hot is None else (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     close = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= _allowed(64, limit)
     return x.join(y.hint("merge"), same & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -295,14 +275,14 @@ def found(documents: DataFrame, limit: float = LIMIT, cell: int = CELL) -> DataF
     for by entries; ``groups`` gives the same links without expanding copies.
     """
     links, members = alike(documents, limit, cell)
-    hot = _hot(members.groupBy("class").agg(F.count("*").alias("n")), "class", members.count(), cell)
-    one = _in_cell(members, hot, "class", "entry_id")
+    hot = hot_keys(members.groupBy("class").agg(F.count("*").alias("n")), ["class"], members.count(), cell)
+    one = in_cell(members, hot, ["class"], "entry_id")
     a, b = one.select(F.col("class").alias("a"), "cell", F.col("entry_id").alias("ea")), one.select(F.col("class").alias("b"), "cell", F.col("entry_id").alias("eb"))
-    left = _in_cell(links.select("a", "b").withColumnRenamed("a", "class"), hot, "class", None).withColumnRenamed("class", "a").join(a, ["a", "cell"]).drop("cell")
-    across = _in_cell(left.withColumnRenamed("b", "class"), hot, "class", None).withColumnRenamed("class", "b").join(b, ["b", "cell"])
+    left = in_cell(links.select("a", "b").withColumnRenamed("a", "class"), hot, ["class"], None).withColumnRenamed("class", "a").join(a, ["a", "cell"]).drop("cell")
+    across = in_cell(left.withColumnRenamed("b", "class"), hot, ["class"], None).withColumnRenamed("class", "b").join(b, ["b", "cell"])
     across = across.select(F.least("ea", "eb").alias("entry_a"), F.greatest("ea", "eb").alias("entry_b"))
     # pairs of copies: each member meets those of every cell of its class
-    every = _in_cell(members, hot, "class", None).select("class", "cell", F.col("entry_id").alias("eb"))
+    every = in_cell(members, hot, ["class"], None).select("class", "cell", F.col("entry_id").alias("eb"))
     within = one.join(every, ["class", "cell"]).filter("entry_id < eb").select(F.col("entry_id").alias("entry_a"), F.col("eb").alias("entry_b"))
     return across.unionByName(within)
 

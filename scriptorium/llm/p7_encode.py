@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -35,16 +36,25 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _made: dict = {}
 
 
-def tokenizer(name: str = NAME, folder: str = FOLDER):
-    """The tokenizer of a ``.tiktoken`` file, once per Python process; it has no special tokens."""
+def _file(name: str, folder: str) -> bytes:
+    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
+        return f.read()
+
+
+def _made_of(name: str, data: bytes):
+    """The tokenizer of the contents of a ``.tiktoken`` file, once per Python process."""
     import tiktoken
 
-    path = os.path.join(folder, f"{name}.tiktoken")
-    if path not in _made:
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _made[path] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _made[path]
+    key = (name, len(data), zlib.crc32(data))
+    if key not in _made:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
+        _made[key] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _made[key]
+
+
+def tokenizer(name: str = NAME, folder: str = FOLDER):
+    """The tokenizer of a vocabulary file; it has no special tokens."""
+    return _made_of(name, _file(name, folder))
 
 
 def decode(ids, name: str = NAME, folder: str = FOLDER) -> str:
@@ -115,9 +125,11 @@ def _encoded(df: DataFrame, name: str, folder: str, chunk: int, reach: int) -> D
     """Column ``text`` of ``df`` as ``ids``; the columns before it stay. A few hundred rows at a time."""
     kept = df.columns[:-1]
     width = len(kept)
+    # the vocabulary (a file of fixed size) is read here, so executors need no copy of it
+    data = df.sparkSession.sparkContext.broadcast(_file(name, folder))
 
     def run(batches):
-        core, pattern = tokenizer(name, folder)._core_bpe, _pattern()
+        core, pattern = _made_of(name, data.value)._core_bpe, _pattern()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
