@@ -30,6 +30,7 @@ RUN = 3
 #: 0.30 at similarity 0.70 and 0.40 at 0.75; of 22 none does with 0.0004 and 0.00001.
 SEGMENTS = 22
 BITS = 23
+KEYS_A_TASK = 250_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -240,6 +241,10 @@ def _met(classes: DataFrame, limit: float, cell: int) -> DataFrame:
     keys = _keys(classes.select("entry_id", "mark"))
     x = in_cell(in_cell(keys, hot, ["key"], "id", "i"), hot, ["key"], None, "j").alias("x")
     y = in_cell(in_cell(keys, hot, ["key"], "id", "j"), hot, ["key"], None, "i").alias("y")
+    # as many tasks as the keys need, whatever the session says: a few megabytes each
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // KEYS_A_TASK)
+    on = ["key"] if hot is None else ["key", "i", "j"]
+    x, y = x.repartition(tasks, *[F.col(f"x.{c}") for c in on]).alias("x"), y.repartition(tasks, *[F.col(f"y.{c}") for c in on]).alias("y")
     same = (F.col("x.key") == F.col("y.key")) if hot is None else (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     close = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= _allowed(64, limit)
     return x.join(y.hint("merge"), same & (F.col("x.id") < F.col("y.id")) & close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
