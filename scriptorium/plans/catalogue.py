@@ -835,14 +835,42 @@ def files_by_path(spark, d):
 _EXTRACTED = "left(trim(regexp_replace(regexp_replace({c}, '" + _KEPT + "', '', 'g'), '[\\t\\n\\r ]+', ' ', 'g')), 120000)"
 
 
+_KIND = "CASE entry_id % 3 WHEN 0 THEN 'plain-text' WHEN 1 THEN 'legacy-doc-fallback' ELSE 'mammoth' END"
+
+
 @query(
-    f"""SELECT entry_id, x AS extractor, nullif(t, '') AS text, coalesce(length(t), 0) AS chars, CASE WHEN nullif(t, '') IS NULL THEN 0.0 WHEN x = 'plain-text' THEN 1.0 ELSE 0.35 END::DOUBLE AS confidence, CASE WHEN nullif(t, '') IS NULL THEN 'extract_no_text' END AS error
-    FROM (SELECT entry_id, CASE WHEN entry_id % 2 = 0 THEN 'plain-text' ELSE 'legacy-doc-fallback' END AS x, CASE WHEN entry_id % 2 = 0 THEN {_EXTRACTED.format(c='text')} ELSE {_EXTRACTED.format(c="array_to_string(regexp_extract_all(text, '[ -~]{12,}'), ' ')")} END AS t FROM extracted_documents)"""
+    f"""SELECT entry_id, x AS extractor, nullif(t, '') AS text, coalesce(length(t), 0) AS chars, CASE WHEN nullif(t, '') IS NULL THEN 0.0 WHEN x = 'plain-text' THEN 1.0 WHEN x = 'mammoth' THEN 0.8 ELSE 0.35 END::DOUBLE AS confidence, CASE WHEN nullif(t, '') IS NULL THEN 'extract_no_text' END AS error
+    FROM (SELECT entry_id, {_KIND} AS x, CASE WHEN entry_id % 3 = 1 THEN {_EXTRACTED.format(c="array_to_string(regexp_extract_all(text, '[ -~]{12,}'), ' ')")} ELSE {_EXTRACTED.format(c='text')} END AS t FROM extracted_documents)"""
 )
 def files_extracted(spark, d):
-    """Texts written to plain and legacy files, by turns, and read again."""
-    own = _texts(spark, d).select(F.lit("files").alias("slug"), F.concat(F.col("entry_id").cast("string"), F.when(F.col("entry_id") % 2 == 0, ".txt").otherwise(".doc")).alias("path"), F.col("text").cast("binary").alias("content"))
-    done = E.extract(own)
+    """Texts written to plain, legacy and Word files, by turns, and read again."""
+
+    def words(batches):
+        import io
+        import re
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                # a paragraph for each line; what XML can't hold is left out
+                lines = re.sub("[^\t\n\r -\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", text or "").replace("\r", "\n").split("\n")
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in lines)
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+                out.append(data.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+    own = _texts(spark, d)
+    name = lambda ending: F.concat(F.col("entry_id").cast("string"), F.lit(ending)).alias("path")
+    plain = own.filter("entry_id % 3 = 0").select(name(".txt"), F.col("text").cast("binary").alias("content"))
+    legacy = own.filter("entry_id % 3 = 1").select(name(".doc"), F.col("text").cast("binary").alias("content"))
+    word = own.filter("entry_id % 3 = 2").select(name(".docx"), "text").mapInArrow(words, "path string, content binary")
+    done = E.extract(plain.unionByName(legacy).unionByName(word).select(F.lit("files").alias("slug"), "path", "content"))
     return done.select(F.substring_index("path", ".", 1).cast("long").alias("entry_id"), "extractor", "text", "chars", "confidence", "error")
 
 
@@ -972,6 +1000,76 @@ def jobs_of_file(spark, d):
     return own.groupBy("slug").agg(F.count_if(hit).alias("concerned"))
 
 
+@query("SELECT slug, CASE WHEN slug = 'electro' THEN 'Новое имя' ELSE title END AS title FROM directions")
+def direction_retitled(spark, d):
+    return L.retitle(table(spark, d, "directions"), "electro", " Новое имя ").select("slug", "title")
+
+
+@query(f"SELECT slug, path FROM {_FILES} WHERE NOT (slug = 'electro' AND path = (SELECT min(path) FROM library_files WHERE slug = 'electro'))")
+def file_deleted(spark, d):
+    """All files but the first one of a direction."""
+    own = _files(spark, d)
+    first = own.filter("slug = 'electro'").agg(F.min("path")).first()[0]
+    return L.delete_file(own, "electro", first or "none").select("slug", "path")
+
+
+@query(
+    f"""SELECT slug, path, CASE WHEN one THEN 'Иначе' ELSE title END AS title, CASE WHEN one THEN 'law' ELSE doc_type END AS doc_type, {_PRIORITY} AS priority
+    FROM (SELECT *, slug = 'electro' AND path = (SELECT min(path) FROM {_CATALOG} WHERE slug = 'electro') AS one FROM {_CATALOG})"""
+)
+def catalog_put(spark, d):
+    """The catalog with one entry's type and title set; what followed from its type stays."""
+    own = K.infer(_files(spark, d))
+    first = own.filter("slug = 'electro'").agg(F.min("path")).first()[0]
+    return K.set_type(own, "electro", first or "none", "law", "Иначе").select("slug", "path", "title", "doc_type", "priority")
+
+
+@query(f"SELECT slug, path FROM {_CATALOG} WHERE lower({_name()}) = 'гост' OR list_contains(string_split({_ALIASES}, '|'), 'гост')")
+def catalog_by_alias(spark, d):
+    return K.by_alias(K.infer(_files(spark, d)), " ГОСТ ").select("slug", "path")
+
+
+@query("SELECT doc_id, coalesce(doc_type IN ('classifier', 'law', 'standard', 'tkp', 'regulation', 'instruction', 'other'), false) AS valid FROM documents")
+def valid_types(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(C.valid_type(F.col("doc_type")), F.lit(False)).alias("valid"))
+
+
+_SHOWN, _POLLED = "(SELECT user_id AS job_id, max(ts) AS updated_at, 'shown' AS status FROM events WHERE event_id % 3 > 0 GROUP BY user_id)", "(SELECT user_id AS job_id, max(ts) AS updated_at, 'polled' AS status FROM events WHERE event_id % 2 = 0 GROUP BY user_id)"
+
+
+@query(f"SELECT job_id, max(updated_at) AS updated_at, max_by(status, (updated_at, status)) AS status FROM (SELECT * FROM {_SHOWN} UNION ALL SELECT * FROM {_POLLED}) GROUP BY job_id")
+def jobs_merged(spark, d):
+    """Two lists of jobs, each from a part of the events, as one with the newest state of each."""
+    part = lambda which, status: table(spark, d, "events").filter(which).groupBy(F.col("user_id").alias("job_id")).agg(F.max("ts").alias("updated_at")).withColumn("status", F.lit(status))
+    return Jobs.merged(part("event_id % 3 > 0", "shown"), part("event_id % 2 = 0", "polled"))
+
+
+def _folder_jobs(spark, d):
+    status = F.when(F.col("size").isNull(), "done").when(F.coalesce("has_text", F.lit(False)), "running").otherwise("queued")
+    return _files(spark, d).select("slug", P.parent(F.col("path")).alias("scope_path"), F.col("path").alias("job_id"), status.alias("status"), F.when(status == "running", F.col("path")).alias("current_file"), F.when(status == "queued", F.length("path")).alias("queue_position"))
+
+
+_PARENT = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END"
+_FOLDER_JOBS = f"(SELECT slug, {_PARENT} AS scope_path, path AS job_id, CASE WHEN size < 0 THEN 'done' WHEN has_text THEN 'running' ELSE 'queued' END AS status FROM {_FILES})"
+
+
+@query(f"SELECT slug, scope_path FROM (SELECT DISTINCT slug, unnest([{_PARENT}, 'свободно']) AS scope_path FROM {_FILES}) WHERE (slug, scope_path) NOT IN (SELECT (slug, scope_path) FROM {_FOLDER_JOBS} WHERE status <> 'done')")
+def requests_accepted(spark, d):
+    """Requests to index every folder, and one more of each direction, without those that a job is at work on."""
+    asked = _files(spark, d).select("slug", F.explode(F.array(P.parent(F.col("path")), F.lit("свободно"))).alias("scope_path")).distinct()
+    return Jobs.accepted(_folder_jobs(spark, d), asked)
+
+
+@query(
+    f"""SELECT slug, job_id, row_number() OVER (ORDER BY CASE WHEN status = 'queued' THEN length(job_id) ELSE 999 END, job_id, slug) AS place FROM {_FOLDER_JOBS}
+    WHERE status <> 'done' AND CASE WHEN status = 'running' THEN starts_with(job_id, 'gost/') ELSE scope_path = 'gost' OR starts_with(scope_path, 'gost@batch') OR starts_with(scope_path, 'gost/') OR starts_with('gost', scope_path || '/') END"""
+)
+def jobs_listed(spark, d):
+    """Active jobs of interest in a folder, with their places."""
+    own = Jobs.listed(_folder_jobs(spark, d), "gost").select("slug", "job_id", F.coalesce("queue_position", F.lit(999)).alias("q"))
+    return L.with_place(own, "q", "job_id", "slug").select("slug", "job_id", "place")
+
+
 # --- files on disk ----------------------------------------------------------------------
 
 
