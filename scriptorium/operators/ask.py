@@ -41,8 +41,10 @@ def history(messages: DataFrame, turns: int = KEPT_TURNS) -> DataFrame:
 
 def pending(messages: DataFrame) -> DataFrame:
     """Each conversation up to its last message marked ``pending``; others have no rows."""
-    upto = F.max(F.when(F.col("pending"), F.col("turn"))).over(W.partitionBy("conv_id"))
-    return messages.withColumn("upto", upto).filter(F.col("turn") <= F.col("upto")).drop("upto")
+    upto = messages.filter("pending").groupBy("conv_id").agg(F.max("turn").alias("upto"))
+    # one row for each conversation; how it is joined is left to its size
+    upto = upto.withColumnRenamed("conv_id", "of")
+    return messages.join(upto, F.equal_null("conv_id", "of")).filter(F.col("turn") <= F.col("upto")).drop("upto", "of")
 
 
 def sessions(events: DataFrame) -> DataFrame:

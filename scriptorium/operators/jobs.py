@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import jobs as J
+from scriptorium.operators.library import with_place
 
 KINDS = ("queued", "started", "file_done", "file_failed", "finished", "failed")
 KEPT = 40
@@ -38,10 +40,19 @@ def active(status: Column) -> Column:
 
 def queue(jobs: DataFrame, *keys: str) -> DataFrame:
     """Queued jobs with queue_position: the running ones, plus their own place in the queue."""
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    running = F.count_if(F.col("status") == "running").over(part)
-    place = F.sum(F.when(F.col("status") == "queued", 1).otherwise(0)).over(part.orderBy("queued_at", "job_id").rowsBetween(W.unboundedPreceding, 0))
-    return jobs.withColumn("queue_position", running + place).filter("status = 'queued'")
+    running = jobs.groupBy(*keys).agg(F.count_if(F.col("status") == "running").alias("running"))
+    placed = with_place(jobs.filter("status = 'queued'"), "queued_at", "job_id", keys=keys)
+    if keys:
+        marks = [F.equal_null(placed[k], running[k]) for k in keys]
+        both = placed.join(running, functools.reduce(lambda a, b: a & b, marks)).select(placed["*"], "running")
+    else:
+        both = placed.withColumn("one", F.lit(1)).join(running.withColumn("one", F.lit(1)), "one").drop("one")
+    return both.withColumn("queue_position", F.col("place") + F.col("running")).drop("place", "running")
+
+
+def startable(jobs: DataFrame, at_once: int = 2, *keys: str) -> DataFrame:
+    """Queued jobs that may start now, first come first served, so that ``at_once`` run at most."""
+    return queue(jobs, *keys).filter(F.col("queue_position") <= at_once)
 
 
 def snapshot(jobs: DataFrame, now: Column) -> DataFrame:

@@ -28,19 +28,24 @@ def current_files(files: DataFrame) -> DataFrame:
     return newest.select("slug", "path", "f.*")
 
 
-def with_place(rows: DataFrame, *order) -> DataFrame:
-    """Rows with their ``place`` (from 1) in an order, however many there are.
+def with_place(rows: DataFrame, *order, keys: tuple = ()) -> DataFrame:
+    """Rows with their ``place`` (from 1) in an order, within each key if there are any.
 
     Rows are split into ranges of the order, which are numbered by themselves; how many stand
-    in the ranges before is a sum over one row for each range.
+    in the ranges before is a sum over one row for each range and key. So neither all rows nor
+    those of one key are in one task.
     """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = durable(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "places")
-    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    base = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    place = F.row_number().over(W.partitionBy("part").orderBy(*order))
-    return ranged.withColumn("place", place).join(F.broadcast(base), "part").withColumn("place", F.col("place") + F.col("base")).drop("part", "base")
+    ranged = durable(rows.repartitionByRange(parts, *keys, *order).withColumn("part", F.spark_partition_id()), "places")
+    # no row is lost where a key is null: nulls are one key
+    own = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"_{k}") for k in keys]
+    ranged = ranged.select("*", *own)
+    marks = [f"_{k}" for k in keys]
+    before = F.sum("n").over(W.partitionBy(*marks).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    base = ranged.groupBy("part", *marks).agg(F.count("*").alias("n")).select("part", *marks, F.coalesce(before, F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("part", *marks).orderBy(*order))
+    return ranged.withColumn("place", place).join(base, ["part", *marks]).withColumn("place", F.col("place") + F.col("base")).drop("part", "base", *marks)
 
 
 def directions(table: DataFrame) -> DataFrame:

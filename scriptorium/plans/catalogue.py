@@ -697,6 +697,16 @@ def queue_positions(spark, d):
     return Jobs.queue(own, "slug").select("slug", "job_id", "queue_position")
 
 
+@query(
+    f"""SELECT slug, job_id FROM (SELECT slug, job_id, row_number() OVER (PARTITION BY slug ORDER BY queued_at, job_id) + coalesce(r, 0) AS place FROM {_QUEUE} LEFT JOIN (SELECT slug, count(*) AS r FROM {_QUEUE} WHERE status = 'running' AND length(job_id) % 8 = 0 GROUP BY slug) USING (slug) WHERE status = 'queued') WHERE place <= 9"""
+)
+def jobs_startable(spark, d):
+    """The jobs of a direction's queue that may start while nine run at most; of the files with text those with paths of some lengths are read as running."""
+    own = _files(spark, d).select("slug", F.col("path").alias("job_id"), F.coalesce("modified_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("queued_at"), F.coalesce("has_text", F.lit(False)).alias("text"))
+    status = F.when(F.col("text"), F.when(F.length("job_id") % 8 == 0, "running").otherwise("done")).otherwise("queued")
+    return Jobs.startable(own.withColumn("status", status), 9, "slug").select("slug", "job_id")
+
+
 _NOW = 1_740_000_000_000
 
 
