@@ -171,14 +171,21 @@ def _photo_score(clean: Column) -> Column:
     return F.when(F.coalesce(letters, F.lit(0)) == 0, F.lit(0.0)).otherwise(score)
 
 
-def photo_usable(text: Column) -> Column:
-    """Whether a photo's text can be used as a question."""
+def photo_judged(text: Column) -> Column:
+    """(score, usable): how well a photo's text reads, and whether it can be used as a question; the
+    text is cleaned and its letters are counted once."""
 
-    def usable(clean):
+    def judged(clean):
         facts = F.struct(cyrillic_letters(clean).alias("cyr"), cyrillic_words(clean).alias("words"), clean.rlike("(?iu)вопрос|вариант|разрешается|запрещается").alias("quiz"), _photo_score(clean).alias("score"))
-        return let(facts, lambda f: (f["words"] >= 3) & (f["cyr"] >= 30) & (f["score"] >= 45) & (f["quiz"] | ((f["score"] >= 55) & (f["cyr"] >= 40))))
+        usable = lambda f: (f["words"] >= 3) & (f["cyr"] >= 30) & (f["score"] >= 45) & (f["quiz"] | ((f["score"] >= 55) & (f["cyr"] >= 40)))
+        return let(facts, lambda f: F.struct(f["score"].alias("score"), F.coalesce(usable(f), F.lit(False)).alias("usable")))
+
+    return let(sanitized(text), judged)
 
-    return F.coalesce(let(sanitized(text), usable), F.lit(False))
+
+def photo_usable(text: Column) -> Column:
+    """Whether a photo's text can be used as a question."""
+    return photo_judged(text)["usable"]
 
 
 def attachment_usable(text: Column, image: Column) -> Column:

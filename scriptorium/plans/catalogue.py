@@ -378,8 +378,9 @@ def text_layer_argmax(spark, d):
 
 @query(SQL.PHOTO_QUALITY)
 def photo_text_quality(spark, d):
-    own = _pages(spark, d)
-    return own.select("page_id", F.round(Q.photo_score(F.col("text")), 6).alias("score"), Q.photo_usable(F.col("text")).alias("usable"), Q.attachment_usable(F.col("text"), F.lit(False)).alias("as_document"))
+    own = spread(_pages(spark, d).select("page_id", "text"))
+    own = own.select("page_id", Q.photo_judged(F.col("text")).alias("j"), Q.attachment_usable(F.col("text"), F.lit(False)).alias("as_document"))
+    return own.select("page_id", F.round("j.score", 6).alias("score"), "j.usable", "as_document")
 
 
 @query(SQL.INDEX_STATUS)
