@@ -1,6 +1,6 @@
 """Problem 2: find text that was decoded with a wrong encoding, and restore it.
 
-A multinomial classifier over hashed byte bigrams is trained on the corpus's own words and
+A multinomial classifier over hashed byte bigrams is trained on all words of the corpus and
 on the same words garbled on purpose through every encoding chain. Each word then has a
 log-likelihood per chain; the stretch of a text whose words together speak most for a
 chain is inverted by it, strictly: its characters must be bytes of the chain's last
@@ -20,15 +20,20 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import bounded_sample
 from scriptorium.session import durable, spread
 
-#: Texts the classifier is trained on, and their characters, at most; everything else covers
-#: all texts.
-SAMPLE, CHARS = 2400, 24_000_000
+#: Characters of texts the table is made of, at most, if a number of texts is named.
+CHARS = 24_000_000
 #: A word is known if it makes up so large a part of all words that aren't ASCII and stands
 #: three times or more; so there are never more than 2.5 million of them.
 FREQUENT = 4e-7
 #: How many times more frequent than its garbled form a word is.
 RATIO = 10
 BINS = 1 << 16
+#: Weights of bigrams are in parts of so many, readings of words in parts of so many.
+UNIT, GRAIN = 1 << 28, 10_000
+#: Counts of words weigh as in a corpus of so many words that aren't ASCII, if there are more.
+WORDS = 600_000
+#: A character is usual if words of so large a part of all hold it (and five do), or a known word does.
+USUAL = 8e-6
 #: Least evidence, in nats, that a stretch is garbled.
 EVIDENCE = 14.0
 LOST = "�"
@@ -148,43 +153,60 @@ def decodable(word: str) -> tuple | None:
 _MARKS = ".,;:!?()[]«»\"'"
 
 
+def usable(word: str) -> bool:
+    """Whether the classifier may learn from ``word``."""
+    return not word.isascii() and LOST not in word and not decodable(word)
+
+
+def weighed(words: list[str], counts: list[int], share: float = 1.0) -> np.ndarray:
+    """Weights of byte bigrams in bins, a row for each column of ``Model.table``. They are whole
+    numbers, so that sums over parts of the corpus are the same in any order.
+
+    Counts are multiplied by ``share`` first. A frequent word weighs the root of that; a rare one
+    weighs no more than that, since the more texts there are, the more of the distinct words are
+    garbled ones that stand once.
+    """
+    out = np.zeros((len(chains()) + 2, BINS))
+
+    def add(k, some, weight):
+        if some:
+            bins, begins = _bigrams(some)
+            out[k] += np.bincount(bins, np.repeat(weight, np.diff(np.append(begins, len(bins)))), BINS)
+
+    own = np.array(counts, np.float64) * share
+    weight = np.rint(own / np.sqrt(own + 1) * UNIT)
+    for k, has in enumerate((True, False)):
+        of = [i for i, w in enumerate(words) if bool(_CYRILLIC.search(w)) == has]
+        # headings in capitals are right too, but rarer than their words
+        right = [words[i] for i in of]
+        cased = [w.upper() for w in right] + [w.capitalize() for w in right]
+        rarer = np.rint(weight[of] * 0.3)
+        add(k, right + cased, np.concatenate((weight[of], rarer, rarer)))
+    for k, chain in enumerate(chains(), 2):
+        made = [(g, n) for w, n in zip(words, weight) if (g := garble(w, chain)) != w and "?" not in g]
+        add(k, [g for g, _ in made], np.array([n for _, n in made]))
+    return out
+
+
 class Model:
     """Log-likelihoods of hashed byte bigrams. Columns 0 and 1 are rightly decoded words, with
     and without Cyrillic letters; then comes one column for each chain."""
 
-    def __init__(self, words: Counter, smooth: float = 0.05):
+    def __init__(self, weights: np.ndarray, smooth: float = 0.05):
         self.chains = chains()
-        kept = sorted(w for w in words if not w.isascii() and LOST not in w and not decodable(w)) or ["ё"]
-        for final in (False, True):
-            weight = np.sqrt(np.array([words[w] or 1 for w in kept], np.float64))
-            table = np.empty((BINS, len(self.chains) + 2), np.float32)
-            for k, has in enumerate((True, False)):
-                of = [i for i, w in enumerate(kept) if bool(_CYRILLIC.search(w)) == has]
-                # headings in capitals are right too, but rarer than their words
-                right = [kept[i] for i in of]
-                cased = [w.upper() for w in right] + [w.capitalize() for w in right]
-                table[:, k] = self._column(right + cased, np.concatenate((weight[of], weight[of] * 0.3, weight[of] * 0.3)), smooth)
-            for k, chain in enumerate(self.chains, 2):
-                made = [(g, n) for w, n in zip(kept, weight) if (g := garble(w, chain)) != w and "?" not in g]
-                table[:, k] = self._column([g for g, _ in made], np.array([n for _, n in made]), smooth)
-            table[_ASCII] = 0.0
-            self.table = table
-            if not final:  # the sample holds garbled words too: leave out what the first round finds
-                speaks = self.scores(kept)
-                kept = [w for w, s in zip(kept, speaks) if not (s > 2 and self._better(w))]
-        own = self.right(kept) / np.array([len(w) + 1 for w in kept])
-        self.least = float(np.quantile(own, 0.02))
-        # words the corpus is sure to hold: seen a few times, or once beside their sentence marks
-        self.known = {w for w in kept if words[w] >= 3}
-        bare: Counter = Counter()
-        for w in kept:
-            bare[w.strip(_MARKS)] += words[w]
-        self.known |= {w for w, n in bare.items() if n >= 3}
+        self.least = 0.0
+        self.known: set[str] = set()
         self.often: Counter = Counter()
-        for w in kept:
-            self.often.update(dict.fromkeys(w, words[w]))
-        self.usual = {c for c, n in self.often.items() if n >= 5} | set(map(chr, range(32, 127)))
-        self.known |= {v for w in self.known for v in (w.lower(), w.upper(), w.capitalize())}
+        self.usual = set(map(chr, range(32, 127)))
+        weights = weights / UNIT
+        weights[:, _ASCII] = 0.0
+        weights += smooth
+        self.table = np.ascontiguousarray(np.log(weights / weights.sum(axis=1, keepdims=True)).astype(np.float32).T)
+        self.table[_ASCII] = 0.0
+
+    def believes(self, words: list[str]) -> list[bool]:
+        """Whether each word is taken for rightly decoded."""
+        return [not (s > 2 and self._better(w)) for w, s in zip(words, self.scores(words).tolist())]
 
     def learn(self, counts: dict[str, int]) -> None:
         """Take words, counted over all texts, for known, but those that are garbled or look
@@ -199,26 +221,13 @@ class Model:
             backs = [*(invert(w, c) for c in self.chains), "".join(c for c in w if c in self.usual)]
             return any(b and b != w and folded[b.strip(_MARKS).lower()] >= RATIO * counts[w] for b in backs)
 
-        new = [w for w in counts if w not in self.known and not w.isascii() and LOST not in w and not decodable(w)]
+        new = [w for w in counts if usable(w)]
         kept = []
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            kept += [w for w, s in zip(some, self.scores(some).tolist()) if not (s > 2 and self._better(w)) and not garbled(w)]
+            kept += [w for w, ok in zip(some, self.believes(some)) if ok and not garbled(w)]
         self.known.update(v for w in kept for v in (w, w.lower(), w.upper(), w.capitalize()))
-        for w in kept:
-            self.often.update(dict.fromkeys(w, counts[w]))
-        self.usual |= {c for c, n in self.often.items() if n >= 5}
-
-    @staticmethod
-    def _column(words, weight, smooth) -> np.ndarray:
-        if not words:
-            return np.full(BINS, -np.log(BINS), np.float32)
-        bins, begins = _bigrams(words)
-        lengths = np.diff(np.append(begins, len(bins)))
-        count = np.bincount(bins, np.repeat(weight, lengths), BINS)
-        count[_ASCII] = 0.0
-        count += smooth
-        return np.log(count / count.sum()).astype(np.float32)
+        self.usual |= {c for w in kept for c in w if self.often[c] >= 5}
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """For each word: rightly decoded, then by each chain."""
@@ -389,21 +398,102 @@ def _words_in(texts: DataFrame, column: str) -> DataFrame:
     return texts.select(F.explode(F.split(column, r"[ \n\t\r]+")).alias("w")).filter(F.col("w").rlike(r"[^\x00-\x7f]"))
 
 
-def train(texts: DataFrame, column: str = "text", key: str = "entry_id", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` texts, chosen by a hash of their key (the documented
-    bound of the training sample: that many texts' distinct words come to the driver), that
-    knows the words of all texts above a share of all words, which bounds their number."""
-    some = bounded_sample(texts.select(key, F.col(column).alias("text")), key, sample, CHARS)
-    model = Model(Counter({r.w: r.n for r in _words_in(some, "text").groupBy("w").agg(F.count("*").alias("n")).orderBy("w").collect()}))
-    bare = _words_in(spread(texts.select(column)), column).select(F.btrim("w", F.lit(_MARKS)).alias("w"))
-    counts = durable(bare.groupBy("w").agg(F.count("*").alias("n")), "p2-words")
-    least = max(3, int((counts.agg(F.sum("n")).first()[0] or 0) * FREQUENT))
-    model.learn({r.w: r.n for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()})
+def _of_words(words: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of up to 8192 words and their counts at a time, as columns."""
+
+    def each(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                some = batch.slice(at, 8192)
+                yield pa.RecordBatch.from_arrays(run(some.column(0).to_pylist(), some.column(1).to_pylist()), names=names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return spread(words).mapInArrow(each, schema)
+
+
+def _weights(words: DataFrame, share: float) -> np.ndarray:
+    """``weighed`` of all words. Executors add up; what comes to the driver is as large as the table."""
+
+    def run(batches):
+        out = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                some = batch.slice(at, 8192)
+                own = weighed(some.column(0).to_pylist(), some.column(1).to_pylist(), share)
+                out = own if out is None else out + own
+        if out is not None:
+            k, at = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(k * BINS + at, pa.int32()), pa.array(out[k, at].astype(np.int64))], names=["at", "v"])
+
+    got = spread(words).mapInArrow(run, "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    if not got.num_rows:
+        return weighed(["ё"], [1])
+    out = np.zeros((len(chains()) + 2) * BINS)
+    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return out.reshape(-1, BINS)
+
+
+def train(texts: DataFrame, column: str = "text", key: str = "entry_id", sample: int | None = None) -> Model:
+    """A model of all words of all texts.
+
+    Words are counted, weighed and judged on the executors. To the driver come the table, a
+    row for each character, and the words above a share of all words, which bounds their
+    number. With ``sample`` the table is that of so many texts' words, chosen by a hash of
+    their key.
+    """
+    words = durable(_words_in(spread(texts.select(column)), column).groupBy("w").agg(F.count("*").alias("n")), "p2-words")
+    taught = words
+    if sample is not None:
+        some = bounded_sample(texts.select(key, F.col(column).alias("text")), key, sample, CHARS)
+        taught = durable(_words_in(some, "text").groupBy("w").agg(F.count("*").alias("n")), "p2-sample")
+
+    def usable_words(w, n):
+        ok = [k for k, x in enumerate(w) if usable(x)]
+        return [pa.array([w[k] for k in ok], pa.string()), pa.array([n[k] for k in ok], pa.int64())]
+
+    def believed(model):
+        def run(w, n):
+            ok = [k for k, x in enumerate(model.value.believes(w)) if x]
+            return [pa.array([w[k] for k in ok], pa.string()), pa.array([n[k] for k in ok], pa.int64())]
+
+        return run
+
+    spark, schema = texts.sparkSession, "w string, n long"
+    totals = words.agg(F.sum("n")).first()[0] or 0
+    share = 1.0 if sample is not None else min(1.0, WORDS / max(totals, 1))
+    own = durable(_of_words(words, usable_words, schema), "p2-usable")
+    taught = own if sample is None else durable(_of_words(taught, usable_words, schema), "p2-taught")
+    # the texts hold garbled words too: leave out what the first round finds
+    first = spark.sparkContext.broadcast(Model(_weights(taught, share)))
+    kept = durable(_of_words(own, believed(first), schema), "p2-kept")
+    model = Model(_weights(kept if sample is None else _of_words(taught, believed(first), schema), share))
+    second = spark.sparkContext.broadcast(model)
+
+    def reading(w, n):
+        x = second.value.right(w) / np.array([len(x) + 1 for x in w]) if w else np.zeros(0)
+        own = np.array(n, np.float64) * share
+        return [pa.array(np.rint(x * GRAIN).astype(np.int64)), pa.array(np.rint(own / (own + 1) * UNIT).astype(np.int64))]
+
+    model.least = _quantile(_of_words(kept, reading, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).orderBy("x").collect(), 0.02, float(model.right(["ё"])[0]) / 2)
+    letters = kept.select(F.explode(F.array_distinct(F.split("w", ""))).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    model.often = Counter({r.c: r.n for r in letters.collect() if r.c})
+    model.usual |= {c for c, n in model.often.items() if n >= max(5, totals * USUAL)}
+    least = max(3, int(totals * FREQUENT))
+    bare = words.groupBy(F.btrim("w", F.lit(_MARKS)).alias("w")).agg(F.sum("n").alias("n"))
+    model.learn({r.w: r.n for r in bare.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").collect()})
     return model
 
 
+def _quantile(rows: list, part: float, none: float) -> float:
+    """The value below which ``part`` of the counted values lies."""
+    upto = np.cumsum([r.n for r in rows])
+    if not rows or not upto[-1]:
+        return none
+    return rows[int(np.searchsorted(upto, part * upto[-1]))].x / GRAIN
+
+
 def shared(spark: SparkSession, model: Model):
-    """The model for all executors; its size is that of its table (65 536 bins) and sample."""
+    """The model for all executors; its size is that of its table (65 536 bins) and known words."""
     return spark.sparkContext.broadcast(model)
 
 

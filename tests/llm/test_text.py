@@ -76,6 +76,14 @@ def test_words_of_all_texts_are_known(spark):
     assert p2.train(df.filter("entry_id = 0")).often["к"] == 1  # the end of a long text
 
 
+def test_all_texts_teach_the_bigrams(spark):
+    ids = spark.range(2600).withColumnRenamed("id", "entry_id")
+    first = {r.entry_id for r in p2.bounded_sample(ids.withColumn("text", F.lit("x")), "entry_id", 2400).collect()}
+    df = spark.createDataFrame([(k, "замыкание" if k in first else "größe") for k in range(2600)], "entry_id long, text string")
+    model = p2.train(df)
+    assert model.right(["größe"])[0] > model.right(["grüße"])[0] + 1 and model.often["ö"] == 200 and model.often["з"] == 2400
+
+
 @pytest.mark.parametrize("chain", [c for c in p2.chains() if c[-1][1] != "utf-8"])
 def test_chains_can_be_inverted(chain):
     word = "größe" if chain[0][0] == "cp1252" else "замыкания"
