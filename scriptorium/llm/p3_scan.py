@@ -1,6 +1,6 @@
 """Problem 3: repair the noise that scanning leaves in pages.
 
-Skip-gram vectors are learned from a sample of the corpus, word counts from all of it. A
+Skip-gram vectors and word counts are learned from the whole corpus. A
 word that is rare beside a frequent word it could be a misreading of (by edits of glyphs
 that look alike) is linked to that word. Whether it is a misreading, and of which word, is
 decided in context: the vector of each candidate is compared with those of the words around,
@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import bounded_sample, hot_keys, in_cell
+from scriptorium.llm.common import hot_keys, in_cell
 from scriptorium.llm.p4_forms import Forms, Rewriter, invisible, plain_form
 from scriptorium.session import durable, spread
 
-#: Pages the skip-gram vectors are learned from, and their characters, at most; counts cover
-#: all pages.
-SAMPLE, CHARS = 1500, 2_000_000
+#: How far apart words stand that are pairs, numbers in a vector, and parts of one that sums are exact to.
+WINDOW, SIZE, UNIT = 4, 24, 1 << 24
 #: A word is frequent if it makes up so large a part of all words and stands three times or
 #: more; so there are never more than 2.5 million of them.
 FREQUENT = 4e-7
@@ -174,53 +173,84 @@ def candidates(word: str, known) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def skip_gram(texts: list[list[str]], size: int = 24, window: int = 4, negative: int = 5, seed: int = 5) -> dict[str, tuple]:
-    """Skip-gram vectors with negative sampling: word -> (own, as context), by mini-batches."""
-    rnd = np.random.default_rng(seed)
-    counts = Counter(w for t in texts for w in t)
-    vocabulary = [w for w, n in counts.most_common() if n > 1]
+def pairs_within(ids: list[int], words: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, how often) of word numbers at most ``window`` apart; a negative one is in no pair.
+    A pair of numbers a <= b is a * words + b."""
+    own, keys = np.array(ids, np.int64), []
+    for d in range(1, window + 1):
+        x, y = own[:-d], own[d:]
+        ok = (x >= 0) & (y >= 0)
+        x, y = x[ok], y[ok]
+        keys.append(np.minimum(x, y) * words + np.maximum(x, y))
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of pairs, those of one pair added up."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def times(i, j, n, often: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sums): what these pairs, in the order of ``i``, add to the product of the matrix of
+    pairs with ``q``. An entry of the matrix tells how many times more often than by chance two
+    words stand together, as a logarithm, 0 where they don't. Sums are whole numbers, so that the
+    order of adding doesn't matter."""
+    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    weight = np.maximum(np.log(n * (often.sum() / often[i] / often[j])), 0)
+    return i[first], np.add.reduceat(np.rint(weight[:, None] * q[j] * UNIT).astype(np.int64), first)
+
+
+def factors(product, words: int, size: int, rounds: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(own, as context): the vectors whose products come nearest to the matrix of pairs, which
+    are what skip-grams with negative sampling come to where every pair is seen (Levy and
+    Goldberg 2014). ``product`` multiplies the matrix by a narrow one."""
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((words, min(size, words))))[0]
+    for _ in range(rounds - 1):
+        q = np.linalg.qr(product(q))[0]
+    values, turn = np.linalg.eigh(q.T @ product(q))
+    own = q @ turn * np.sqrt(np.abs(values))
+    return own.astype(np.float32), (own * np.sign(values)).astype(np.float32)
+
+
+def skip_gram(texts: list[list[str]], size: int = SIZE, window: int = WINDOW) -> dict[str, tuple]:
+    """Skip-gram vectors of the words that stand twice in a few texts: word -> (own, as context)."""
+    vocabulary = [w for w, n in Counter(w for t in texts for w in t).most_common() if n > 1]
     if len(vocabulary) < 2:
         return {}
     of = {w: k for k, w in enumerate(vocabulary)}
-    p = np.array([counts[w] for w in vocabulary], np.float64) ** 0.75
-    p = np.cumsum(p / p.sum())
-    centre, around = [], []
-    for t in texts:
-        ids = np.array([of[w] for w in t if w in of])
-        for d in range(1, window + 1):
-            if len(ids) > d:
-                centre += [ids[:-d], ids[d:]]
-                around += [ids[d:], ids[:-d]]
-    x, y = np.concatenate(centre), np.concatenate(around)
-    order = rnd.permutation(len(x))
-    x, y = x[order], y[order]
-    u, v = (rnd.standard_normal((len(vocabulary), size)) / size, np.zeros((len(vocabulary), size)))
-    for at in range(0, len(x), 2048):
-        rate = 0.08 * (1 - at / len(x)) + 0.01
-        i, j = x[at : at + 2048], y[at : at + 2048]
-        n = np.searchsorted(p, rnd.random((len(i), negative)))
-        ui, vj, vn = u[i], v[j], v[n]
-        gp = 1 - 1 / (1 + np.exp(-np.einsum("ij,ij->i", ui, vj)))
-        gn = -1 / (1 + np.exp(-np.einsum("ij,ikj->ik", ui, vn)))
-        du = gp[:, None] * vj + np.einsum("ik,ikj->ij", gn, vn)
-        np.add.at(u, i, rate * du)
-        np.add.at(v, j, rate * gp[:, None] * ui)
-        np.add.at(v, n, rate * gn[:, :, None] * ui[:, None, :])
-        np.clip(u, -2, 2, out=u)
-        np.clip(v, -2, 2, out=v)
-    return {w: (u[k].astype(np.float32), v[k].astype(np.float32)) for w, k in of.items()}
+    keys, n = pairs_within([k for t in texts for k in (*(of[w] for w in t if w in of), *[-1] * window)], len(of), window)
+    i, j = np.divmod(keys, len(of))
+    i, j, n = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((n, n))
+    order = np.lexsort((j, i))
+    i, j, n = i[order], j[order], n[order]
+    often = np.maximum(np.bincount(i, n, len(of)), 1)
+
+    def product(q):
+        out = np.zeros((len(of), q.shape[1]))
+        at, v = times(i, j, n, often, q)
+        out[at] = v / UNIT
+        return out
+
+    own, around = factors(product, len(of), size)
+    return {w: (own[k], around[k]) for w, k in of.items()}
 
 
 class Reader:
     """Finds and corrects misread words; made from counts of frequent words and vectors."""
 
     def __init__(self, counts: dict[str, int], least: int, vectors: dict):
-        self.counts, self.least, self.vectors = counts, least, vectors
+        self.counts, self.least = counts, least
+        self.place = {w: k for k, w in enumerate(vectors)}
+        self.own, self.context = (np.array(x) for x in zip(*vectors.values())) if vectors else (None, None)
         self.common = sum(counts.values()) * COMMON
         self.longest = max(map(len, counts), default=0)
         # what surrounds words on the whole, against which a word's surroundings are held
         weight = np.array([counts.get(w, 1) for w in vectors], np.float64)
-        self.middle = np.average([v for _, v in vectors.values()], axis=0, weights=weight) if vectors else None
+        self.middle = np.average(self.context, axis=0, weights=weight) if vectors else None
         self.links: dict[str, list[tuple[float, str]]] = {}
         # frequent words may be misreadings of still more frequent ones
         for w in counts:
@@ -266,13 +296,13 @@ class Reader:
         some = self.link(w)
         if not some:
             return None
-        near = [self.vectors[x][1] for x in around if x in self.vectors]
-        mean = np.mean(near, axis=0) - self.middle if near else None
+        near = [self.place[x] for x in around if x in self.place]
+        mean = np.mean(self.context[near], axis=0) - self.middle if near else None
 
         def evidence(candidate):
             by_count, v = candidate
-            u = self.vectors.get(v, self.vectors.get(v.lower())) if mean is not None else None
-            return by_count + (float(np.clip(u[0] @ mean, -1, 1)) * np.log(CONTEXT) if u is not None else 0.0)
+            k = self.place.get(v, self.place.get(v.lower())) if mean is not None else None
+            return by_count + (float(np.clip(self.own[k] @ mean, -1, 1)) * np.log(CONTEXT) if k is not None else 0.0)
 
         most, v = max(((evidence(c), c[1]) for c in some), key=lambda x: x[0])
         return v if most >= 0 else None
@@ -392,8 +422,79 @@ def _counts(pages: DataFrame) -> DataFrame:
     return pages.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _pairs(pages: DataFrame, words: list[str]) -> DataFrame:
+    """(i, j, n): how often words i and j stand near each other in all pages, both ways, in the order of i."""
+    of = pages.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+    forms, size = plain_forms(), len(words)
+
+    def run(batches):
+        rewriter, known = Rewriter(*forms), of.value
+
+        class Numbers(dict):
+            def __missing__(self, raw):
+                k = self[raw] = known.get(_plain(raw), -1)
+                return k
+
+        def out(part):
+            i, j = np.divmod(part[0], size)
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(part[1], pa.int64())], names=["i", "j", "n"])
+
+        numbers, held = Numbers(), []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                texts = [t for t in batch.column(0).slice(at, 1024).to_pylist() if t]
+                for k in rewriter.suspects(texts):
+                    texts[k] = rewriter(texts[k])
+                ids: list[int] = []
+                for t in texts:
+                    ids += [k for k in map(numbers.__getitem__, _raw(t)) if k >= 0]
+                    ids += [-1] * WINDOW
+                held.append(pairs_within(ids, size))
+                if len(numbers) > 400_000:
+                    numbers.clear()
+                if sum(len(k) for k, _ in held) > 4_000_000:
+                    held = [added(held)]
+                    if len(held[0][0]) > 2_000_000:
+                        yield out(held.pop())
+        if held:
+            yield out(added(held))
+
+    once = spread(pages.select("text")).mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j", (F.col("n") * 2).alias("n")))).otherwise(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n")))
+    return durable(once.select(F.explode(ways).alias("x")).select("x.*").repartition("i").sortWithinPartitions("i", "j"), "p3-pairs")
+
+
+def vectors_of(pages: DataFrame, words: list[str]) -> dict[str, tuple]:
+    """Skip-gram vectors of ``words`` from all pages: pairs are counted, and the matrix of pairs
+    multiplied, on the executors; to the driver come a vector for each word."""
+    if len(words) < 2:
+        return {}
+    pairs, context = _pairs(pages, words), pages.sparkSession.sparkContext
+    sums = pairs.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    often = np.ones(len(words))
+    often[sums.column("i").to_numpy()] = sums.column("n").to_numpy()
+
+    def product(q):
+        shared, columns = context.broadcast((often, q)), [f"y{k}" for k in range(q.shape[1])]
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    at, v = times(*(batch.column(k).to_numpy() for k in range(3)), *shared.value)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(x)) for x in v.T)], names=["i", *columns])
+
+        got = pairs.mapInArrow(run, ", ".join(["i int", *(f"{c} long" for c in columns)])).groupBy("i").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        out = np.zeros(q.shape)
+        out[got.column("i").to_numpy()] = np.column_stack([got.column(c).to_numpy() for c in columns]) / UNIT
+        shared.unpersist()
+        return out
+
+    own, around = factors(product, len(words), SIZE)
+    return {w: (own[k], around[k]) for k, w in enumerate(words)}
+
+
 def learn(pages: DataFrame) -> Reader:
-    """Counts of all pages' frequent words and skip-gram vectors of a sample.
+    """Counts of all pages' frequent words, and their skip-gram vectors from all pages.
 
     Only words above a share of all words, which bounds their number, come to the driver; a
     rarer word can't be what a misread word is linked to.
@@ -402,8 +503,7 @@ def learn(pages: DataFrame) -> Reader:
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(3, int(total * FREQUENT))
     kept = {r.word: r.n for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()}
-    sample = bounded_sample(pages.select("page_id", "text"), "page_id", SAMPLE, CHARS).collect()
-    return Reader(kept, least, skip_gram([words_of(r.text) for r in sample if r.text]))
+    return Reader(kept, least, vectors_of(pages, list(kept)))
 
 
 _LOCAL = "page_id long, entry_id long, page int, split boolean, misread boolean, numbered array<int>, ends array<struct<place:int,end:int,canon:string,title:boolean>>"

@@ -182,6 +182,12 @@ class Forms:
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _mixed(word: str) -> bool:
+    """Whether a word has letters of more than one script."""
+    return len({script(c) for c in word} - {""}) > 1
+
+
 class Rewriter:
     """Rewrites texts; made once per task from plain dictionaries."""
 
@@ -193,6 +199,7 @@ class Rewriter:
         for s in rewrite:
             self.automaton.add_word(s, s)
         self.automaton.make_automaton()
+        self.longest = max(map(len, rewrite), default=0)
         # what a glance at a text's code points tells: 1-3 a letter's script, 4 and up the end of a form
         self.kinds = np.zeros(0x110000, np.uint8)
         for low, high in ((0x41, 0x530), (0x1E00, 0x2000)):
@@ -213,18 +220,27 @@ class Rewriter:
         """``text`` with every form replaced by the one that stands for its class."""
         if not self.rewrite:
             return text
+        # a form lies within the characters before its end, so only these go through the automaton
+        near: list[list[int]] = []
+        for k in np.flatnonzero(self.kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] == 4).tolist():
+            begin = max(0, k + 1 - self.longest)
+            if near and begin <= near[-1][1]:
+                near[-1][1] = k + 1
+            else:
+                near.append([begin, k + 1])
         parts, at = [], 0
-        for end, s in self.automaton.iter_long(text):
-            parts += [text[at : end - len(s) + 1], self.rewrite[s]]
-            at = end + 1
+        for a, b in near:
+            for end, s in self.automaton.iter_long(text[a:b]):
+                parts += [text[at : a + end - len(s) + 1], self.rewrite[s]]
+                at = a + end + 1
         return "".join([*parts, text[at:]])
 
     def words(self, text: str) -> str:
         """``text`` with twins exchanged in words of more than one script."""
-        scripts = Counter(map(script, text))
-        if sum(k != "" for k in scripts) < 2:
+        if not any(map(_mixed, _LETTERS.findall(text))):
             return text
-        return _LETTERS.sub(lambda m: self._word(m.group(), scripts), text)
+        scripts = Counter(map(script, text))
+        return _LETTERS.sub(lambda m: self._word(m.group(), scripts) if _mixed(m.group()) else m.group(), text)
 
     def foreign(self, text: str) -> bool:
         """Whether letters of two scripts stand side by side."""

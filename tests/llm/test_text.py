@@ -188,6 +188,20 @@ def test_skip_gram_brings_words_of_like_contexts_together():
     assert p3.skip_gram([]) == {}
 
 
+def test_vectors_are_of_all_pages(spark):
+    rnd = random.Random(8)
+    ids = p2.bounded_sample(spark.range(1900).select(F.col("id").alias("page_id"), F.lit("x").alias("text")), "page_id", 1500, 2_000_000)
+    first = {r.page_id for r in ids.collect()}
+    rows = [(k, k // 9, "s", 1, f"насос качает {rnd.choice(['воду', 'пар'])}" if k in first else f"класс читает {rnd.choice(['книгу', 'тетрадь'])}") for k in range(1900)]
+    reader = p3.learn(spark.createDataFrame(rows, "page_id long, entry_id long, slug string, page int, text string"))
+    assert {"насос", "воду", "класс", "книгу", "тетрадь"} <= set(reader.place)
+    near = lambda a, b: float(reader.own[reader.place[a]] @ reader.context[reader.place[b]])
+    assert near("класс", "книгу") > 0.5 > near("класс", "воду")
+    # as from a list of the texts
+    alone = p3.skip_gram([r[4].split() for r in rows])
+    assert abs(near("класс", "книгу") - float(alone["класс"][0] @ alone["книгу"][1])) < 1e-3
+
+
 # --- look-alikes ------------------------------------------------------------------------
 
 
