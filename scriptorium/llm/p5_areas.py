@@ -16,17 +16,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import p2_encoding
-from scriptorium.llm.common import bounded_sample
-from scriptorium.session import spread
+from scriptorium.session import durable, spread
 
-#: Labelled entries, further entries (which teach what texts about no area are like; their
-#: directions stand in for labels) and characters of either, on which the models are fitted,
-#: at most.
-LABELLED, SAMPLE, CHARS = 3000, 3000, 24_000_000
+#: A term is known if it makes up so large a part of all terms of sentences and stands twice or
+#: more; so there are never more than 2.5 million of them.
+FREQUENT = 4e-7
+#: Shares are summed in parts of so many.
+UNIT = 1 << 20
 BEAM = 8
 
 _SENTENCE = re.compile(r"[.!?]\s+(?=[«“„\"(]?[^\W\d_a-zа-яёіўґєї])")
@@ -78,109 +80,84 @@ class Terms:
     #: Part of an unlabelled text that may be about another theme, before anything is known.
     OTHER = 0.12
 
-    def __init__(self, texts: list[str], prior: np.ndarray, sure: np.ndarray, rounds: int = 10):
-        """``prior`` holds, per text, what is known of its areas beforehand, and ``sure`` how
-        firmly."""
-        split = [sentences(t) for t in texts]
-        counts = Counter(w for d in split for s in d for w in set(s))
-        self.of = {w: k for k, (w, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))) if n > 1}
-        areas = prior.shape[1]
-        self.none = 0.35
-        size = max(len(self.of), 1)
-        columns = areas + 2
-        self.log = np.zeros((size, columns))
-        ids, ends, doc, kind = [], [], [], []
-        for d, own in enumerate(split):
-            for s in own:
-                known = sorted({self.of[w] for w in s if w in self.of})
-                if known:
-                    ids += known
-                    ends.append(len(ids))
-                    doc.append(d)
-                    kind.append("clmd".index(s[0][0]))
-        if not ids:
-            return
-        ids, begins, doc, kind = np.array(ids), np.array([0, *ends[:-1]]), np.array(doc), np.array(kind)
-        of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(ids))))
-        term_kind = np.zeros(size, int)
-        for w, k in self.of.items():
-            term_kind[k] = "clmd".index(w[0])
-        other = np.where(sure > sure.min(), 0.0, self.OTHER) if sure.max() > sure.min() else np.full(len(prior), self.OTHER)
-        held = np.column_stack((prior * (1 - self.none - other)[:, None], other, np.full(len(prior), self.none)))
-        mix = held.copy()
-        share = mix[doc]
-        for _ in range(rounds):
-            usual = np.array([np.bincount(kind, share[:, k], 4) for k in range(columns)]).T + 0.5
-            usual /= usual.sum(axis=1, keepdims=True)
-            table = np.array([np.bincount(ids, share[of, k], size) for k in range(columns)]).T
-            usual = usual[term_kind]
-            ratio = (table + 2.0 * usual) / (table.sum(axis=1, keepdims=True) + 2.0) / usual
-            self.log = np.log(1 - self.TRUST + self.TRUST * ratio)
-            score = np.add.reduceat(self.log[ids], begins, axis=0) + np.log(mix[doc] + 1e-4)
+    #: Rounds in which a text's shares and those of its sentences settle.
+    INNER = 2
+
+    def __init__(self, of: dict[str, int], areas: int):
+        self.of, self.none = of, 0.35
+        self.kind = np.array(["clmd".index(w[0]) for w in of] or [0])
+        self.log = np.zeros((max(len(of), 1), areas + 2))
+
+    def learn(self, table: np.ndarray, usual: np.ndarray) -> None:
+        """Weights from the shares summed over each term's sentences, and over those of each writing."""
+        usual = usual + 0.5
+        usual = (usual / usual.sum(axis=1, keepdims=True))[self.kind]
+        ratio = (table + 2.0 * usual) / (table.sum(axis=1, keepdims=True) + 2.0) / usual
+        self.log = np.log(1 - self.TRUST + self.TRUST * ratio)
+
+    def settled(self, flat, held: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """What part of each sentence is about each area, given what is known of its text."""
+        ids, begins, doc = flat
+        own, mix = np.add.reduceat(self.log[ids], begins, axis=0), held
+        for _ in range(self.INNER):
+            score = own + np.log(mix[doc] + 1e-4)
             score -= score.max(axis=1, keepdims=True)
             share = np.exp(score)
             share /= share.sum(axis=1, keepdims=True)
-            mix = np.array([np.bincount(doc, share[:, k], len(texts)) for k in range(columns)]).T + held * sure[:, None] + 0.05 * (held > 0)
+            mix = np.array([np.bincount(doc, share[:, k], len(held)) for k in range(held.shape[1])]).T + held * sure[:, None] + 0.05 * (held > 0)
             mix /= mix.sum(axis=1, keepdims=True)
-        self.none = float(np.clip(share[:, -1].mean(), 0.05, 0.9))
+        return share
 
-    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(shares, sizes): the part of each text's sentences that is about each area."""
+    def shares(self, flat, total: np.ndarray) -> np.ndarray:
+        """The part of each text's sentences that is about each area."""
         areas = self.log.shape[1] - 2
-        of, ids, ends, doc, total = self.of, [], [], [], np.zeros(len(texts))
-        for d, t in enumerate(texts):
-            own = sentences(t) if t else []
-            total[d] = sum(bool(s) for s in own)
-            for s in own:
-                known = {of[w] for w in s if w in of}
-                if known:
-                    ids += sorted(known)
-                    ends.append(len(ids))
-                    doc.append(d)
-        out = np.zeros((len(texts), areas))
-        if not ids:
-            return out, total
-        begins, doc = np.array([0, *ends[:-1]]), np.array(doc)
-        score = np.add.reduceat(self.log[np.array(ids)], begins, axis=0)
+        ids, begins, doc = flat
+        out = np.zeros((len(total), areas))
+        if not len(ids):
+            return out
+        score = np.add.reduceat(self.log[ids], begins, axis=0)
         score[:, :-1] += np.log((1 - self.none) / (areas + 1))
         score[:, -1] += np.log(self.none)
         best = score.argmax(axis=1)
         about = best < areas
         np.add.at(out, (doc[about], best[about]), 1.0)
-        return out / np.maximum(total, 1)[:, None], total
+        return out / np.maximum(total, 1)[:, None]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.3, rounds: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression, by Newton steps."""
-    w = np.zeros(x.shape[1])
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, where each sentence's begin, each sentence's text) of lists of sentences."""
+    inner = column.flatten()
+    sizes, per = (np.asarray(pc.list_value_length(x), np.int64) for x in (inner, column))
+    return inner.flatten().to_numpy(), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(column)), per)
+
+
+def _newton(sums, fits: int, size: int, decay: float, rounds: int = 25) -> np.ndarray:
+    """Weights of ridge logistic regressions, by Newton steps; ``sums`` gives for the weights of
+    each the slope and curvature over all rows."""
+    w = np.zeros((fits, size))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + decay * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + decay * np.eye(len(w))
-        step = np.linalg.solve(h, g)
+        g, h = sums(w)
+        step = np.array([np.linalg.solve(h[k] + decay * np.eye(size), g[k] + decay * w[k]) for k in range(fits)])
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def _slope(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A row's part in slope and curvature, summed: one vector."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.concatenate((x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()))
+
+
 class Chain:
     """A chain of logistic classifiers with common weights for the features of an area and
     one weight for each pair of areas, calibrated on held-out entries."""
 
-    def __init__(self, shares, sizes, source, y):
-        self.areas = y.shape[1]
-        fold = np.arange(len(y)) % 2
-        held, truth = [], []
-        for k in (0, 1):
-            if (fold == k).any() and (fold != k).any():
-                w = self._fit(shares[fold != k], sizes[fold != k], source[fold != k], y[fold != k])
-                held.append(self._rows(shares[fold == k], sizes[fold == k], source[fold == k], y[fold == k]) @ w)
-                truth.append(y[fold == k].T.ravel())
-        self.w = self._fit(shares, sizes, source, y)
-        a = np.concatenate(held) if held else np.array([-1.0, 1.0])
-        b = np.concatenate(truth) if truth else np.array([0.0, 1.0])
-        self.calibration = _logistic(np.column_stack((a, np.ones(len(a)))), b, 0.05)
+    def __init__(self, areas: int):
+        self.areas = areas
+        self.size = 14 + areas * areas
+        self.w, self.calibration = np.zeros(self.size), np.array([1.0, 0.0])
 
     def _features(self, k, shares, sizes, source):
         s = shares[:, k]
@@ -198,9 +175,6 @@ class Chain:
     def _rows(self, shares, sizes, source, y):
         return np.concatenate([self._row(k, shares, sizes, source, y) for k in range(self.areas)])
 
-    def _fit(self, shares, sizes, source, y):
-        return _logistic(self._rows(shares, sizes, source, y), y.T.ravel())
-
     def decode(self, shares, sizes, source, beam: int = BEAM) -> np.ndarray:
         """The most probable combination of areas of each text."""
         n = len(shares)
@@ -223,20 +197,22 @@ class Chain:
 class Model:
     """Everything an executor needs to assign areas."""
 
-    def __init__(self, areas, titles, texts, slugs, y, labelled, names):
-        """``y`` holds the labels of the first ``labelled`` texts; ``names`` the directions' titles."""
-        self.areas = areas
-        self.names = names
-        counts: dict = {}
-        for s, row in zip(slugs[:labelled], y):
-            counts.setdefault(s, np.zeros(len(areas)))
-            counts[s] += row / max(row.sum(), 1)
-        base = y.sum(axis=0) + 1.0
-        base /= base.sum()
+    def __init__(self, areas, titles, names, by_slug, of, entries):
+        """``names`` holds the directions' titles, ``by_slug`` (slug, subjects, entries) of the
+        labelled ones of all ``entries``. Labelled entries together weigh as much as the others."""
+        self.areas, self.names = areas, names
+        labelled = sum(n for _, _, n in by_slug)
+        self.mixed, self.weight = labelled < entries, max(1.0, entries / labelled - 1)
+        total, counts = np.zeros(len(areas)), {}
+        for slug, subjects, n in by_slug:
+            row = np.array([a in subjects for a in areas], np.float64)
+            total += n * row
+            counts[slug] = counts.get(slug, 0) + n * row / max(row.sum(), 1)
+        base = (total + 1.0) / (total + 1.0).sum()
         # a direction's title that is an area's is worth some labels
         titled = {t.strip().lower(): k for k, t in enumerate(titles) if t}
         self.source: dict = {}
-        for s in set(slugs) | set(names):
+        for s in set(counts) | set(names):
             own = counts.get(s, np.zeros(len(areas))) + base
             k = titled.get((names.get(s) or "").strip().lower())
             if k is not None:
@@ -245,45 +221,177 @@ class Model:
         self.base = base
         # an area without a label and without a direction of its name was never shown
         named = {(t or "").strip().lower() for t in names.values()}
-        self.taught = (y.sum(axis=0) > 0) | np.array([(t or "").strip().lower() in named - {""} for t in titles], bool)
-        hint = self._hints(slugs)
-        prior = hint.copy()
-        prior[:labelled] = 0.1 * hint[:labelled] + 0.9 * y / np.maximum(y.sum(axis=1, keepdims=True), 1)
-        sure = np.full(len(texts), 1.5)
-        sure[:labelled] = 6.0
-        self.terms = Terms(texts, prior, sure)
-        shares, sizes = self.terms.shares(texts[:labelled])
-        self.chain = Chain(shares, sizes, hint[:labelled], y)
-
-    def _hints(self, slugs):
+        self.taught = (total > 0) | np.array([(t or "").strip().lower() in named - {""} for t in titles], bool)
+        self.terms, self.chain = Terms(of, len(areas)), Chain(len(areas))
+
+    def hints(self, slugs):
         return np.array([self.source.get(s, self.base) for s in slugs]).reshape(len(slugs), len(self.areas))
 
-    def __call__(self, texts: list, slugs: list) -> np.ndarray:
-        shares, sizes = self.terms.shares(texts)
+    def labels(self, subjects: list) -> np.ndarray:
+        return np.array([[a in (own or ()) for a in self.areas] for own in subjects], np.float64).reshape(len(subjects), len(self.areas))
+
+    def beforehand(self, slugs, subjects) -> tuple[np.ndarray, np.ndarray]:
+        """(held, sure): what is known of each text's areas beforehand, and how firmly."""
+        y, prior = self.labels(subjects), self.hints(slugs)
+        known = np.array([own is not None for own in subjects], bool)
+        prior = np.where(known[:, None], 0.1 * prior + 0.9 * y / np.maximum(y.sum(axis=1, keepdims=True), 1), prior)
+        other = np.where(known & self.mixed, 0.0, Terms.OTHER)
+        none = self.terms.none
+        return np.column_stack((prior * (1 - none - other)[:, None], other, np.full(len(prior), none))), np.where(known, 6.0, 1.5)
+
+    def __call__(self, flat, total, slugs: list) -> np.ndarray:
+        shares = self.terms.shares(flat, total)
         # an area none of the sentences is about can't be a fifth of them
-        return self.chain.decode(shares, sizes, self._hints(slugs)) & (shares > 0) & self.taught
+        return self.chain.decode(shares, total, self.hints(slugs)) & (shares > 0) & self.taught
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, directions: DataFrame, repairer=None) -> Model | None:
-    """A model from at most ``LABELLED`` labelled and ``SAMPLE`` further entries, of at most
-    ``CHARS`` characters each, both chosen by a hash of their id. Subjects and directions are small fixed tables. None without labels."""
+def _split(documents: DataFrame, garbled) -> DataFrame:
+    """(entry_id, slug, said): the distinct terms of each sentence, of the restored text."""
+
+    def run(batches):
+        repairer = p2_encoding.Repairer(garbled.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                texts = [t if t.isascii() else repairer.restore(t)[0] for t in some.column(2).to_pylist()]
+                said = [[" ".join(sorted(set(s))) for s in sentences(t) if s] for t in texts]
+                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(said, pa.list_(pa.string()))], names=["entry_id", "slug", "said"])
+
+    own = spread(documents.select("entry_id", "slug", "text").filter(F.length("text") > 0))
+    return durable(own.mapInArrow(run, "entry_id long, slug string, said array<string>").dropDuplicates(["entry_id"]), "p5-said")
+
+
+def _vocabulary(said: DataFrame) -> dict[str, int]:
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for s in batch.column(0).flatten().to_pylist():
+                counts.update(s.split(" "))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+
+    counts = durable(said.select("said").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "p5-terms")
+    least = max(2, int((counts.agg(F.sum("n")).first()[0] or 0) * FREQUENT))
+    return {r.w: k for k, r in enumerate(counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").collect())}
+
+
+def _numbered(said: DataFrame, known: DataFrame, of: dict[str, int]) -> DataFrame:
+    """(entry_id, slug, subjects, total, ids): known terms as numbers; sentences without one only count."""
+    shared = said.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches):
+        get = shared.value.get
+        for batch in batches:
+            out = []
+            for said in batch.column(3).to_pylist():
+                out.append([ids for s in said if (ids := [k for w in s.split(" ") if (k := get(w)) is not None])])
+            total = [len(x) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total, pa.int32()), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["entry_id", "slug", "subjects", "total", "ids"])
+
+    own = said.join(known, "entry_id", "left").select("entry_id", "slug", "subjects", "said")
+    return durable(own.mapInArrow(run, "entry_id long, slug string, subjects array<string>, total int, ids array<array<int>>"), "p5-ids")
+
+
+def _learn_terms(rows: DataFrame, model: Model, rounds: int = 10) -> None:
+    """Fits the sentence model to all entries by EM. Executors sum shares, as whole numbers; a row
+    for each term comes to the driver."""
+    context, terms = rows.sparkSession.sparkContext, model.terms
+    size, columns = terms.log.shape
+    names = [f"y{k}" for k in range(columns)]
+    for step in range(rounds + 1):
+        shared = context.broadcast((model, step))
+
+        def run(batches, shared=shared):
+            model, step = shared.value
+            out = np.zeros((size + 4, columns))
+            for batch in batches:
+                flat = ids, begins, doc = _flat(batch.column(4))
+                if not len(ids):
+                    continue
+                held, sure = model.beforehand(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                weight = np.where(sure > 2, model.weight, 1.0)[doc][:, None]
+                share = np.rint((model.terms.settled(flat, held, sure) if step else held[doc]) * weight * UNIT)
+                of, kind = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(ids)))), size + model.terms.kind[ids[begins]]
+                for k in range(columns):
+                    out[:size, k] += np.bincount(ids, share[of, k], size)
+                    out[:, k] += np.bincount(kind, share[:, k], size + 4)
+            at = np.flatnonzero(out.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(out[at, k].astype(np.int64)) for k in range(columns))], names=["at", *names])
+
+        got = rows.mapInArrow(run, ", ".join(["at int", *(f"{c} long" for c in names)])).groupBy("at").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+        sums = np.zeros((size + 4, columns))
+        sums[got.column("at").to_numpy()] = np.column_stack([got.column(c).to_numpy() for c in names]) / UNIT
+        if step < rounds:
+            terms.learn(sums[:size], sums[size:])
+        elif sums[size:].sum():
+            terms.none = float(np.clip(sums[size:, -1].sum() / sums[size:].sum(), 0.05, 0.9))
+        shared.unpersist()
+
+
+def _learn_chain(rows: DataFrame, model: Model) -> None:
+    """Fits the chain to all labelled entries, and its calibration to halves it was not fitted to."""
+    context, chain = rows.sparkSession.sparkContext, model.chain
+    shared = context.broadcast(model)
+
+    def features(batches):
+        own = shared.value
+        for batch in batches:
+            total = batch.column(3).to_numpy()
+            shares = own.terms.shares(_flat(batch.column(4)), total)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(shares), pa.list_(pa.float64()))], names=["entry_id", "slug", "subjects", "total", "shares"])
+
+    labelled = rows.filter("subjects is not null")
+    half = F.pmod(F.xxhash64("entry_id"), F.lit(2)).alias("half")
+    labelled = durable(labelled.mapInArrow(features, "entry_id long, slug string, subjects array<string>, total int, shares array<double>").select("*", half), "p5-labelled")
+
+    def summed(fits, size, parts, w):
+        """Sums over all rows of what ``parts`` gives for (features, labels, halves)."""
+        held = context.broadcast(w)
+
+        def run(batches):
+            own, out = shared.value, np.zeros((fits, size + size * size))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                y = own.labels(batch.column(2).to_pylist())
+                x = own.chain._rows(np.array(batch.column(4).to_pylist()), batch.column(3).to_numpy(), own.hints(batch.column(1).to_pylist()), y)
+                out += parts(x, y.T.ravel(), np.tile(batch.column(5).to_numpy(), len(own.areas)), held.value)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "v"])
+
+        got = labelled.mapInArrow(run, "part int, v binary").orderBy("part").collect()
+        out = sum(np.frombuffer(r.v).reshape(fits, -1) for r in got)
+        return out[:, :size], out[:, size:].reshape(fits, size, size)
+
+    def fitted(x, y, half, w):
+        return np.array([_slope(x[half != k], y[half != k], w[k]) for k in (0, 1, 2)])
+
+    w = _newton(lambda w: summed(3, chain.size, fitted, w), 3, chain.size, 0.3)
+
+    def calibrated(x, y, half, c):
+        z = np.where(half == 0, x @ w[0], x @ w[1])
+        return np.array([_slope(np.column_stack((z, np.ones(len(z)))), y, c[0])])
+
+    chain.w = w[2]
+    chain.calibration = _newton(lambda c: summed(1, 2, calibrated, c), 1, 2, 0.05)[0]
+
+
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, directions: DataFrame, garbled) -> tuple[Model, DataFrame] | None:
+    """A model from all entries and all their labels, and the entries' terms as numbers. Subjects
+    and directions are small fixed tables. None without labels."""
     rows = subjects.select("subject", "title").filter("subject is not null").dropDuplicates(["subject"]).orderBy("subject").collect()
     areas, titles = [r.subject for r in rows], [r.title for r in rows]
     names = {r.slug: r.title for r in directions.select("slug", "title").collect()}
-    known = labels.filter(F.col("subject").isin(areas)).groupBy("entry_id").agg(F.collect_set("subject").alias("subjects"))
-    known = known.orderBy(F.xxhash64("entry_id"), "entry_id").limit(LABELLED)
-    own = documents.select("entry_id", "slug", "text").filter(F.length("text") > 0)
-    # the labelled ids are bounded by LABELLED, so they are sent to the texts
-    first = bounded_sample(own.join(F.broadcast(known), "entry_id").dropDuplicates(["entry_id"]), "entry_id", LABELLED, CHARS).orderBy("entry_id").collect()
-    if not areas or not first:
+    known = labels.filter(F.col("subject").isin(areas)).groupBy("entry_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    said = _split(documents, garbled)
+    of = _vocabulary(said)
+    entries = _numbered(said, known, of)
+    by_slug = entries.groupBy("slug", "subjects").agg(F.count("*").alias("n")).orderBy("slug", "subjects").collect()
+    labelled = [(r.slug, r.subjects, r.n) for r in by_slug if r.subjects is not None]
+    if not areas or not labelled:
         return None
-    seen = {r.entry_id for r in first}
-    rest = [r for r in bounded_sample(own, "entry_id", SAMPLE, CHARS).collect() if r.entry_id not in seen]
-    texts = [r.text for r in (*first, *rest)]
-    if repairer:
-        texts = [t if t.isascii() else repairer.restore(t)[0] for t in texts]
-    y = np.array([[a in r.subjects for a in areas] for r in first], np.float64)
-    return Model(areas, titles, texts, [r.slug for r in (*first, *rest)], y, len(first), names)
+    model = Model(areas, titles, names, labelled, of, sum(r.n for r in by_slug))
+    _learn_terms(entries, model)
+    _learn_chain(entries, model)
+    return model, entries
 
 
 def assigned(documents: DataFrame, labels: DataFrame, subjects: DataFrame, directions: DataFrame) -> DataFrame:
@@ -296,23 +404,19 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: DataFrame, direc
     labels there are no rows. Further columns are ignored.
     """
     spark: SparkSession = documents.sparkSession
-    garbled = p2_encoding.train(documents)
-    model = train(documents, labels, subjects, directions, p2_encoding.Repairer(garbled))
-    if model is None:
+    got = train(documents, labels, subjects, directions, p2_encoding.shared(spark, p2_encoding.train(documents)))
+    if got is None:
         return spark.createDataFrame([], "entry_id long, subject string")
-    shared = spark.sparkContext.broadcast((model, garbled))
+    shared, entries = spark.sparkContext.broadcast(got[0]), got[1]
 
     def run(batches):
-        areas, repairer = shared.value[0], p2_encoding.Repairer(shared.value[1])
+        model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                texts = [t if not t or t.isascii() else repairer.restore(t)[0] for t in some.column(2).to_pylist()]
-                hit = areas(texts, some.column(1).to_pylist())
-                row, k = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), pa.array([areas.areas[i] for i in k], pa.string())], names=["entry_id", "subject"])
+            hit = model(_flat(batch.column(4)), batch.column(3).to_numpy(), batch.column(1).to_pylist())
+            row, k = np.nonzero(hit)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([model.areas[i] for i in k], pa.string())], names=["entry_id", "subject"])
 
-    return spread(documents.select("entry_id", "slug", "text")).mapInArrow(run, "entry_id long, subject string").distinct()
+    return entries.mapInArrow(run, "entry_id long, subject string")
 
 
 def composition(documents: DataFrame, labels: DataFrame, subjects: DataFrame, directions: DataFrame) -> DataFrame:

@@ -298,6 +298,17 @@ def test_areas_without_labels(subjects):
     assert p5.assigned(docs.limit(0), labels, areas, directions).count() == 0
 
 
+def test_all_entries_teach_areas(spark, subjects):
+    _, _, areas, directions, _ = subjects
+    plain = spark.range(3300).select(F.col("id").alias("entry_id"), F.lit("x").alias("text"))
+    first = {r.entry_id for r in p2.bounded_sample(plain, "entry_id", 3000, 24_000_000).collect()}
+    rows = [(k, "misc", "Ремонт трансформатора назначает комиссия." if k in first else "Промывка мембраны назначает комиссия.") for k in range(3300)]
+    docs = spark.createDataFrame(rows, "entry_id long, slug string, text string")
+    labels = spark.createDataFrame([(k, "power" if k in first else "water") for k in range(3300)], "entry_id long, subject string")
+    got = p5.assigned(docs, labels, areas, directions).groupBy("subject").count().collect()
+    assert {r.subject: r["count"] for r in got} == {"power": 3000, "water": 300}
+
+
 # --- cut texts --------------------------------------------------------------------------
 
 DOCUMENT = "doc_id long, source string, text string, score string, cut int, same string"
