@@ -305,8 +305,9 @@ def test_all_entries_teach_areas(spark, subjects):
     rows = [(k, "misc", "Ремонт трансформатора назначает комиссия." if k in first else "Промывка мембраны назначает комиссия.") for k in range(3300)]
     docs = spark.createDataFrame(rows, "entry_id long, slug string, text string")
     labels = spark.createDataFrame([(k, "power" if k in first else "water") for k in range(3300)], "entry_id long, subject string")
-    got = p5.assigned(docs, labels, areas, directions).groupBy("subject").count().collect()
-    assert {r.subject: r["count"] for r in got} == {"power": 3000, "water": 300}
+    model, entries = p5.train(docs, labels, areas, directions, p2.shared(spark, p2.train(docs.limit(50))))
+    water = model.terms.log[[model.terms.of["cпромыв"], model.terms.of["cмембра"]], model.areas.index("water")]
+    assert entries.count() == 3300 and (water > 0.5).all(), water
 
 
 # --- cut texts --------------------------------------------------------------------------
