@@ -11,12 +11,10 @@ decoded by beam search.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +27,17 @@ from scriptorium.session import durable, spread
 FREQUENT = 4e-7
 #: Shares are summed in parts of so many.
 UNIT = 1 << 20
+#: Texts are split together up to so many characters.
+CHARS = 1 << 20
+#: Labelled entries of a task.
+TASK = 20_000
 BEAM = 8
 
 _SENTENCE = re.compile(r"[.!?]\s+(?=[«“„\"(]?[^\W\d_a-zа-яёіўґєї])")
-_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐¬\xad][ \t\r]*\n[ \t]*(?=[^\W\d_])")
+_HYPHEN = re.compile(r"[-‐¬\xad](?<=[^\W\d_].)[ \t\r]*\n[ \t]*(?=[^\W\d_])")
 _AT_LINE_END = re.compile(r"[-‐¬\xad][ \t\r]*\n")
-_TERM = re.compile(r"[^\W\d_]{4,}")
+#: Letters of a word that is a term, at least, and letters of it that count.
+LEAST, MOST = 4, 6
 
 
 @lru_cache(maxsize=1)
@@ -61,13 +64,57 @@ def writing(text: str) -> str:
     return "d" if more * 100 > other else "c"
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Terms of each sentence: beginnings of its words in lower case, marked with what the
-    text is written in, so that common words of one language stay common."""
-    kind = writing(text)
-    if _AT_LINE_END.search(text):
-        text = _HYPHEN.sub("", text)
-    return [[kind + w[:6] for w in _TERM.findall(s.lower())] for s in _SENTENCE.split(text)]
+@lru_cache(maxsize=1)
+def _in_terms() -> np.ndarray:
+    """For each code point whether it can stand in a term: letters and numbers that aren't digits."""
+    return np.array([chr(k).isalnum() and not chr(k).isdecimal() for k in range(0x32400)] + [False])
+
+
+def said(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, spots, terms, sizes, per): the distinct terms of each sentence that has any, how many
+    those are, and each text's number of such sentences.
+
+    Terms are beginnings of words in lower case, marked with what the text is written in, so that
+    common words of one language stay common. They are given as 64-bit hashes; ``spots`` has, for
+    each distinct one, (hash, writing, where it begins and ends in ``words``).
+    """
+    parts, counts, kinds = [], [], []
+    for text in texts:
+        kinds.append("clmd".index(writing(text)))
+        if _AT_LINE_END.search(text):
+            text = _HYPHEN.sub("", text)
+        own = _SENTENCE.split(text)
+        parts += own
+        counts.append(len(own))
+    parts = [s.lower() for s in parts]
+    words = " ".join(parts) + " "
+    codes = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.zeros(len(codes) + 2, np.int8)
+    letter[1:-1] = _in_terms()[np.minimum(codes, 0x32400)]
+    edge = np.diff(letter)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    keep = end - begin >= LEAST
+    begin, end = begin[keep], np.minimum(end[keep], begin[keep] + MOST)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    sentence = np.searchsorted(np.cumsum(sizes), begin, side="right")
+    text_of = np.repeat(np.arange(len(texts)), counts)
+    kind = np.array(kinds, np.int64)[text_of[sentence]]
+    term = kind.astype(np.uint64) << np.uint64(32)
+    padded = np.append(codes, np.zeros(MOST, np.uint32)).astype(np.uint64)
+    for k in range(MOST):
+        term ^= np.where(begin + k < end, padded[begin + k], np.uint64(0))
+        term *= np.uint64(0x9E3779B97F4A7C15)
+        term ^= term >> np.uint64(32)
+    order = np.argsort(term)
+    new = np.append(True, np.diff(term[order]) != 0)[: len(term)]
+    first = order[new]
+    distinct, at = term[first].view(np.int64), np.empty(len(term), np.int64)
+    at[order] = np.cumsum(new) - 1
+    both = np.unique(sentence * max(len(distinct), 1) + at)
+    sentence, at = np.divmod(both, max(len(distinct), 1))
+    sizes = np.bincount(sentence, minlength=len(parts))
+    spots = np.column_stack((distinct, kind[first], begin[first], end[first]))
+    return words, spots, distinct[at], sizes[sizes > 0], np.bincount(text_of[sizes > 0], minlength=len(texts))
 
 
 class Terms:
@@ -95,40 +142,74 @@ class Terms:
         ratio = (table + 2.0 * usual) / (table.sum(axis=1, keepdims=True) + 2.0) / usual
         self.log = np.log(1 - self.TRUST + self.TRUST * ratio)
 
-    def settled(self, flat, held: np.ndarray, sure: np.ndarray) -> np.ndarray:
-        """What part of each sentence is about each area, given what is known of its text."""
+    def evidence(self, flat) -> np.ndarray:
+        """What the terms of each sentence say for each area: a row for each area."""
+        ids, begins, _ = flat
+        columns = self.log.shape[1]
+        # two columns are fetched and summed at once, as parts of a complex number
+        pairs = np.zeros((len(self.log), columns + columns % 2))
+        pairs[:, :columns] = self.log
+        own = np.array([np.add.reduceat(c.take(ids, mode="clip"), begins) for c in np.ascontiguousarray(pairs.view(np.complex128).T)])
+        return np.stack((own.real, own.imag), axis=1).reshape(-1, len(begins))[:columns]
+
+    def settled(self, flat, held: np.ndarray, sure: np.ndarray, some: int = 512) -> np.ndarray:
+        """What part of each sentence is about each area, given what is known of its text: a row for
+        each area. Goes by ``some`` texts, whose numbers stay in a core's memory."""
         ids, begins, doc = flat
-        own, mix = np.add.reduceat(self.log[ids], begins, axis=0), held
+        out, ends = np.empty((held.shape[1], len(begins))), np.append(begins, len(ids))
+        for at in range(0, len(held), some):
+            a, b = np.searchsorted(doc, (at, at + some))
+            if a < b:
+                own = ids[ends[a] : ends[b]], begins[a:b] - ends[a], doc[a:b] - at
+                out[:, a:b] = self._settled(own, held[at : at + some], sure[at : at + some])
+        return out
+
+    def _settled(self, flat, held, sure):
+        doc, own, held = flat[2], self.evidence(flat), np.ascontiguousarray(held.T)
+        mix = held
         for _ in range(self.INNER):
-            score = own + np.log(mix[doc] + 1e-4)
-            score -= score.max(axis=1, keepdims=True)
-            share = np.exp(score)
-            share /= share.sum(axis=1, keepdims=True)
-            mix = np.array([np.bincount(doc, share[:, k], len(held)) for k in range(held.shape[1])]).T + held * sure[:, None] + 0.05 * (held > 0)
-            mix /= mix.sum(axis=1, keepdims=True)
+            share = own + np.log(mix + 1e-4).take(doc, axis=1)
+            share -= share.max(axis=0)
+            np.exp(share, out=share)
+            share /= share.sum(axis=0)
+            mix = np.array([np.bincount(doc, row, held.shape[1]) for row in share]) + held * sure + 0.05 * (held > 0)
+            mix /= mix.sum(axis=0)
         return share
 
     def shares(self, flat, total: np.ndarray) -> np.ndarray:
         """The part of each text's sentences that is about each area."""
         areas = self.log.shape[1] - 2
-        ids, begins, doc = flat
+        ids, _, doc = flat
         out = np.zeros((len(total), areas))
         if not len(ids):
             return out
-        score = np.add.reduceat(self.log[ids], begins, axis=0)
-        score[:, :-1] += np.log((1 - self.none) / (areas + 1))
-        score[:, -1] += np.log(self.none)
-        best = score.argmax(axis=1)
+        score = self.evidence(flat)
+        score[:-1] += np.log((1 - self.none) / (areas + 1))
+        score[-1] += np.log(self.none)
+        best = score.argmax(axis=0)
         about = best < areas
         np.add.at(out, (doc[about], best[about]), 1.0)
         return out / np.maximum(total, 1)[:, None]
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, where each sentence's begin, each sentence's text) of lists of sentences."""
-    inner = column.flatten()
-    sizes, per = (np.asarray(pc.list_value_length(x), np.int64) for x in (inner, column))
-    return inner.flatten().to_numpy(), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(column)), per)
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all rows, how many each row has) of bytes that hold numbers."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    own = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind) if len(column) else np.zeros(0, kind)
+    return own, np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _bytes(numbers: np.ndarray, per: np.ndarray) -> pa.Array:
+    """A row of bytes for each of ``per``, which tells how many of the numbers it has."""
+    offsets = np.append(0, np.cumsum(per * numbers.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _flat(sizes: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, where each sentence's begin, each sentence's text) of entries' sentences."""
+    sizes, per = _numbers(sizes, np.int32)
+    return _numbers(ids, np.int32)[0].astype(np.intp), np.cumsum(sizes, dtype=np.intp) - sizes, np.repeat(np.arange(len(per)), per)
 
 
 def _newton(sums, fits: int, size: int, decay: float, rounds: int = 25) -> np.ndarray:
@@ -145,18 +226,21 @@ def _newton(sums, fits: int, size: int, decay: float, rounds: int = 25) -> np.nd
 
 
 def _slope(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A row's part in slope and curvature, summed: one vector."""
+    """All rows' part in slope, in the first row, and curvature, in the others."""
     p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return np.concatenate((x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()))
+    return np.vstack((x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x))
 
 
 class Chain:
     """A chain of logistic classifiers with common weights for the features of an area and
     one weight for each pair of areas, calibrated on held-out entries."""
 
+    #: Features with common weights.
+    COMMON = 14
+
     def __init__(self, areas: int):
         self.areas = areas
-        self.size = 14 + areas * areas
+        self.size = self.COMMON + areas * areas
         self.w, self.calibration = np.zeros(self.size), np.array([1.0, 0.0])
 
     def _features(self, k, shares, sizes, source):
@@ -167,13 +251,10 @@ class Chain:
         counts = [np.minimum(n, 1), np.clip(n - 1, 0, 1), np.clip(n - 2, 0, 2)]
         return np.column_stack((np.ones(len(s)), *bends, *counts, source[:, k], (rank == 0) & (s > 0), (rank == 1) & (s > 0)))
 
-    def _row(self, k, shares, sizes, source, before):
-        pairs = np.zeros((len(shares), self.areas * self.areas))
-        pairs[:, k * self.areas : k * self.areas + k] = before[:, :k]
-        return np.column_stack((self._features(k, shares, sizes, source), pairs))
-
-    def _rows(self, shares, sizes, source, y):
-        return np.concatenate([self._row(k, shares, sizes, source, y) for k in range(self.areas)])
+    def rows(self, k, shares, sizes, source, before):
+        """(features of area ``k``, which of all weights are theirs)."""
+        first = self.COMMON + k * self.areas
+        return np.column_stack((self._features(k, shares, sizes, source), before[:, :k])), np.r_[: self.COMMON, first : first + k]
 
     def decode(self, shares, sizes, source, beam: int = BEAM) -> np.ndarray:
         """The most probable combination of areas of each text."""
@@ -201,7 +282,7 @@ class Model:
         """``names`` holds the directions' titles, ``by_slug`` (slug, subjects, entries) of the
         labelled ones of all ``entries``. Labelled entries together weigh as much as the others."""
         self.areas, self.names = areas, names
-        labelled = sum(n for _, _, n in by_slug)
+        self.labelled = labelled = sum(n for _, _, n in by_slug)
         self.mixed, self.weight = labelled < entries, max(1.0, entries / labelled - 1)
         total, counts = np.zeros(len(areas)), {}
         for slug, subjects, n in by_slug:
@@ -230,11 +311,12 @@ class Model:
     def labels(self, subjects: list) -> np.ndarray:
         return np.array([[a in (own or ()) for a in self.areas] for own in subjects], np.float64).reshape(len(subjects), len(self.areas))
 
-    def beforehand(self, slugs, subjects) -> tuple[np.ndarray, np.ndarray]:
+    def beforehand(self, slugs: pa.Array, subjects: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(held, sure): what is known of each text's areas beforehand, and how firmly."""
-        y, prior = self.labels(subjects), self.hints(slugs)
-        known = np.array([own is not None for own in subjects], bool)
-        prior = np.where(known[:, None], 0.1 * prior + 0.9 * y / np.maximum(y.sum(axis=1, keepdims=True), 1), prior)
+        slugs = slugs.dictionary_encode(null_encoding="encode")
+        prior, known = self.hints(slugs.dictionary.to_pylist())[slugs.indices.to_numpy()], subjects.is_valid()
+        y, known = self.labels(subjects.filter(known).to_pylist()), known.to_numpy(zero_copy_only=False)
+        prior[known] = 0.1 * prior[known] + 0.9 * y / np.maximum(y.sum(axis=1, keepdims=True), 1)
         other = np.where(known & self.mixed, 0.0, Terms.OTHER)
         none = self.terms.none
         return np.column_stack((prior * (1 - none - other)[:, None], other, np.full(len(prior), none))), np.where(known, 6.0, 1.5)
@@ -246,49 +328,66 @@ class Model:
 
 
 def _split(documents: DataFrame, garbled) -> DataFrame:
-    """(entry_id, slug, said): the distinct terms of each sentence, of the restored text."""
+    """(entry_id, slug, word, sizes, terms): for each entry what ``said`` gives of its restored
+    text, as bytes; and for each term a row of its hash, as entry_id, and its word."""
 
     def run(batches):
-        repairer = p2_encoding.Repairer(garbled.value)
+        repairer, heard = p2_encoding.Repairer(garbled.value), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                texts = [t if t.isascii() else repairer.restore(t)[0] for t in some.column(2).to_pylist()]
-                said = [[" ".join(sorted(set(s))) for s in sentences(t) if s] for t in texts]
-                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(said, pa.list_(pa.string()))], names=["entry_id", "slug", "said"])
+            texts = batch.column(2).to_pylist()
+            upto = np.cumsum([len(t) for t in texts]) // CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+            for at, to in zip(cuts, cuts[1:]):
+                words, spots, terms, sizes, per = said(repairer.restored(texts[at:to]))
+                held = np.bincount(np.repeat(np.arange(to - at), per), sizes, to - at).astype(np.int64)
+                some = batch.slice(at, to - at)
+                yield rows(some.column(0), some.column(1), pa.nulls(to - at, pa.string()), _bytes(sizes.astype(np.int32), per), _bytes(terms, held))
+                new = {h: "clmd"[k] + words[a:b] for h, k, a, b in spots.tolist() if h not in heard}
+                heard.update(new)
+                none = pa.nulls(len(new), pa.binary())
+                yield rows(pa.array(list(new), pa.int64()), pa.nulls(len(new), pa.string()), pa.array(list(new.values()), pa.string()), none, none)
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays(list(columns), names=["entry_id", "slug", "word", "sizes", "terms"])
 
     own = spread(documents.select("entry_id", "slug", "text").filter(F.length("text") > 0))
-    return durable(own.mapInArrow(run, "entry_id long, slug string, said array<string>").dropDuplicates(["entry_id"]), "p5-said")
+    return durable(own.mapInArrow(run, "entry_id long, slug string, word string, sizes binary, terms binary").dropDuplicates(["entry_id", "word"]), "p5-said")
 
 
-def _vocabulary(said: DataFrame) -> dict[str, int]:
+def _vocabulary(told: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """(words, hashes) of the known terms, in the order of their numbers."""
+
     def run(batches):
         for batch in batches:
-            counts: Counter = Counter()
-            for s in batch.column(0).flatten().to_pylist():
-                counts.update(s.split(" "))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+            term, n = np.unique(_numbers(batch.column(0), np.int64)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    counts = durable(said.select("said").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "p5-terms")
+    counts = durable(told.filter("word is null").select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "p5-terms")
     least = max(2, int((counts.agg(F.sum("n")).first()[0] or 0) * FREQUENT))
-    return {r.w: k for k, r in enumerate(counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "w").collect())}
+    words = told.filter("word is not null").groupBy(F.col("entry_id").alias("term")).agg(F.min("word").alias("w"))
+    got = counts.filter(F.col("n") >= least).join(words, "term").orderBy(F.desc("n"), "w").collect()
+    return {r.w: k for k, r in enumerate(got)}, np.array([r.term for r in got], np.int64)
 
 
-def _numbered(said: DataFrame, known: DataFrame, of: dict[str, int]) -> DataFrame:
-    """(entry_id, slug, subjects, total, ids): known terms as numbers; sentences without one only count."""
-    shared = said.sparkSession.sparkContext.broadcast(of)
+def _numbered(told: DataFrame, known: DataFrame, terms: np.ndarray) -> DataFrame:
+    """(entry_id, slug, subjects, total, sizes, ids): known terms as numbers; sentences without one only count."""
+    order = np.argsort(terms)
+    shared = told.sparkSession.sparkContext.broadcast((np.append(terms[order], 0), np.append(order, 0).astype(np.int32)))
 
     def run(batches):
-        get = shared.value.get
+        terms, numbers = shared.value
         for batch in batches:
-            out = []
-            for said in batch.column(3).to_pylist():
-                out.append([ids for s in said if (ids := [k for w in s.split(" ") if (k := get(w)) is not None])])
-            total = [len(x) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total, pa.int32()), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["entry_id", "slug", "subjects", "total", "ids"])
+            sizes, total = _numbers(batch.column(3), np.int32)
+            own, _ = _numbers(batch.column(4), np.int64)
+            at = np.searchsorted(terms[:-1], own)
+            keep = (terms[at] == own) & (at < len(terms) - 1)
+            left = np.diff(np.append(0, np.append(0, np.cumsum(keep))[np.cumsum(sizes)]))
+            doc = np.repeat(np.arange(len(total)), total)
+            per, held = np.bincount(doc[left > 0], minlength=len(total)), np.bincount(doc, left, len(total)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(total.astype(np.int32)), _bytes(left[left > 0].astype(np.int32), per), _bytes(numbers[at[keep]], held)], names=["entry_id", "slug", "subjects", "total", "sizes", "ids"])
 
-    own = said.join(known, "entry_id", "left").select("entry_id", "slug", "subjects", "said")
-    return durable(own.mapInArrow(run, "entry_id long, slug string, subjects array<string>, total int, ids array<array<int>>"), "p5-ids")
+    own = told.filter("word is null").join(known, "entry_id", "left").select("entry_id", "slug", "subjects", "sizes", "terms")
+    return durable(own.mapInArrow(run, "entry_id long, slug string, subjects array<string>, total int, sizes binary, ids binary"), "p5-ids")
 
 
 def _learn_terms(rows: DataFrame, model: Model, rounds: int = 10) -> None:
@@ -302,22 +401,22 @@ def _learn_terms(rows: DataFrame, model: Model, rounds: int = 10) -> None:
 
         def run(batches, shared=shared):
             model, step = shared.value
-            out = np.zeros((size + 4, columns))
+            out = np.zeros((columns, size + 4))
             for batch in batches:
-                flat = ids, begins, doc = _flat(batch.column(4))
+                flat = ids, begins, doc = _flat(batch.column(2), batch.column(3))
                 if not len(ids):
                     continue
-                held, sure = model.beforehand(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                weight = np.where(sure > 2, model.weight, 1.0)[doc][:, None]
-                share = np.rint((model.terms.settled(flat, held, sure) if step else held[doc]) * weight * UNIT)
-                of, kind = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(ids)))), size + model.terms.kind[ids[begins]]
+                held, sure = model.beforehand(batch.column(0), batch.column(1))
+                weight = np.where(sure > 2, model.weight, 1.0)[doc] * UNIT
+                share = np.rint((model.terms.settled(flat, held, sure) if step else held.T.take(doc, axis=1)) * weight)
+                sizes, kind = np.diff(np.append(begins, len(ids))), model.terms.kind[ids[begins]]
                 for k in range(columns):
-                    out[:size, k] += np.bincount(ids, share[of, k], size)
-                    out[:, k] += np.bincount(kind, share[:, k], size + 4)
-            at = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(out[at, k].astype(np.int64)) for k in range(columns))], names=["at", *names])
+                    out[k, :size] += np.bincount(ids, np.repeat(share[k], sizes), size)
+                    out[k, size:] += np.bincount(kind, share[k], 4)
+            at = np.flatnonzero(out.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(row[at].astype(np.int64)) for row in out)], names=["at", *names])
 
-        got = rows.mapInArrow(run, ", ".join(["at int", *(f"{c} long" for c in names)])).groupBy("at").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+        got = rows.select("slug", "subjects", "sizes", "ids").mapInArrow(run, ", ".join(["at int", *(f"{c} long" for c in names)])).groupBy("at").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
         sums = np.zeros((size + 4, columns))
         sums[got.column("at").to_numpy()] = np.column_stack([got.column(c).to_numpy() for c in names]) / UNIT
         if step < rounds:
@@ -332,43 +431,47 @@ def _learn_chain(rows: DataFrame, model: Model) -> None:
     context, chain = rows.sparkSession.sparkContext, model.chain
     shared = context.broadcast(model)
 
+    areas = chain.areas
+
     def features(batches):
         own = shared.value
         for batch in batches:
-            total = batch.column(3).to_numpy()
-            shares = own.terms.shares(_flat(batch.column(4)), total)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(shares), pa.list_(pa.float64()))], names=["entry_id", "slug", "subjects", "total", "shares"])
+            total, slugs, subjects = batch.column(3).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            told = np.column_stack((own.terms.shares(_flat(batch.column(4), batch.column(5)), total), own.hints(slugs), own.labels(subjects), total))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _bytes(told.ravel(), np.full(len(told), told.shape[1]))], names=["entry_id", "told"])
 
     labelled = rows.filter("subjects is not null")
     half = F.pmod(F.xxhash64("entry_id"), F.lit(2)).alias("half")
-    labelled = durable(labelled.mapInArrow(features, "entry_id long, slug string, subjects array<string>, total int, shares array<double>").select("*", half), "p5-labelled")
+    labelled = durable(labelled.mapInArrow(features, "entry_id long, told binary").select("told", half), "p5-labelled")
+    # a step is a job of its own: not more tasks than there is work for
+    labelled = labelled.coalesce(1 + model.labelled // TASK)
 
     def summed(fits, size, parts, w):
-        """Sums over all rows of what ``parts`` gives for (features, labels, halves)."""
+        """Sums over all rows and areas of what ``parts`` adds for (features, labels, halves)."""
         held = context.broadcast(w)
 
         def run(batches):
-            own, out = shared.value, np.zeros((fits, size + size * size))
+            own, out = shared.value, np.zeros((fits, size + 1, size))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                y = own.labels(batch.column(2).to_pylist())
-                x = own.chain._rows(np.array(batch.column(4).to_pylist()), batch.column(3).to_numpy(), own.hints(batch.column(1).to_pylist()), y)
-                out += parts(x, y.T.ravel(), np.tile(batch.column(5).to_numpy(), len(own.areas)), held.value)
+                told = _numbers(batch.column(0), np.float64)[0].reshape(-1, 3 * areas + 1)
+                shares, source, y, total = *np.hsplit(told[:, :-1], 3), told[:, -1]
+                for k in range(areas):
+                    parts(out, *own.chain.rows(k, shares, total, source, y), y[:, k], batch.column(1).to_numpy(), held.value)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "v"])
 
         got = labelled.mapInArrow(run, "part int, v binary").orderBy("part").collect()
-        out = sum(np.frombuffer(r.v).reshape(fits, -1) for r in got)
-        return out[:, :size], out[:, size:].reshape(fits, size, size)
+        out = sum(np.frombuffer(r.v).reshape(fits, size + 1, size) for r in got)
+        return out[:, 0], out[:, 1:]
 
-    def fitted(x, y, half, w):
-        return np.array([_slope(x[half != k], y[half != k], w[k]) for k in (0, 1, 2)])
+    def fitted(out, x, at, y, half, w):
+        for k in (0, 1, 2):
+            out[k][np.ix_(np.append(0, at + 1), at)] += _slope(x[half != k], y[half != k], w[k][at])
 
     w = _newton(lambda w: summed(3, chain.size, fitted, w), 3, chain.size, 0.3)
 
-    def calibrated(x, y, half, c):
-        z = np.where(half == 0, x @ w[0], x @ w[1])
-        return np.array([_slope(np.column_stack((z, np.ones(len(z)))), y, c[0])])
+    def calibrated(out, x, at, y, half, c):
+        z = np.where(half == 0, x @ w[0][at], x @ w[1][at])
+        out[0] += _slope(np.column_stack((z, np.ones(len(z)))), y, c[0])
 
     chain.w = w[2]
     chain.calibration = _newton(lambda c: summed(1, 2, calibrated, c), 1, 2, 0.05)[0]
@@ -381,9 +484,9 @@ def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, directio
     areas, titles = [r.subject for r in rows], [r.title for r in rows]
     names = {r.slug: r.title for r in directions.select("slug", "title").collect()}
     known = labels.filter(F.col("subject").isin(areas)).groupBy("entry_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    said = _split(documents, garbled)
-    of = _vocabulary(said)
-    entries = _numbered(said, known, of)
+    told = _split(documents, garbled)
+    of, terms = _vocabulary(told)
+    entries = _numbered(told, known, terms)
     by_slug = entries.groupBy("slug", "subjects").agg(F.count("*").alias("n")).orderBy("slug", "subjects").collect()
     labelled = [(r.slug, r.subjects, r.n) for r in by_slug if r.subjects is not None]
     if not areas or not labelled:
@@ -412,7 +515,7 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: DataFrame, direc
     def run(batches):
         model = shared.value
         for batch in batches:
-            hit = model(_flat(batch.column(4)), batch.column(3).to_numpy(), batch.column(1).to_pylist())
+            hit = model(_flat(batch.column(4), batch.column(5)), batch.column(3).to_numpy(), batch.column(1).to_pylist())
             row, k = np.nonzero(hit)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([model.areas[i] for i in k], pa.string())], names=["entry_id", "subject"])
 

@@ -1,8 +1,10 @@
 """Wrong encodings, noise of scanning, look-alikes, subject areas and cut texts."""
 
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +312,30 @@ def test_all_entries_teach_areas(spark, subjects):
     assert entries.count() == 3300 and (water > 0.5).all(), water
 
 
+def test_terms_are_split_together():
+    """Terms of many texts are found at once, as those of each sentence alone."""
+    rnd = random.Random(3)
+    texts = [make(rnd, rnd.randint(1, 9)) for _ in range(60)] + ["", " ", "....", "Щука плыла. Über Maß žluť", "слово-\n вое Ⅳглава word_word x²½¼. Ещё", "ΟΔΟΣΙΣ. İstanbulİs", "Ёмкость № 5! «Насос насоса насосный»"]
+    want = []
+    for text in texts:
+        kind, joined = p5.writing(text), re.sub(r"(?<=[^\W\d_])[-‐¬\xad][ \t\r]*\n[ \t]*(?=[^\W\d_])", "", text)
+        own = [{kind + w[:6] for w in re.findall(r"[^\W\d_]{4,}", s.lower())} for s in p5._SENTENCE.split(joined)]
+        want.append([s for s in own if s])
+    words, spots, terms, sizes, per = p5.said(texts)
+    name = {h: "clmd"[k] + words[a:b] for h, k, a, b in spots.tolist()}
+    sentences = iter(np.split(terms, np.cumsum(sizes)[:-1]))
+    got = [[{name[h] for h in next(sentences).tolist()} for _ in range(n)] for n in per]
+    assert got == want and len(set(name.values())) == len(name)
+
+
+def test_texts_are_restored_together(spark):
+    rnd = random.Random(4)
+    right = [make(rnd, 6) for _ in range(40)]
+    texts = right + [p2.garble(t, (("utf-8", "cp1251"),)) for t in right[:10]] + ["plain", "", "� � текст"]
+    model = p2.train(spark.createDataFrame(list(enumerate(right)), "entry_id long, text string"))
+    assert p2.Repairer(model).restored(texts) == [p2.Repairer(model).restore(t)[0] for t in texts]
+
+
 # --- cut texts --------------------------------------------------------------------------
 
 DOCUMENT = "doc_id long, source string, text string, score string, cut int, same string"
