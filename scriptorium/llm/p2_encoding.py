@@ -270,6 +270,13 @@ class Repairer:
         self.seen: dict[str, float] = {}
         self.clear: set[str] = {""}
 
+    @classmethod
+    def of(cls, model: Model) -> Repairer:
+        """The model's own, which a worker keeps from one task to the next."""
+        if "repairer" not in vars(model):
+            model.repairer = cls(model)
+        return model.repairer
+
     def evidence(self, words: list[str]) -> list[float]:
         seen = self.seen
         try:

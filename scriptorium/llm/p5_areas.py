@@ -332,7 +332,7 @@ def _split(documents: DataFrame, garbled) -> DataFrame:
     text, as bytes; and for each term a row of its hash, as entry_id, and its word."""
 
     def run(batches):
-        repairer, heard = p2_encoding.Repairer(garbled.value), set()
+        repairer, heard = p2_encoding.Repairer.of(garbled.value), set()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             upto = np.cumsum([len(t) for t in texts]) // CHARS
@@ -396,22 +396,25 @@ def _learn_terms(rows: DataFrame, model: Model, rounds: int = 10) -> None:
     context, terms = rows.sparkSession.sparkContext, model.terms
     size, columns = terms.log.shape
     names = [f"y{k}" for k in range(columns)]
+    # few texts at a time, whose numbers stay in a core's memory, but not fewer terms than are known
+    some = max(512, size // 128)
     for step in range(rounds + 1):
         shared = context.broadcast((model, step))
 
         def run(batches, shared=shared):
             model, step = shared.value
             out = np.zeros((columns, size + 4))
-            for batch in batches:
-                flat = ids, begins, doc = _flat(batch.column(2), batch.column(3))
+            for part in (batch.slice(at, some) for batch in batches for at in range(0, batch.num_rows, some)):
+                flat = ids, begins, doc = _flat(part.column(2), part.column(3))
                 if not len(ids):
                     continue
-                held, sure = model.beforehand(batch.column(0), batch.column(1))
+                held, sure = model.beforehand(part.column(0), part.column(1))
                 weight = np.where(sure > 2, model.weight, 1.0)[doc] * UNIT
                 share = np.rint((model.terms.settled(flat, held, sure) if step else held.T.take(doc, axis=1)) * weight)
                 sizes, kind = np.diff(np.append(begins, len(ids))), model.terms.kind[ids[begins]]
                 for k in range(columns):
-                    out[k, :size] += np.bincount(ids, np.repeat(share[k], sizes), size)
+                    if step < rounds:
+                        out[k, :size] += np.bincount(ids, np.repeat(share[k], sizes), size)
                     out[k, size:] += np.bincount(kind, share[k], 4)
             at = np.flatnonzero(out.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(row[at].astype(np.int64)) for row in out)], names=["at", *names])
